@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
+from pactline.llm.substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
     }
 
 
