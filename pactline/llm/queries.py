@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
+from pactline.llm.secret_scan import op4_secret_scan
 from pactline.llm.substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op4_secret_scan": op4_secret_scan,
         "op6_substring_dedup": op6_substring_dedup,
     }
 
