@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
 from pactline.llm.secret_scan import op4_secret_scan
+from pactline.llm.sentencepiece_codec import op5_sentencepiece
 from pactline.llm.substring_dedup import op6_substring_dedup
 
 
@@ -11,6 +12,7 @@ def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_substring_dedup": op6_substring_dedup,
     }
 
