@@ -95,3 +95,18 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
         g *= U(0xD6E8FEB86659FD93)
         g += words[i : i + m]
     return mix(g)
+
+
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def pack(batches):
+    """(doc_id, size, packed): texts compressed before a shuffle; a null text has size null."""
+    for batch in batches:
+        raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else len(t) for t in raw], pa.int64()), pa.array([None if t is None else _ZSTD.compress(t, asbytes=True) for t in raw], pa.binary())], ["doc_id", "size", "packed"])
+
+
+def unpack(sizes: pa.Array, packed: pa.Array) -> list[bytes]:
+    """The UTF-8 texts of packed rows; nulls are empty."""
+    return [_ZSTD.decompress(p.as_buffer(), n, asbytes=True) if n else b"" for n, p in zip(sizes.to_pylist(), packed)]

@@ -1,7 +1,7 @@
 """Substring deduplication by relative Lempel-Ziv factors.
 
 Every document is a reference block. Its index entries are anchors: in each window of
-``WINDOW`` words the least of the hashes of its 8-word runs; equal windows have equal
+``WINDOW`` words the least of the hashes of its 5-word runs; equal windows have equal
 anchors, and an anchor serves a short range of consecutive windows. A document is
 factored against all blocks at once by bringing equal anchors together (one shuffle;
 copies within a batch are combined first):
@@ -31,14 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm._spark import saved, table
-from pactline.llm._text import U, Words, _table, buffers, chunks, grams, mix
+from pactline.llm._text import U, Words, _table, buffers, chunks, grams, mix, pack, unpack
 
 WINDOW = 20
-GRAM = 8
+GRAM = 5
 _Q = U(0xBF58476D1CE4E5B9)
 _Q_INVERSE = U(pow(int(_Q), -1, 1 << 64))
 _LOW = U(0xFFFFFFFF)
 _POSTS = "seed long, full long, doc long, at long, ref_doc long, ref_at long"
+PACKED = "doc_id long, size long, packed binary"
 _MARKS = "doc long, at long, ref_doc long, ref_at long, boundary boolean"
 
 
@@ -139,7 +140,7 @@ def _match(batches):
 def _windows(batches):
     """The hash of each window of the boundary ranges of a document."""
     for batch in batches:
-        data, offsets = buffers(batch.column("text"))
+        data, offsets = buffers(pa.array(unpack(batch.column("size"), batch.column("packed")), pa.large_binary()).view(pa.large_string()))
         ids, lists = batch.column("doc_id").to_pylist(), batch.column("ranges")
         for i, j in chunks(offsets):
             w = Words(data, offsets[i : j + 1], fold=False)
@@ -171,8 +172,8 @@ def _digest(batches):
     for batch in batches:
         pieces = batch.column("pieces")
         sizes, gone, digests, factors = [], [], [], []
-        for text, own in zip(batch.column("text"), pieces):
-            words = (text.as_py() or "").encode().split()
+        for text, own in zip(unpack(batch.column("size"), batch.column("packed")), pieces):
+            words = text.split()
             found = _factors((x["at"], x["ref_doc"], x["ref_at"]) for x in own.as_py() or ())
             covered = np.zeros(len(words), bool)
             for start, n, *_ in found:
@@ -193,7 +194,7 @@ def factor_pieces(docs: DataFrame) -> DataFrame:
     posts = docs.mapInArrow(_post, _POSTS).repartition("seed").sortWithinPartitions("seed", "full", "doc", "at")
     marks = saved(posts.mapInArrow(_match, _MARKS))
     ranges = marks.where("boundary").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("ranges"))
-    windows = saved(docs.join(ranges, "doc_id").mapInArrow(_windows, "window long, doc long, at long"))
+    windows = saved(docs.mapInArrow(pack, PACKED).join(ranges, "doc_id").mapInArrow(_windows, "window long, doc long, at long"))
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
     single = windows.join(firsts, "window").where("doc <> ref.doc or at <> ref.at").select("doc", "at", F.col("ref.doc").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
     return marks.where("not boundary").drop("boundary").unionByName(single)
@@ -203,7 +204,7 @@ def substring_factors(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, factors) for every row of ``docs`` (doc_id, text)."""
     pieces = factor_pieces(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "ref_doc", "ref_at")).alias("pieces"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,n_words:long,ref_doc:long,ref_start:long>>"
-    return docs.select("doc_id", "text").join(pieces, "doc_id", "left").mapInArrow(_digest, kind)
+    return docs.select("doc_id", "text").mapInArrow(pack, PACKED).join(pieces, "doc_id", "left").mapInArrow(_digest, kind)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
