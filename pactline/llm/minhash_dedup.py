@@ -12,7 +12,10 @@ have a probability below 3e-7, so practically no link is lost, and none is wrong
 
 A group of near copies is not expanded into all pairs: each posting list first links its
 members to its least member (a star), then only members that are still in different
-components meet. Sets that occur more than once are one row from the start.
+components are compared: in short lists as pairs, in long ones in blocks of bounded size
+whose tasks return a spanning forest of the links found. Members of a list's largest
+component are not compared with each other again. Sets that occur more than once are one
+row from the start.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of
 fewer words than a shingle has its whole word sequence as one shingle; equal sets are
@@ -31,6 +34,8 @@ from pactline.llm._text import U, Words, buffers, chunks, mix
 
 COORDINATES = 32
 MATCHES = 13
+SHORT = 16  # members of a posting list that meet as pairs
+BLOCK = 512  # members of a longer list in one block
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(1, 1 << 62, (COORDINATES, 1), dtype=np.int64).astype(U)
 _MUL = _rng.integers(1, 1 << 62, (COORDINATES, 1), dtype=np.int64).astype(U) * U(2) + U(1)
@@ -82,42 +87,98 @@ def _sets(words: int):
     return run
 
 
+def _item_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, items) of the documents whose ids are given."""
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>")
+
+
 def _confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree often enough and whose full sets are similar enough."""
     met = pairs.join(signs.select(F.col("rep").alias("a"), F.col("sign").alias("sa"), F.col("n").alias("na")), "a").join(signs.select(F.col("rep").alias("b"), F.col("sign").alias("sb"), F.col("n").alias("nb")), "b")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
     close = saved(met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(agree >= MATCHES).select("a", "b", "na", "nb"))
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(words), "id long, items array<long>")
+    sets = _item_sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
     both = close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
     common = F.size(F.array_intersect("ia", "ib"))
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _linked(percent: int):
+    """Exact links between members of two blocks, as a spanning forest over their components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        items = group["items"].combine_chunks()
+        sizes = np.diff(items.offsets.to_numpy())
+        value, column = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        shared = np.bincount(column, minlength=len(value)) > 1
+        dense = np.cumsum(shared) - 1
+        keep = shared[column]
+        common = np.zeros((len(sizes), len(sizes)), np.float32)
+        order = np.argsort(dense[column[keep]], kind="stable")
+        row, column = row[keep][order], dense[column[keep]][order]
+        for lo in range(0, int(shared.sum()), 2048):  # a slice of the vocabulary at a time
+            cut = slice(*np.searchsorted(column, [lo, lo + 2048]))
+            has = np.zeros((len(sizes), 2048), np.float32)
+            has[row[cut], column[cut] - lo] = 1
+            common += has @ has.T
+        link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        reps, comps = group["rep"].to_numpy(), group["comp"].to_numpy()
+        root = {int(c): int(c) for c in comps}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(np.triu(link & (comps[:, None] != comps[None, :]), 1))):
+            x, y = top(int(comps[i])), top(int(comps[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(int(reps[i]))
+                b.append(int(reps[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _long_lists(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members (key, rep, comp) of long lists that are in different components."""
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    counts = counts.select("key", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("others"))
+    sets = _item_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), words)
+    placed = members.join(counts, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # blocks of the main component are numbered -1, -2, ...; they meet the others only
+    placed = placed.withColumn("with", F.explode(F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))))
+    own = F.when(F.col("is_main"), -1 - F.col("own")).otherwise(F.col("own"))
+    met = placed.select("key", F.least(own, F.col("with")).alias("x"), F.greatest(own, F.col("with")).alias("y"), "rep", "comp")
+    return met.join(sets, F.col("rep") == F.col("id")).drop("id").groupBy("key", "x", "y").applyInArrow(_linked(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     marked = saved(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, f1 long, f2 long, sign array<int>"))
-    classes = marked.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n"))
-    classes = saved(classes)
+    classes = saved(marked.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
     posts = classes.select("rep", F.posexplode("sign").alias("c", "v")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
     often = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     ranked = posts.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     # coordinates that no other set shares come first in the prefix; they have no partner
-    prefix = ranked.where(F.size("keys") >= MATCHES).select("rep", F.explode(F.slice("keys", 1, F.size("keys") - (MATCHES - 1))).alias("k")).select("rep", F.col("k.key").alias("key"))
-    prefix = saved(prefix)
+    prefix = saved(ranked.where(F.size("keys") >= MATCHES).select("rep", F.explode(F.slice("keys", 1, F.size("keys") - (MATCHES - 1))).alias("k")).select("rep", F.col("k.key").alias("key")))
     lists = prefix.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     stars = prefix.join(lists, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = saved(_confirmed(stars, classes, docs, words, percent))
     # members of one list in different components have not been compared yet, or not linked
     found = components(links)
     placed = prefix.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_lists = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = saved(placed.join(open_lists, "key"))
-    left, right = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    unsettled = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    rest = saved(placed.join(unsettled, "key"))
+    short, long_ = rest.where(F.col("n") <= SHORT), rest.where(F.col("n") > SHORT).drop("n")
+    left, right = short.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), short.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     later = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(later, classes, docs, words, percent))
+    links = links.unionByName(_confirmed(later, classes, docs, words, percent)).unionByName(_long_lists(long_, docs, words, percent))
     found = components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = marked.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
