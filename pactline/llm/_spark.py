@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir, which every executor can read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and every executor can reach.
 
     Where a session names none (tests on one machine), a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pactline-"))
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

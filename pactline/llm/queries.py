@@ -6,6 +6,7 @@ from pactline.llm.minhash_dedup import op1_minhash_near_dedup
 from pactline.llm.secret_scan import op4_secret_scan
 from pactline.llm.sentencepiece_codec import op5_sentencepiece
 from pactline.llm.substring_dedup import op6_substring_dedup
+from pactline.llm.token_output import op10_token_output
 
 
 def queries() -> dict:
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_substring_dedup": op6_substring_dedup,
+        "op10_token_output": op10_token_output,
     }
 
 
