@@ -17,6 +17,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCTUATED = np.array([not chr(b).isalnum() for b in range(128)] + [False] * 128)
 _BYTES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _FOLDED = _BYTES.copy()
 _FOLDED[0x41:0x5B] = _BYTES[0x61:0x7B]
@@ -66,12 +67,13 @@ class Words:
 
     __slots__ = ("hash", "start", "end", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, punctuation: bool = False):
+        """fold: A-Z counts as a-z; punctuation: every ASCII byte but letters and digits parts words."""
         lo, hi = int(offsets[0]), int(offsets[-1])
         b, edges = data[lo:hi], (offsets - lo).astype(np.int64)
         inside = np.empty(len(b) + 2, bool)
         inside[0] = inside[-1] = False
-        np.logical_not(_SPACE[b], out=inside[1:-1])
+        np.logical_not((_PUNCTUATED if punctuation else _SPACE)[b], out=inside[1:-1])
         start, end = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
         cuts = edges[(edges > 0) & (edges < len(b))]
         start[cuts] = inside[cuts + 1]  # a word never runs on into the next row

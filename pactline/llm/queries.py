@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pactline.llm.decontamination import op3_decontamination
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
 from pactline.llm.secret_scan import op4_secret_scan
 from pactline.llm.sentencepiece_codec import op5_sentencepiece
@@ -12,6 +13,7 @@ from pactline.llm.token_output import op10_token_output
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op3_decontamination": op3_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_substring_dedup": op6_substring_dedup,
