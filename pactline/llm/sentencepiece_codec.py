@@ -29,6 +29,7 @@ from pactline.llm._segments import SegmentCache, segments
 from pactline.llm._spark import table
 
 MARK = "▁"
+_NONE = float("inf")
 
 
 class Codec:
@@ -53,7 +54,23 @@ class Codec:
         self.cache = SegmentCache(self._checked)
 
     def _merged(self, text: str) -> list[str]:
-        """The symbols of a segment after all merges."""
+        """The symbols of a segment after all merges: the agenda of a short one is a list of ranks."""
+        if len(text) > 40:
+            return self._merged_long(text)
+        symbols, rank = list(text), self.rank.get
+        agenda = [rank(text[i : i + 2], _NONE) for i in range(len(symbols) - 1)]
+        while agenda and (best := min(agenda)) is not _NONE:
+            i = agenda.index(best)  # the leftmost of equals
+            piece = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + piece, _NONE)
+            if i < len(agenda):
+                agenda[i] = rank(piece + symbols[i + 1], _NONE)
+        return symbols
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The same with a heap, whose cost does not grow with the square of the length."""
         symbols: list[str | None] = list(text)
         n, rank = len(symbols), self.rank
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
