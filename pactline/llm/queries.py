@@ -8,6 +8,7 @@ from pactline.llm.secret_scan import op4_secret_scan
 from pactline.llm.sentencepiece_codec import op5_sentencepiece
 from pactline.llm.substring_dedup import op6_substring_dedup
 from pactline.llm.token_output import op10_token_output
+from pactline.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict:
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_toxicity": op7_toxicity,
         "op10_token_output": op10_token_output,
     }
 
