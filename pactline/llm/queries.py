@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pactline.llm.decontamination import op3_decontamination
+from pactline.llm.line_dedup import op8_line_dedup
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
 from pactline.llm.secret_scan import op4_secret_scan
 from pactline.llm.sentencepiece_codec import op5_sentencepiece
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_sentencepiece": op5_sentencepiece,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_toxicity": op7_toxicity,
+        "op8_line_dedup": op8_line_dedup,
         "op10_token_output": op10_token_output,
     }
 
