@@ -58,3 +58,23 @@ class SegmentCache:
             for i in missing:
                 found[i] = self.now[keys[i]]
         return found
+
+
+class Memo(dict):
+    """``memo[key]`` computes what is new; ``turn`` drops what two generations have not used."""
+
+    def __init__(self, compute: Callable[[str], object], limit: int = 500_000):
+        self.compute, self.limit = compute, limit
+        self.before: dict = {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.before = dict(self)
+            self.clear()

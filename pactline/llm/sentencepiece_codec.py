@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._segments import SegmentCache, segments
+from pactline.llm._segments import Memo, segments
 from pactline.llm._spark import table
 
 MARK = "▁"
@@ -51,7 +51,8 @@ class Codec:
             raise ValueError("only models with byte pieces, identity normalisation and a space put first are supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece runs over the start of a word or over a line end")
-        self.cache = SegmentCache(self._checked)
+        self.memo = Memo(self._entry, 300_000)
+        self.fresh: dict[str, tuple[str, str, list[int]]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The symbols of a segment after all merges: the agenda of a short one is a list of ranks."""
@@ -103,16 +104,22 @@ class Codec:
                     out += [self.bytes[b] for b in s.encode()]
         return out
 
-    def _checked(self, keys: list[str]) -> list[tuple[str, str, list[int]]]:
-        """(ids in decimals, decoded text, ids) of segments that are met for the first time."""
-        texts = [k.replace(MARK, " ") for k in keys if k]  # the empty key is a lone space, which a text cannot start with
-        found = [self._ids((MARK + k).replace(" ", MARK)) for k in keys]
-        back = [self._text(ids) for ids in found]
-        if [ids for k, ids in zip(keys, found) if k] != self.library.encode(texts, num_threads=1):
+    def _entry(self, key: str) -> tuple[str, str, list[int]]:
+        """(ids in decimals, decoded text, ids) of a segment that is met for the first time."""
+        ids = self._ids((MARK + key).replace(" ", MARK))
+        entry = self.fresh[key] = (",".join(map(str, ids)), self._text(ids), ids)
+        return entry
+
+    def check(self) -> None:
+        """Compares the segments that were new since the last call with the library."""
+        keys = [k for k in self.fresh if k]  # the empty key is a lone space, which a text cannot start with
+        found = [self.fresh[k][2] for k in keys]
+        if found != self.library.encode(keys, num_threads=1):
             raise ValueError("the encoding differs from the library's")
-        if [b[1:] for b in back] != self.library.decode(found, num_threads=1):
+        if [self.fresh[k][1][1:] for k in keys] != self.library.decode(found, num_threads=1):
             raise ValueError("the decoding differs from the library's")
-        return [(",".join(map(str, ids)), text, ids) for ids, text in zip(found, back)]
+        self.fresh = {}
+        self.memo.turn()
 
     def _text(self, ids) -> str:
         out, raw = [], bytearray()
@@ -134,7 +141,8 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
     def segments(self, text: str) -> list[tuple[str, str, list[int]]]:
-        return self.cache(segments(text.replace(MARK, " ") if MARK in text else text, None))
+        memo = self.memo
+        return [memo[k] for k in segments(text.replace(MARK, " ") if MARK in text else text, None)]
 
     def encode(self, text: str) -> list[int]:
         return [i for s in self.segments(text) for i in s[2]]
@@ -163,6 +171,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
         own = codec(model)
         for batch in batches:
             rows = [own.segments(t or "") for t in batch.column("text").to_pylist()]
+            own.check()
             ids = pa.array([[i for s in r for i in s[2]] for r in rows], pa.list_(pa.int32()))
             decoded = pa.array(["".join(s[1] for s in r)[1:] for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
@@ -184,6 +193,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_of.append(hashlib.sha256(ids.encode()).hexdigest())
                 texts_of.append(hashlib.sha256("".join([s[1] for s in own_segments])[1:].encode()).hexdigest())
+            own.check()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_of, pa.string()), pa.array(texts_of, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

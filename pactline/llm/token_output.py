@@ -24,13 +24,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactline.llm._segments import SegmentCache, segments
+from pactline.llm._segments import Memo, segments
 from pactline.llm._spark import saved, shared_folder, table
 from pactline.llm.sentencepiece_codec import vocabulary
 
@@ -42,28 +43,58 @@ END = 0
 _OTHER_SPACE = re.compile(r"[^\S ] ")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else the next one from U+0100."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return [chr(b) if b in set(seen) else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
 class _Encoder:
-    """The tokenizers library behind a cache of segments, for byte-level vocabularies without special treatment of spaces."""
+    """The tokenizers library behind a cache of segments, for byte-level vocabularies.
+
+    Segments of Latin letters and common signs are cut into the words of the vocabulary's
+    pattern here and given to the library's model word by word; others go through the
+    whole library.
+    """
 
     def __init__(self, model: bytes):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model.decode())
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache = SegmentCache(self._many)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _many(self, keys: list[str]) -> list[bytes]:
-        return self._whole([k[1:] if k[:1] == "\0" else " " + k for k in keys])
+        self.kind = "H" if self.dtype == np.uint16 else "I"
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.plain = re.compile("[\n\t -~\u00a1-\u024f]*").fullmatch
+        self.letters = _byte_letters()
+        self.segments = Memo(self._segment)
+        self.pieces = Memo(self._piece, 100_000)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _piece(self, word: str) -> bytes:
+        letters = self.letters
+        return array(self.kind, [t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))]).tobytes()
+
+    def _segment(self, key: str) -> bytes:
+        if key.isalpha():
+            return self._piece(" " + key)
+        text = key[1:] if key[:1] == "\0" else " " + key
+        if self.plain(text) is None:
+            return self._whole(text)
+        pieces = self.pieces
+        return b"".join([pieces[w] for w in self.words(text)])
 
     def __call__(self, text: str) -> np.ndarray:
         if "\0" in text or _OTHER_SPACE.search(text) or any(s in text for s in self.special):
-            raw = self._whole([text])[0]
+            raw = self._whole(text)
         else:
-            raw = b"".join(self.cache(segments(text, "\0")))
+            own = self.segments
+            raw = b"".join([own[k] for k in segments(text, "\0")])
         return np.frombuffer(raw, self.dtype)
 
 
@@ -210,6 +241,8 @@ def _blocks(model: bytes):
 
         end = np.array([END], encoder.dtype)
         for batch in batches:
+            encoder.segments.turn()
+            encoder.pieces.turn()
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 own = np.concatenate([encoder(text.as_py() or ""), end])
                 ids.append(doc_id)
