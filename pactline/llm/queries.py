@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pactline.llm.decontamination import op3_decontamination
+from pactline.llm.embedding_dedup import op2_embedding_near_dedup
 from pactline.llm.line_dedup import op8_line_dedup
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
 from pactline.llm.secret_scan import op4_secret_scan
@@ -15,6 +16,7 @@ from pactline.llm.toxicity import op7_toxicity
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
