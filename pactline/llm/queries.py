@@ -6,6 +6,7 @@ from pactline.llm.decontamination import op3_decontamination
 from pactline.llm.embedding_dedup import op2_embedding_near_dedup
 from pactline.llm.line_dedup import op8_line_dedup
 from pactline.llm.minhash_dedup import op1_minhash_near_dedup
+from pactline.llm.pii_surrogates import op9_pii_surrogates
 from pactline.llm.secret_scan import op4_secret_scan
 from pactline.llm.sentencepiece_codec import op5_sentencepiece
 from pactline.llm.substring_dedup import op6_substring_dedup
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
+        "op9_pii_surrogates": op9_pii_surrogates,
         "op10_token_output": op10_token_output,
     }
 
