@@ -162,22 +162,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     marked = saved(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, f1 long, f2 long, sign array<int>"))
     classes = saved(marked.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
-    posts = classes.select("rep", F.posexplode("sign").alias("c", "v")).select("rep", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
+    posts = classes.select("rep", "n", F.posexplode("sign").alias("c", "v")).select("rep", F.col("n").alias("size"), (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
     often = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = posts.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    ranked = posts.join(often, "key").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     # coordinates that no other set shares come first in the prefix; they have no partner
-    prefix = saved(ranked.where(F.size("keys") >= MATCHES).select("rep", F.explode(F.slice("keys", 1, F.size("keys") - (MATCHES - 1))).alias("k")).select("rep", F.col("k.key").alias("key")))
-    lists = prefix.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    stars = prefix.join(lists, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    prefix = saved(ranked.where(F.size("keys") >= MATCHES).select("rep", "size", F.explode(F.slice("keys", 1, F.size("keys") - (MATCHES - 1))).alias("k")).select("rep", "size", F.col("k.key").alias("key")))
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes cannot be linked
+    lists = prefix.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    stars = prefix.join(lists, "key").where((F.col("rep") != F.col("pivot.rep")) & alike("size", "pivot.size")).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
     links = saved(_confirmed(stars, classes, docs, words, percent))
     # members of one list in different components have not been compared yet, or not linked
     found = components(links)
-    placed = prefix.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = prefix.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     unsettled = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     rest = saved(placed.join(unsettled, "key"))
-    short, long_ = rest.where(F.col("n") <= SHORT), rest.where(F.col("n") > SHORT).drop("n")
-    left, right = short.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), short.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    later = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    short, long_ = rest.where(F.col("n") <= SHORT), rest.where(F.col("n") > SHORT).select("key", "rep", "comp")
+    left, right = (short.select("key", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    later = left.join(right, "key").where("a < b and ca <> cb").where(alike("na", "nb")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(later, classes, docs, words, percent)).unionByName(_long_lists(long_, docs, words, percent))
     found = components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
