@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pactline.plans import contracts, store, telemetry, text
+
+_PLANS = (telemetry, store, contracts, text)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
