@@ -12,9 +12,10 @@ segment number, text), the longer line probes with the few substrings that could
 segment, and the pairs that meet are verified.
 
 For the verdict a line needs one earlier partner: in each posting list lines first meet
-its earliest line (a star); only lines that are still unmatched meet the other earlier
-lines of their lists. Verification runs a bit-parallel edit distance over a band of
-``2 * EDITS + 1`` diagonals, one step for each character.
+the line that stands for it (a star); only lines that are still unmatched meet the others
+of their lists. Pairs that lack too many of a finer set of segments are dropped, common
+starts and ends are cut, and what differs is verified by a bit-parallel edit distance over a
+band of ``2 * EDITS + 1`` diagonals, one step for each character.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line;
 repeated doc_ids are not supported (the order would not be defined); an empty table gives
@@ -114,33 +115,61 @@ def banded_edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.split(b, ""), start, step, lambda state: state["score"])
 
 
+def _most_segments(a: Column, b: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of 3 * edits segments of a stand somewhere in b, as they must within ``edits`` edits."""
+    pieces = 3 * max(edits, 1)
+    size = F.floor(F.length(a) / pieces).cast("int")
+    held = F.lit(0)
+    for k in range(pieces):
+        held = held + F.contains(b, F.substr(a, size * k + 1, size)).cast("int")
+    return held >= pieces - edits
+
+
+def _common(a: Column, b: Column, limit: Column, ends: bool) -> Column:
+    """How many characters, at most ``limit``, two strings share at their starts, or at their ends."""
+
+    def grown(n: Column, p: Column) -> Column:
+        part = lambda x: F.substr(x, F.length(x) - n - p + 1 if ends else n + 1, p)
+        return F.when((n + p <= limit) & (part(a) == part(b)), n + p).otherwise(n)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(29, -1, -1))), F.lit(0), grown)
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are within ``edits`` edits: segments first, then the distance of what differs.
+
+    Common starts and ends do not change the distance, so they are cut before it is computed.
+    """
+    most = F.least(F.length(a), F.length(b)) - max(edits, 1)
+
+    def cut(start: Column) -> Column:
+        return _let(_common(a, b, most - start, ends=True), lambda end: banded_edit_distance(middle(a, start, end), middle(b, start, end), edits) <= edits)
+
+    middle = lambda x, start, end: F.substr(x, start + 1, F.length(x) - start - end)
+    possible = (F.abs(F.length(a) - F.length(b)) <= edits) & _most_segments(a, b, edits)
+    return F.when(possible, _let(_common(a, b, most, ends=False), cut)).otherwise(False)
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, text, id) of the lines that take part; id: a hash that stands for the text."""
-    every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return every.where(F.length("text") >= min_chars).withColumn("id", F.xxhash64("text"))
+    """(doc_id, line, text, chars, id) of the lines that take part; id: a hash that stands for the text."""
+    every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("chars", F.length("text"))
+    return every.where(F.col("chars") >= min_chars).withColumn("id", F.xxhash64("text"))
 
 
-def _near(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+def _near(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     """The ids of the later lines of the pairs (a, b) that are within ``edits`` edits."""
-    pairs = saved(pairs)
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = ids.count() <= FEW  # only so many ids are sent to every task; more are joined by a shuffle
-    ids = F.broadcast(ids) if few else ids
-    texts = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    known = saved(texts.join(firsts.join(ids, "id", "left_semi"), "id").select("id", "text", "first"))
     a, b = (known.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
-    met = pairs.join(a, "a").join(b, "b").where(F.abs(F.length("text_a") - F.length("text_b")) <= edits)
-    close = met.where(banded_edit_distance(F.col("text_a"), F.col("text_b"), edits) <= edits)
+    close = pairs.join(a, "a").join(b, "b").where(within(F.col("text_a"), F.col("text_b"), edits))
     return close.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line) of the lines that repeat an earlier line, lines counted from 0."""
-    min_chars = max(min_chars, edits + 1)
+    min_chars = max(min_chars, 3 * max(edits, 1))
     lines = _lines(docs, min_chars)
     at = F.struct("doc_id", "line")
     firsts = saved(lines.select("id", at.alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")))
-    length = F.length("text")
+    length = F.col("chars")
     posts = [F.xxhash64(length, F.lit(i), F.substr("text", s, n)) for i, (s, n) in enumerate(_segments(length, edits))]
     probes = []
     for d, i, shift in _probes(edits):
@@ -148,22 +177,26 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
             continue  # a line's own posting is this probe
         s, n = _segments(length - d, edits)[i]
         probes.append(F.when((s + shift >= 1) & (s + shift + n - 1 <= length), F.xxhash64(length - d, F.lit(i), F.substr("text", s + shift, n))))
-    posted = lines.select("id", F.explode(F.array(*posts)).alias("key"))
     # the least and the greatest id stand for a list: a list of one line has no other use
-    heads = posted.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    keyed = lines.select("id", F.explode(F.array(*posts, *probes)).alias("key")).where("key is not null")
-    hits = saved(keyed.join(heads, "key").where("id <> head or head <> last").select("key", "id", "head", (F.col("head") != F.col("last")).alias("many")).distinct())
+    heads = lines.select("id", F.explode(F.array(*posts)).alias("key")).groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+    keyed = lines.select("id", F.posexplode(F.array(*posts, *probes)).alias("k", "key")).where("key is not null")
+    met = keyed.join(heads.hint("shuffle_hash"), "key").where("id <> head or head <> last")
+    hits = saved(met.select("key", "id", "head", (F.col("k") <= edits).alias("posted"), (F.col("head") != F.col("last")).alias("many")).distinct())
+    ids = saved(hits.select(F.explode(F.array("id", "head")).alias("id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids  # only so many ids are sent to every task; more are joined by a shuffle
+    texts = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    known = saved(texts.join(firsts, "id").select("id", "text", "first"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = hits.where("id <> head").select(*pair("id", "head")).distinct()
-    done = saved(_near(stars, lines, firsts, edits))
+    stars = saved(hits.where("id <> head").select(*pair("id", "head")).distinct())
+    done = saved(_near(stars, known, edits))
     # lists of several lines: those without a partner yet meet the other lines posted there
-    shared = saved(posted.join(hits.where("many").select("key").distinct(), "key", "left_semi").distinct())
-    open_ = lambda df, c: df.join(done.select(F.col("id").alias(c)), c, "left_anti")
-    rest = hits.where("many and id <> head").join(shared.select("key", F.col("id").alias("other")), "key").where("id <> other and other <> head")
-    rest = rest.select(*pair("id", "other")).distinct()
-    when = lambda c: firsts.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
+    several = hits.where("many")
+    rest = several.where("id <> head").join(several.where("posted").select("key", F.col("id").alias("other")).distinct(), "key").where("id <> other and other <> head")
+    rest = rest.select(*pair("id", "other")).distinct().join(stars, ["a", "b"], "left_anti")
+    when = lambda c: known.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
     later = rest.join(when("a"), "a").join(when("b"), "b").withColumn("later", F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")))
-    gone = done.unionByName(_near(open_(later, "later").select("a", "b"), lines, firsts, edits)).distinct()
+    still_open = saved(later.join(done.select(F.col("id").alias("later")), "later", "left_anti").select("a", "b"))
+    gone = done.unionByName(_near(still_open, known, edits)).distinct()
     flagged = firsts.join(gone.withColumn("near", F.lit(True)), "id", "left").where("n > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("doc_id", "line", "id").join(flagged, "id").where(F.col("near") | (at != F.col("first"))).select("doc_id", "line")
 
