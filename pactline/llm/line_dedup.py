@@ -102,7 +102,9 @@ def banded_edit_distance(a: Column, b: Column, edits: int) -> Column:
                 (state["score"] + change).alias("score"),
             )
 
-        return _let(equal, with_equal)
+        # no cell of the band is below this bound, nor can one of a later column be
+        lost = (state["left"] > 0) & (state["score"] - F.bit_count(vp) > edits)
+        return F.when(lost, state).otherwise(_let(equal, with_equal))
 
     start = F.struct(
         F.concat(before, F.split(a, "")).alias("a"),
@@ -126,13 +128,13 @@ def _most_segments(a: Column, b: Column, edits: int) -> Column:
 
 
 def _common(a: Column, b: Column, limit: Column, ends: bool) -> Column:
-    """How many characters, at most ``limit``, two strings share at their starts, or at their ends."""
+    """How many characters, at most ``limit`` and 2^18, two strings share at their starts, or at their ends."""
 
     def grown(n: Column, p: Column) -> Column:
         part = lambda x: F.substr(x, F.length(x) - n - p + 1 if ends else n + 1, p)
         return F.when((n + p <= limit) & (part(a) == part(b)), n + p).otherwise(n)
 
-    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(29, -1, -1))), F.lit(0), grown)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(17, -1, -1))), F.lit(0), grown)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
