@@ -46,6 +46,8 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items() if not sp.is_unused(i)}
         self.value_of_byte = {i: b for b, i in self.bytes.items()}
+        self.plain_from = max(special, default=-1) + 1  # ids from here on are ordinary pieces
+        self.decimals = [str(i) for i in range(len(self.pieces))]
         probe = " A  Å\n①x "
         if sp.normalize(probe) != (MARK + probe).replace(" ", MARK) or len(self.bytes) != 256:
             raise ValueError("only models with byte pieces, identity normalisation and a space put first are supported")
@@ -93,6 +95,11 @@ class Codec:
         return [s for s in symbols if s is not None]
 
     def _ids(self, segment: str) -> list[int]:
+        if "\n" not in segment:
+            try:
+                return [self.ids[s] for s in self._merged(segment)]
+            except KeyError:
+                pass  # it has symbols outside the vocabulary
         out: list[int] = []
         for k, line in enumerate(segment.split("\n")):  # no piece runs over a line end
             if k:
@@ -107,7 +114,7 @@ class Codec:
     def _entry(self, key: str) -> tuple[str, str, list[int]]:
         """(ids in decimals, decoded text, ids) of a segment that is met for the first time."""
         ids = self._ids((MARK + key).replace(" ", MARK))
-        entry = self.fresh[key] = (",".join(map(str, ids)), self._text(ids), ids)
+        entry = self.fresh[key] = (",".join([self.decimals[i] for i in ids]), self._text(ids), ids)
         return entry
 
     def check(self) -> None:
@@ -122,6 +129,8 @@ class Codec:
         self.memo.turn()
 
     def _text(self, ids) -> str:
+        if ids and min(ids) >= self.plain_from:
+            return "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
         out, raw = [], bytearray()
         for i in ids:
             if (b := self.value_of_byte.get(i)) is not None:
