@@ -201,7 +201,7 @@ def _landmarks(sample: DataFrame, most: int) -> list[str]:
     words = sentences.select("toxic", F.explode(F.array_distinct(F.transform(F.split("sentence", r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")))).alias("word")).where(F.length("word").between(3, WIDTH))
     totals = sentences.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     counts = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where("pos >= 3")
-    odds = F.log((F.col("pos") + 0.5) / (totals[0] + 1)) - F.log((F.col("neg") + 0.5) / (totals[1] + 1))
+    odds = F.log((F.col("pos") + 0.5) / ((totals[0] or 0) + 1)) - F.log((F.col("neg") + 0.5) / ((totals[1] or 0) + 1))
     ranked = counts.select("word", (odds * F.sqrt("pos")).alias("weight")).where("weight > 0").orderBy(F.desc("weight"), "word").limit(most)
     return [r.word for r in ranked.collect()]
 
@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     got = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_pooled(landmarks), "toxic int, pooled array<double>").toArrow()
     y = got["toxic"].to_numpy()
     x = np.array(got["pooled"].combine_chunks().flatten()).reshape(len(y), -1)
-    order = np.lexsort((*x.T, y))  # the result must not depend on the order in which tasks end
+    order = np.array(sorted(range(len(y)), key=lambda k: (int(y[k]), x[k].tobytes())))  # the result must not depend on the order in which tasks end
     x, y = x[order], y[order]
     codes = Similarity(list(landmarks))
     n = len(landmarks)
