@@ -1,19 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: an exact bound on shared words, then Smith-Waterman alignment.
 
-Words are runs of letters and digits of the lower-cased text. The ``GRAM``-word runs of the
-test items are counted over all documents; of each item the rarer half (at least
-``LEAST_SEEDS``) are its seeds. The choice is by rank within the item, so an item that has
-leaked into very many documents keeps its seeds. A document that holds a seed is aligned
-with the item around the places of its seeds: local alignment over words, match 2,
-mismatch and gap -1. The score is the best alignment over the perfect one (2 a word), so an
-exact copy has 1, a copy with a fifth of its words replaced about 0.7, half an item 0.5.
-Pairs of at least ``THRESHOLD`` are contaminated.
+Words are runs of letters and digits of the lower-cased text. The score of a document and an
+item is their best local alignment over words (match 2, mismatch and gap -1) over the perfect
+one (2 a word), so an exact copy has 1, a copy with a fifth of its words replaced about 0.7,
+half an item 0.5. Pairs of at least ``THRESHOLD`` are contaminated.
 
-The seeds of at most ``SLICE`` item words are sent to the tasks at once; a larger test set
-is worked through slice by slice, each over all documents.
+No such pair is missed: an alignment of m matches and e errors over W document words has
+2m - e >= s and W <= m + e, so m >= s / 2 and W <= 3m - s, where s is the least sum that
+reaches the threshold. An item's most frequent words, by their count in the documents, are
+left out as long as they hold at most half of the m that is needed; of the others at least
+the other half must lie within 3 * (words of the item) - s words of the document. Where they
+do, all the words that such an alignment could reach are aligned, unless even the best run of
+them, counting 2 for every word that the item has anywhere and -1 for every other, is below s.
+The choice of the words left out changes the work only, never the result.
+
+At most ``SLICE`` item words are sent to the tasks at once; a larger test set is worked
+through slice by slice, each over all documents.
 
 Defined cases: null or blank texts, of documents or items, match nothing; an item of fewer
-words than a seed has its whole word sequence as its seed; repeated items give a row each;
+words than ``WHOLE`` counts only where it occurs as a whole; repeated items give a row each;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm._spark import table
-from pactline.llm._text import U, Words, buffers, chunks, grams
+from pactline.llm._text import U, Words, buffers, chunks
 
-GRAM = 3
-LEAST_SEEDS = 8
+WHOLE = 3
 THRESHOLD = 0.45
 SLICE = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+ENTRIES = 2_000_000  # word hits that a task looks at together
 
 
 def _words(column: pa.Array):
@@ -45,21 +50,6 @@ def _words(column: pa.Array):
         yield i, Words(data, offsets[i : j + 1], fold=False, punctuation=True)
 
 
-def _row_grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, row, word in the row) of the n-word runs that stay within a row; a shorter row has one of all its words."""
-    counts = np.diff(w.first)
-    row = np.repeat(np.arange(len(counts)), counts)
-    g = grams(w.hash, n)
-    own = row[: len(g)]
-    p = np.arange(len(g))
-    valid = p + n <= w.first[own + 1]
-    g, own, p = g[valid], own[valid], p[valid]
-    for r in np.flatnonzero((counts > 0) & (counts < n)):
-        g = np.append(g, grams(w.hash[w.first[r] : w.first[r + 1]], int(counts[r])))
-        own, p = np.append(own, r), np.append(p, w.first[r])
-    return g, own, p - w.first[own]
-
-
 class _Lookup:
     """Which of many hashes are in a small sorted set: a bitmap first, then binary search."""
 
@@ -78,14 +68,13 @@ class _Lookup:
 
 
 def _items(benchmark: DataFrame):
-    """(item_id, word hashes, seeds by position) of one slice, on the driver; its size is bounded by SLICE."""
+    """(item_id, word hashes) of one slice, on the driver; its size is bounded by SLICE."""
     rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toArrow()
     out = []
     for i, w in _words(rows["text"]):
-        g, own, at = _row_grams(w, GRAM)
         for r in range(len(w.first) - 1):
             if w.first[r + 1] > w.first[r]:
-                out.append((rows["item_id"][i + r].as_py(), w.hash[w.first[r] : w.first[r + 1]].copy(), g[own == r], at[own == r]))
+                out.append((rows["item_id"][i + r].as_py(), w.hash[w.first[r] : w.first[r + 1]].copy()))
     return out
 
 
@@ -117,69 +106,122 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counted(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
-    """In how many documents each item gram occurs; a row for each gram comes back, and their number is bounded."""
+    """How often each item word occurs; a row for each word comes back, and their number is bounded."""
 
     def run(batches):
         lookup = _Lookup(keys)
         for batch in batches:
             counts = np.zeros(len(lookup.keys), np.int64)
             for _, w in _words(batch.column("text")):
-                g, own, _at = _row_grams(w, GRAM)
-                hit, k = lookup(g)
-                pairs = np.unique(own[hit].astype(np.int64) * (len(lookup.keys) + 1) + k)
-                np.add.at(counts, pairs % (len(lookup.keys) + 1), 1)
+                counts += np.bincount(lookup(w.hash)[1], minlength=len(counts))
             some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(lookup.keys[some].view(np.int64)), pa.array(counts[some])], ["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows["gram"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(lookup.keys[some].view(np.int64)), pa.array(counts[some])], ["word", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(rows["word"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist()))
+
+
+def _least_sum(words: int, threshold: float) -> int:
+    """The least alignment sum of an item of so many words that counts; at least 1, as a sum of 0 aligns nothing."""
+    if words < WHOLE:
+        threshold = max(threshold, 1.0)
+    s = max(1, math.floor(threshold * MATCH * words) - 1)
+    while s / (MATCH * words) < threshold:
+        s += 1
+    return s
+
+
+def _kept_words(words: np.ndarray, often: dict[int, int], least: int) -> tuple[list[int], int]:
+    """(words looked for, how many of them an alignment must match at least)."""
+    need = -(-least // MATCH)
+    unique, counts = np.unique(words, return_counts=True)
+    spare, kept = need // 2, []
+    for n, w, c in sorted(((often.get(w, 0), w, c) for w, c in zip(unique.tolist(), counts.tolist())), reverse=True):
+        if n and c <= spare:
+            spare -= c
+        else:
+            kept.append(w)
+    return kept, need - need // 2 + spare
+
+
+def _upper_bounds(windows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+    """An upper bound of each window's alignment sum with an item: words that the item has count 2, in any order, others -1."""
+    sizes = np.array([len(x) for x in windows], np.int64)
+    heads = np.cumsum(sizes + 1) - sizes - 1
+    every, own = np.concatenate([y for x in windows for y in (x[:1], x)]), np.unique(words)
+    steps = np.where(own[np.searchsorted(own, every).clip(max=len(own) - 1)] == every, MATCH, -1)
+    steps[heads] = -MATCH * (int(sizes.max()) + 1) * 2  # sums begin anew with each window
+    sums = np.cumsum(steps)
+    return np.maximum.reduceat(sums - np.minimum.accumulate(sums), heads)
 
 
 def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
-    every = np.concatenate([x[2] for x in items]) if items else np.zeros(0, U)
+    every = np.unique(np.concatenate([x[1] for x in items])) if items else np.zeros(0, U)
     often = _counted(docs, every) if len(every) else {}
-    seeds: list[tuple[int, int, int]] = []
-    for k, (_, words, own, at) in enumerate(items):
-        n = np.array([often.get(int(g), 0) for g in own])
-        rare = np.argsort(n, kind="stable")[: max(LEAST_SEEDS, math.ceil(len(n) / 2))]
-        seeds += [(int(own[r]), k, int(at[r])) for r in rare]
-    seeds.sort()
-    grams_, item_of, place_of = (np.array(x, t) for x, t in zip(zip(*seeds) if seeds else ((), (), ()), (np.uint64, np.int64, np.int64)))
+    seeds: list[tuple[int, int]] = []
     lengths = np.array([len(x[1]) for x in items], np.int64)
+    least = [_least_sum(n, threshold) for n in lengths.tolist()]
+    reach = 3 * lengths - np.array(least, np.int64)  # so many document words an alignment has at most
+    needed = np.zeros(len(items), np.int64)
+    for k, (_, words) in enumerate(items):
+        kept, needed[k] = _kept_words(words, often, least[k])
+        seeds += [(w, k) for w in kept]
+    seeds.sort()
+    keys_ = np.array([w for w, _ in seeds], U)
+    item_of = np.array([k for _, k in seeds], np.uint16 if len(items) < 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    longest = int(reach.max()) if len(items) else 0
+
+    def blocks(hit, n):
+        """Ranges of hits of about ENTRIES entries; any two hits within reach of each other share one."""
+        i, total = 0, np.append(0, np.cumsum(n))
+        while i < len(hit):
+            j = max(int(np.searchsorted(total, total[i] + ENTRIES, side="right")) - 1, int(np.searchsorted(hit, hit[i] + longest)))
+            yield i, min(j, len(hit))
+            i = int(np.searchsorted(hit, hit[j] - longest + 1)) if j < len(hit) else len(hit)
+
+    def spans(w, lookup, first, many):
+        """(row, item, first word, end) of the parts of rows to be aligned."""
+        owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        hit, key = lookup(w.hash)
+        n, parts = many[key], []
+        for i, j in blocks(hit, n):
+            m, k = n[i:j], key[i:j]
+            item = item_of[np.repeat(first[k] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            order = np.argsort(item, kind="stable")  # hits come in the order of words
+            item, at = item[order], np.repeat(hit[i:j], m)[order]
+            last = np.arange(len(item)) + needed[item] - 1
+            there = np.flatnonzero(last < len(item))
+            last = last[there]
+            near = (item[last] == item[there]) & (at[last] - at[there] < reach[item[there]])
+            near &= owner[at[last]] == owner[at[there]]
+            there, last = there[near], last[near]
+            k, row = item[there].astype(np.int64), owner[at[there]]
+            parts.append(np.stack([row, k, np.maximum(at[last] - reach[k] + 1, w.first[row]), np.minimum(at[there] + reach[k], w.first[row + 1])]))
+        row, item, lo, hi = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+        order = np.lexsort((lo, item, row))
+        row, item, lo, hi = row[order], item[order], lo[order], hi[order]
+        fresh = np.ones(len(row), bool)  # overlapping parts for one item are one; of one item, ends rise with beginnings
+        fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+        heads = np.flatnonzero(fresh)
+        return row[heads], item[heads], lo[heads], hi[np.append(heads[1:], len(row)) - 1] if len(row) else hi
 
     def run(batches):
-        lookup = _Lookup(grams_)
-        first = np.searchsorted(grams_, lookup.keys, side="left")
-        many = np.searchsorted(grams_, lookup.keys, side="right") - first
+        lookup = _Lookup(keys_)
+        first = np.searchsorted(keys_, lookup.keys, side="left")
+        many = np.searchsorted(keys_, lookup.keys, side="right") - first
         for batch in batches:
-            windows, mine, where, starts = [], [], [], []
-            for i, w in _words(batch.column("text")):
-                g, own, at = _row_grams(w, GRAM)
-                hit, k = lookup(g)
-                n = many[k]
-                entry = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                row, item = np.repeat(own[hit], n), item_of[entry]
-                begin = np.repeat(at[hit], n) - place_of[entry]  # where the item would begin in the document
-                order = np.lexsort((begin, item, row))
-                row, item, begin = row[order], item[order], begin[order]
-                pad = lengths[item] // 4 + 4
-                size = np.diff(w.first)[row]
-                lo, hi = np.clip(begin - pad, 0, None), np.minimum(begin + lengths[item] + pad, size)
-                fresh = np.ones(len(row), bool)  # overlapping windows of one item are one
-                fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
-                heads = np.flatnonzero(fresh)
-                tails = np.append(heads[1:], len(row)) - 1
-                for h, t in zip(heads.tolist(), tails.tolist()):
-                    base = w.first[row[h]]
-                    windows.append(w.hash[base + lo[h] : base + hi[t]])
-                    mine.append(int(item[h]))
-                    where.append(i + int(row[h]))
-                    starts.append(int(lo[h]))
-            scores, ends = align(windows, [items[k][1] for k in mine])
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for k, r, s, score, end in zip(mine, where, starts, scores.tolist(), ends.tolist()):
-                if score >= threshold and score > best.get((r, k), (0.0, 0))[0]:
-                    best[r, k] = (score, s + end)
+            for i, w in _words(batch.column("text")):
+                row, item, lo, hi = spans(w, lookup, first, many)
+                windows = [w.hash[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+                by_item, chosen = np.argsort(item, kind="stable"), np.zeros(0, np.int64)
+                for own in np.split(by_item, np.flatnonzero(np.diff(item[by_item])) + 1) if len(item) else []:
+                    k = int(item[own[0]])
+                    chosen = np.append(chosen, own[_upper_bounds([windows[x] for x in own], items[k][1]) >= least[k]])
+                scores, ends = align([windows[x] for x in chosen], [items[item[x]][1] for x in chosen])
+                for k, r, s, score, end in zip(item[chosen].tolist(), row[chosen].tolist(), (lo - w.first[row])[chosen].tolist(), scores.tolist(), ends.tolist()):
+                    if score >= least[k] / (MATCH * lengths[k]) and score > best.get((i + r, k), (0.0, 0))[0]:
+                        best[i + r, k] = (score, s + end)
             keys = sorted(best)
             ids = batch.column("doc_id").take(pa.array([r for r, _ in keys], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([items[k][0] for _, k in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([best[x][1] for x in keys], pa.int64())], ["doc_id", "item_id", "score", "end_word"])

@@ -119,6 +119,39 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame(spark, []).limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_every_alignment(spark):
+    r = random.Random(11)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(900)]
+    draw = lambda n: [r.choice(common if r.random() < 0.3 else rare) for _ in range(n)]
+    items = [(k, draw(r.choice([3, 7, 15, 30, 41]))) for k in range(60)]
+    docs = []
+    for k, x in items:  # each kind of lone, edited copy; no other document holds the item
+        h = len(x) // 2
+        copies = [x[:h], x[h:], x[: h + 1], [y for y in x for y in (y, "ins")]]
+        copies += [[y if j % step else "edit" for j, y in enumerate(x)] for step in (3, 4, 5)]
+        copies += [[y if r.random() > share else "edit" for y in x] for share in (0.2, 0.25)]
+        docs += [draw(r.randint(0, 40)) + copies[k % len(copies)] + draw(r.randint(0, 40))]
+    docs += [draw(100) for _ in range(20)]
+    code = {w: np.uint64(i + 2) for i, w in enumerate(sorted({w for d in docs for w in d} | {w for _, x in items for w in x}))}
+    coded = lambda xs: np.array([code[w] for w in xs], np.uint64)
+    pairs = [(d, k) for d in range(len(docs)) for k in range(len(items))]
+    scores, _ = decontamination.align([coded(docs[d]) for d, _ in pairs], [coded(items[k][1]) for _, k in pairs])
+    want = {p: s for p, s in zip(pairs, scores.tolist()) if s >= decontamination.THRESHOLD}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    got = decontamination.contaminated(frame(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), bench).collect()
+    assert len(want) > 50 and {(x.doc_id, x.item_id): x.score for x in got} == pytest.approx(want)
+
+
+def test_decontamination_in_small_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    item = [f"x{i}" for i in range(30)]
+    docs = [[r.choice(item) if r.random() < 0.2 else "o" for _ in range(300)] for _ in range(5)]
+    docs[2][150:150] = [y if j % 4 else "edit" for j, y in enumerate(item)]
+    monkeypatch.setattr(decontamination, "ENTRIES", 1)
+    found = decontamination._found(frame(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), decontamination._items(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")), 0.45)
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(2, 1)}
+
+
 def test_alignment_scores():
     a = np.arange(10, 30, dtype=np.uint64)
     b = a.copy()
