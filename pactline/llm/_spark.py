@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage(docs)`` for a stage that needs distinct doc_ids: where some are null or repeated, rows get keys of their own.
+
+    The keys are written once to the shared folder. They follow the order of doc_id, nulls
+    last, and the stage's result has the rows' own doc_ids again.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        return stage(docs)
+    keyed = saved(docs.orderBy(F.asc_nulls_last("doc_id")).select(F.col("doc_id").alias("__doc_id"), "*").withColumn("doc_id", F.monotonically_increasing_id()))
+    out = stage(keyed)
+    return out.select(*(F.col("__doc_id").alias(c) if c == "doc_id" else F.col(c) for c in out.columns if c != "__doc_id"))
+
+
 def _least(pairs: DataFrame, key: str, other: str) -> DataFrame:
     return pairs.groupBy(F.col(key).alias("k")).agg(F.least(F.min(other), F.col("k")).alias("m"))
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import table
+from pactline.llm._spark import by_row, table
 from pactline.llm._text import U, Words, buffers, chunks
 
 WHOLE = 3
@@ -243,5 +243,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a copy of a test item, with their columns."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return by_row(docs, lambda d: d.join(contaminated(d, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(d.columns))

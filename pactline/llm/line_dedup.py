@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import saved, table
+from pactline.llm._spark import by_row, saved, table
 
 EDITS = 2
 MIN_CHARS = 30
@@ -219,4 +219,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with repeated lines taken out of their texts."""
-    return without_repeated_lines(docs).select(docs.columns)
+    return by_row(docs, lambda d: without_repeated_lines(d).select(d.columns))

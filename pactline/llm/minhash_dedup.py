@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import components, saved, table
+from pactline.llm._spark import by_row, components, saved, table
 from pactline.llm._text import U, Words, buffers, chunks, mix
 
 COORDINATES = 32
@@ -193,5 +193,4 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the least document of each group of near copies stays, with its columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return by_row(docs, lambda d: d.join(near_duplicates(d).where("kept").select("doc_id"), "doc_id", "left_semi").select(d.columns))

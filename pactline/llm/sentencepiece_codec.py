@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm._segments import Memo, segments
-from pactline.llm._spark import table
+from pactline.llm._spark import by_row, table
 
 MARK = "▁"
 _NONE = float("inf")
@@ -121,9 +121,9 @@ class Codec:
         """Compares the segments that were new since the last call with the library."""
         keys = [k for k in self.fresh if k]  # the empty key is a lone space, which a text cannot start with
         found = [self.fresh[k][2] for k in keys]
-        if found != self.library.encode(keys, num_threads=1):
+        if keys and found != self.library.encode(keys, num_threads=1):
             raise ValueError("the encoding differs from the library's")
-        if [self.fresh[k][1][1:] for k in keys] != self.library.decode(found, num_threads=1):
+        if keys and [self.fresh[k][1][1:] for k in keys] != self.library.decode(found, num_threads=1):
             raise ValueError("the decoding differs from the library's")
         self.fresh = {}
         self.memo.turn()
@@ -220,5 +220,9 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the columns of documents, their text as decoded, and the ids it was encoded to."""
-    coded = encode_ids(docs, vocabulary()).select("doc_id", F.col("ids").alias("token_ids"), F.col("decoded").alias("text"))
-    return docs.drop("text", "token_ids").join(coded, "doc_id").select(*docs.columns, "token_ids")
+
+    def stage(docs: DataFrame) -> DataFrame:
+        coded = encode_ids(docs, vocabulary()).select("doc_id", F.col("ids").alias("token_ids"), F.col("decoded").alias("text"))
+        return docs.drop("text", "token_ids").join(coded, "doc_id").select(*(c for c in docs.columns if c != "token_ids"), "token_ids")
+
+    return by_row(docs, stage)

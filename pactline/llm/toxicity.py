@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm._segments import SegmentCache
-from pactline.llm._spark import saved, table
+from pactline.llm._spark import by_row, saved, table
 
 LENGTH = 4
 DECAY = 0.7
@@ -268,5 +268,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are not predicted toxic, with their columns."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    toxic = toxicity_scores(docs, model).where(F.col("score") >= THRESHOLD).select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    toxic = lambda d: toxicity_scores(d, model).where(F.col("score") >= THRESHOLD).select("doc_id")
+    return by_row(docs, lambda d: d.join(toxic(d), "doc_id", "left_anti").select(d.columns))
