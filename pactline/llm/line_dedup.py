@@ -31,19 +31,20 @@ from pactline.llm._spark import by_row, saved, table
 
 EDITS = 2
 MIN_CHARS = 30
+SHORT = 32  # lines of a list that are compared without a look at their letters
+BLOCK = 256
+BLOCK_CHARS = 1 << 20
+#: fixed values: letters whose counts tell lines apart; which they are changes the work, never the result
+LETTERS = "etaoinsrhldcumfpgbvyоеаинтсрвл"
+FIRST = 32  # characters of the differing parts that are compared before the rest
 FEW = 200_000  # pairs whose ids are sent to every task; more are joined by a shuffle
 
 
-def _segments(length: int | Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, length) of each segment of a line; the last ones take what is left over."""
-    k = edits + 1
-    short = F.floor(length / k).cast("int")
-    long_from = k - length % k  # segments from this number on (counted from 0) have one character more
-    out = []
-    for i in range(k):
-        extra = F.greatest(F.lit(0), F.lit(i) - long_from)
-        out.append(((short * i + extra + 1).cast("int"), (short + F.when(F.lit(i) >= long_from, 1).otherwise(0)).cast("int")))
-    return out
+def _segment(size: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """(start from 1, length) of the i-th of k segments of a line; the last ones take what is left over."""
+    short = F.floor(size / k).cast("int")
+    whole = k - size % k  # segments from this number on (counted from 0) have one character more
+    return (short * i + F.greatest(F.lit(0), i - whole) + 1).cast("int"), (short + (i >= whole).cast("int")).cast("int")
 
 
 def _probes(edits: int):
@@ -114,7 +115,10 @@ def banded_edit_distance(a: Column, b: Column, edits: int) -> Column:
         F.lit(0).alias("vn"),
         F.lit(edits).alias("score"),
     )
-    return F.aggregate(F.split(b, ""), start, step, lambda state: state["score"])
+    lost = lambda state: (state["left"] > 0) & (state["score"] - F.bit_count(state["vp"]) > edits)
+    whole = lambda state: F.aggregate(F.split(F.substr(b, F.lit(FIRST + 1)), ""), state, step, lambda end: end["score"])
+    # most pairs that are too far apart show it in their first characters; the rest is not cut up then
+    return _let(F.aggregate(F.split(F.substr(b, F.lit(1), F.lit(FIRST)), ""), start, step), lambda state: F.when(lost(state), edits + 1).when(F.length(b) <= FIRST, state["score"]).otherwise(whole(state)))
 
 
 def _most_segments(a: Column, b: Column, edits: int) -> Column:
@@ -153,16 +157,64 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, text, chars, id) of the lines that take part; id: a hash that stands for the text."""
+    """(doc_id, line, text, chars, id, check) of the lines that take part; id and check are two hashes that together stand for the text."""
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("chars", F.length("text"))
-    return every.where(F.col("chars") >= min_chars).withColumn("id", F.xxhash64("text"))
+    return every.where(F.col("chars") >= min_chars).withColumn("id", F.xxhash64("text")).withColumn("check", F.hash("text"))
 
 
-def _near(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
-    """The ids of the later lines of the pairs (a, b) that are within ``edits`` edits."""
-    a, b = (known.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("first").alias(f"first_{x}")) for x in "ab")
+def _keys(lines: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """(id, key, posted) of each line and each of the probes (length difference, segment, shift) that fits in it."""
+    # a list of constants is exploded and one expression computes all keys, so that it stays compiled
+    places = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in probes))).alias("p")
+    size, i, k = F.col("chars") - F.col("p.d"), F.col("p.i"), edits + 1
+    start, n = _segment(size, i, k)
+    at = start + F.col("p.shift")
+    fits = (at >= 1) & (at + n - 1 <= F.col("chars"))
+    return lines.select("id", "chars", "text", places).where(fits).select("id", F.xxhash64(size, i, F.substr("text", at, n)).alias("key"), ((F.col("p.d") == 0) & (F.col("p.shift") == 0)).alias("posted"))
+
+
+def _near_stars(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
+    """(id, check) of the later lines of the pairs (a, b) that are within ``edits`` edits."""
+    a, b = (known.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("check", "text", "first"))) for x in "ab")
     close = pairs.join(a, "a").join(b, "b").where(within(F.col("text_a"), F.col("text_b"), edits))
-    return close.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    later = F.col("first_a") > F.col("first_b")
+    return close.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(later, F.col("check_a")).otherwise(F.col("check_b")).alias("check")).distinct()
+
+
+def _letter_keys(key: Column, text: Column, edits: int) -> Column:
+    """``2 * edits + 1`` keys, of which two lines within ``edits`` edits share at least one.
+
+    The letters of LETTERS are dealt to as many groups; an edit changes how often at most two
+    letters occur, so the counts of some group are equal.
+    """
+    groups = 2 * edits + 1
+    own = [LETTERS[g::groups] for g in range(groups)]
+    count = lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    return F.transform(F.array(*(F.array(*map(F.lit, g)) for g in own)), lambda letters, g: F.xxhash64(key, g, F.transform(letters, count)))
+
+
+def _near_in_lists(lists: DataFrame, edits: int) -> DataFrame:
+    """(id, check) of the open lines that are within ``edits`` edits of an earlier line of one of their lists.
+
+    ``lists``: (key, id, check, text, first, posted, open). Lists of more than ``SHORT`` lines are
+    dealt out again by the counts of letters. What stands in one list then meets in blocks of
+    at most about ``BLOCK`` lines or ``BLOCK_CHARS`` characters, a row for each pair of blocks;
+    lines that have no earlier partner yet look for one in the rows' arrays, and pairs of lines
+    are never written.
+    """
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1").select("key", "n")
+    lists = lists.join(sizes, "key")
+    fine = lists.withColumn("key", F.explode(F.when(F.col("n") > SHORT, _letter_keys(F.col("key"), F.col("text"), edits)).otherwise(F.array("key")))).drop("n")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_CHARS)).cast("int")
+    sizes = fine.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("m"), F.max("open").alias("any")).where("any and n > 1").select("key", parts.alias("parts"))
+    placed = fine.join(sizes, "key").withColumn("own", F.pmod(F.hash("id"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = placed.groupBy("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y")).agg(F.collect_list(F.struct("id", "check", "text", "first", "posted", "open", "own")).alias("own"))
+
+    def partner(x: Column) -> Column:
+        near = lambda y: (y["first"] < x["first"]) & (x["posted"] | y["posted"]) & (F.abs(F.length(x["text"]) - F.length(y["text"])) <= edits) & within(x["text"], y["text"], edits)
+        return F.exists("own", near)
+
+    return blocks.select(F.explode(F.filter("own", lambda x: x["open"] & partner(x))).alias("x")).select("x.id", "x.check").distinct()
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -170,37 +222,26 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     min_chars = max(min_chars, 3 * max(edits, 1))
     lines = _lines(docs, min_chars)
     at = F.struct("doc_id", "line")
-    firsts = saved(lines.select("id", at.alias("at")).groupBy("id").agg(F.min("at").alias("first"), F.count("*").alias("n")))
-    length = F.col("chars")
-    posts = [F.xxhash64(length, F.lit(i), F.substr("text", s, n)) for i, (s, n) in enumerate(_segments(length, edits))]
-    probes = []
-    for d, i, shift in _probes(edits):
-        if d == 0 and shift == 0:
-            continue  # a line's own posting is this probe
-        s, n = _segments(length - d, edits)[i]
-        probes.append(F.when((s + shift >= 1) & (s + shift + n - 1 <= length), F.xxhash64(length - d, F.lit(i), F.substr("text", s + shift, n))))
+    firsts = saved(lines.select("id", "check", at.alias("at")).groupBy("id", "check").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    posts = [(0, i, 0) for i in range(edits + 1)]
+    probes = posts + [p for p in _probes(edits) if p not in posts]
     # the least and the greatest id stand for a list: a list of one line has no other use
-    heads = lines.select("id", F.explode(F.array(*posts)).alias("key")).groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    keyed = lines.select("id", F.posexplode(F.array(*posts, *probes)).alias("k", "key")).where("key is not null")
-    met = keyed.join(heads.hint("shuffle_hash"), "key").where("id <> head or head <> last")
-    hits = saved(met.select("key", "id", "head", (F.col("k") <= edits).alias("posted"), (F.col("head") != F.col("last")).alias("many")).distinct())
+    heads = _keys(lines, posts, edits).groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+    met = _keys(lines, probes, edits).join(heads, "key").where("id <> head or head <> last")
+    hits = saved(met.select("key", "id", "head", "posted", (F.col("head") != F.col("last")).alias("many")).distinct())
     ids = saved(hits.select(F.explode(F.array("id", "head")).alias("id")).distinct())
     ids = F.broadcast(ids) if ids.count() <= FEW else ids  # only so many ids are sent to every task; more are joined by a shuffle
-    texts = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    known = saved(texts.join(firsts, "id").select("id", "text", "first"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = saved(hits.where("id <> head").select(*pair("id", "head")).distinct())
-    done = saved(_near(stars, known, edits))
-    # lists of several lines: those without a partner yet meet the other lines posted there
-    several = hits.where("many")
-    rest = several.where("id <> head").join(several.where("posted").select("key", F.col("id").alias("other")).distinct(), "key").where("id <> other and other <> head")
-    rest = rest.select(*pair("id", "other")).distinct().join(stars, ["a", "b"], "left_anti")
-    when = lambda c: known.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}"))
-    later = rest.join(when("a"), "a").join(when("b"), "b").withColumn("later", F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")))
-    still_open = saved(later.join(done.select(F.col("id").alias("later")), "later", "left_anti").select("a", "b"))
-    gone = done.unionByName(_near(still_open, known, edits)).distinct()
-    flagged = firsts.join(gone.withColumn("near", F.lit(True)), "id", "left").where("n > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.select("doc_id", "line", "id").join(flagged, "id").where(F.col("near") | (at != F.col("first"))).select("doc_id", "line")
+    texts = lines.join(ids, "id", "left_semi").groupBy("id", "check").agg(F.min("text").alias("text"))
+    known = saved(texts.join(firsts, ["id", "check"]).select("id", "check", "text", "first"))
+    stars = hits.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    done = saved(_near_stars(stars, known, edits))
+    # lists of several lines: those without a partner yet look for one among the others
+    several = hits.where("many").groupBy("key", "id").agg(F.max("posted").alias("posted"), F.min("head").alias("head"))
+    members = several.join(known, "id").join(done.withColumn("done", F.lit(True)), ["id", "check"], "left")
+    members = members.select("key", "id", "check", "text", "first", "posted", (F.col("done").isNull() & (F.col("id") != F.col("head"))).alias("open"))
+    gone = done.unionByName(_near_in_lists(members, edits)).distinct()
+    flagged = firsts.join(gone.withColumn("near", F.lit(True)), ["id", "check"], "left").where("n > 1 or near").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    return lines.select("doc_id", "line", "id", "check").join(flagged, ["id", "check"]).where(F.col("near") | (at != F.col("first"))).select("doc_id", "line")
 
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

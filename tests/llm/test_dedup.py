@@ -172,3 +172,24 @@ def test_lines(spark):
     assert {x.doc_id: x.text for x in line_dedup.without_repeated_lines(docs).collect()} == want
     assert line_dedup.without_line_copies(spark, docs, "").columns == docs.columns
     assert line_dedup.without_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_in_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHORT", 8)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "FIRST", 6)
+    r = random.Random(5)
+    base = "".join(r.choices("abcdefghi klmnop", k=90))
+    lines = []
+    for _ in range(220):  # copies with some words replaced share a segment with most others
+        own = base
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(0, 80)
+            own = own[:k] + "".join(r.choices("uvwxyz", k=r.randint(4, 7))) + own[k + 6 :]
+        lines.append(own)
+        if r.random() < 0.3:
+            lines.append(edited(r, own, r.randint(0, 3)))
+    r.shuffle(lines)
+    want = {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in lines[:i])}
+    got = {x.doc_id for x in line_dedup.repeated_lines(frame(spark, list(enumerate(lines)))).collect()}
+    assert len(want) > 20 and got == want
