@@ -6,12 +6,18 @@ a word with characters put in between (``i-d-i-o-t``, ``idxiot``) shares its sub
 with the word itself at a lower weight. Single characters with spaces between them count as
 one more word.
 
-Training works on labelled sentences: words are ranked by how much oftener they stand in
-distinct sentences of documents with the label than in the rest; the first ``LANDMARKS`` are
-the landmarks. A document's similarity to each landmark is pooled over its words (largest,
-and damped sum), mapped by the inverse root of the landmarks' kernel matrix (Nyström), and
-a linear support vector machine is fitted to at most ``SAMPLE`` labelled documents, chosen
-by a hash of doc_id; a logistic curve over its margin gives the score.
+Sentences are compared as bags of words: the kernel of two sentences is the sum over their
+words of two powers of the words' kernel (``POWERS``: the higher one counts near equal words,
+the lower one gapped ones as well), and a landmark is a sentence of one word. The landmarks
+are the ``LANDMARKS`` words that stand most oftener in distinct sentences of documents with
+the label than in the rest. A sentence's kernel values with them, times the inverse root of
+the landmarks' own kernel matrix, are its Nyström features.
+
+A linear support vector machine is trained on labelled sentences: of each of at most
+``SAMPLE`` labelled documents, chosen by a hash of doc_id, the sentence that is most like the
+landmarks, as a label holds for a document as a whole. A document's margin is that of its
+worst sentence (at least that of a sentence like no landmark); a logistic curve over it gives
+the score.
 
 Every word of every whole text is looked up, in lower case and without punctuation. Pairs of
 a word and a landmark that share less than ``SHARED`` of the landmark's adjacent letter pairs
@@ -34,16 +40,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm._segments import SegmentCache
-from pactline.llm._spark import by_row, saved, table
+from pactline.llm._spark import saved, table
 
 LENGTH = 4
 DECAY = 0.7
 LANDMARKS = 64
 SAMPLE = 8_000
 THRESHOLD = 0.3
+POWERS = (4, 8)
+CACHED = 60_000  # words of a generation that a worker keeps
 WIDTH = 24  # characters of a word at once; longer ones are compared in overlapping pieces
 SHARED = 0.65
 _OTHER = re.compile(r"[\W_]+")
+#: the ends of sentences, for Python and for Spark alike
+SENTENCE = r"[.!?]+(?:\s+|$)|\n+"
+_ENDS = re.compile(SENTENCE)
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -93,7 +104,7 @@ class Similarity:
         self.bits = _pair_bits(self.codes, 1)
         self.need = SHARED * self.bits.sum(axis=1)
         self.own = subsequence_kernel(self.codes, self.codes)
-        self.cache = SegmentCache(self._many, 150_000)
+        self.cache = SegmentCache(self._many, CACHED)
 
     def _many(self, words: list[str]) -> list[tuple]:
         pieces, owner = [], []
@@ -118,24 +129,33 @@ class Similarity:
                         out[k][m] = v
         return [tuple(x.items()) for x in out]
 
-    def pooled(self, texts: list[str]) -> np.ndarray:
-        """For each text, the largest and the summed similarity of its distinct words to each landmark."""
-        rows = []
-        for text in texts:
-            text = text.lower()
-            words = {w if w.isalpha() else _OTHER.sub("", w) for w in set(text.split())}
-            words.update(re.sub(r"\s", "", m[0]) for m in _SPACED.finditer(text))
-            rows.append(words)
+    def sentences(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text, the kernel values with the landmarks of its distinct sentences that are like any."""
+        lowered = [text.lower() for text in texts]
+        rows = [_words(text) for text in lowered]
         every = list(set().union(*rows))
         near = {w: found for w, found in zip(every, self.cache(every)) if found}
-        out = np.zeros((len(texts), 2, len(self.codes)))
-        for row, words in zip(out, rows):
-            for w in sorted(words & near.keys()):
-                for m, v in near[w]:
-                    row[0, m] = max(row[0, m], v)
-                    row[1, m] += v * v
-        out[:, 1] = np.log1p(out[:, 1])
-        return out.reshape(len(texts), -1)
+        out = []
+        for text, words in zip(lowered, rows):
+            found = {}
+            if not words.isdisjoint(near):
+                for sentence in _ENDS.split(text):
+                    if own := _words(sentence) & near.keys():
+                        value = np.zeros((len(POWERS), len(self.codes)))
+                        for w in sorted(own):
+                            for m, v in near[w]:
+                                for k, power in enumerate(POWERS):
+                                    value[k, m] += v**power
+                        found[value.tobytes()] = value
+            out.append(np.array(list(found.values())).reshape(-1, len(POWERS) * len(self.codes)))
+        return out
+
+
+def _words(text: str) -> set[str]:
+    """The distinct words of a text in lower case; single characters with spaces between them are one more."""
+    words = {w if w.isalpha() else _OTHER.sub("", w) for w in set(text.split())}
+    words.update(re.sub(r"\s", "", m[0]) for m in _SPACED.finditer(text))
+    return words
 
 
 def _grouped(texts: pa.Array, size: int = 1 << 20):
@@ -154,13 +174,14 @@ def _grouped(texts: pa.Array, size: int = 1 << 20):
 @dataclass(frozen=True)
 class Model:
     landmarks: tuple[str, ...]
-    weights: np.ndarray  # over the pooled similarities; the Nyström map is folded in
+    weights: np.ndarray  # over a sentence's kernel values; the Nyström map is folded in
     bias: float
     slope: float
     offset: float
 
-    def score(self, pooled: np.ndarray) -> np.ndarray:
-        margin = pooled @ self.weights + self.bias
+    def score(self, sentences: list[np.ndarray]) -> np.ndarray:
+        """The scores of documents, given their sentences' kernel values."""
+        margin = np.array([max([0.0, *(x @ self.weights)]) for x in sentences]) + self.bias
         return 1 / (1 + np.exp(np.clip(-(self.slope * margin + self.offset), -50, 50)))
 
 
@@ -197,7 +218,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _landmarks(sample: DataFrame, most: int) -> list[str]:
     """The words of labelled sentences that speak most for the label; a bounded list."""
-    sentences = sample.select("toxic", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence")).distinct()
+    sentences = sample.select("toxic", F.explode(F.split(F.lower("text"), SENTENCE)).alias("sentence")).distinct()
     words = sentences.select("toxic", F.explode(F.array_distinct(F.transform(F.split("sentence", r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")))).alias("word")).where(F.length("word").between(3, WIDTH))
     totals = sentences.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     counts = words.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).where("pos >= 3")
@@ -206,55 +227,71 @@ def _landmarks(sample: DataFrame, most: int) -> list[str]:
     return [r.word for r in ranked.collect()]
 
 
-def _pooled(landmarks: tuple[str, ...]):
+def _sentences(landmarks: tuple[str, ...]):
     def run(batches):
         own = Similarity(list(landmarks))
         for batch in batches:
-            rows = [r for texts in _grouped(batch.column("text")) for r in own.pooled(texts).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "pooled"])
+            rows = [r.tolist() for texts in _grouped(batch.column("text")) for r in own.sentences(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.list_(pa.float64())))], ["toxic", "sentences"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LANDMARKS) -> Model:
-    """Fits the model to at most ``sample`` labelled documents that are not held out."""
-    chosen = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` rows of two numbers: a proven bound
-    rows = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")))
+    """Fits the model to at most ``sample`` labelled documents that are not held out.
+
+    A doc_id that is repeated counts once: with its largest label and its least text.
+    """
+    chosen = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # at most ``sample`` rows of two numbers, and as many texts: a proven bound
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = saved(rows.select("toxic", "text"))
     landmarks = tuple(_landmarks(rows, most))
     if not landmarks:
         share = rows.agg(F.avg("toxic")).first()[0] or 0.0
         return Model((), np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    got = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_pooled(landmarks), "toxic int, pooled array<double>").toArrow()
-    y = got["toxic"].to_numpy()
-    x = np.array(got["pooled"].combine_chunks().flatten()).reshape(len(y), -1)
-    order = np.array(sorted(range(len(y)), key=lambda k: (int(y[k]), x[k].tobytes())))  # the result must not depend on the order in which tasks end
-    x, y = x[order], y[order]
-    codes = Similarity(list(landmarks))
+    got = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_sentences(landmarks), "toxic int, sentences array<array<double>>").toArrow()
     n = len(landmarks)
+    size = len(POWERS) * n
+    bags = [np.array(x, float).reshape(-1, size) for x in got["sentences"].to_pylist()]
+    bags = [x[np.lexsort(x.T)] for x in bags]
+    label = got["toxic"].to_numpy()
+    order = sorted(range(len(bags)), key=lambda k: (int(label[k]), bags[k].tobytes()))  # the result must not depend on the order in which tasks end
+    bags, y = [np.concatenate([np.zeros((1, size)), bags[k]]) for k in order], label[order]
+    codes = Similarity(list(landmarks))
     pairs = np.indices((n, n)).reshape(2, -1)
     gram = (subsequence_kernel(codes.codes[pairs[0]], codes.codes[pairs[1]]) / np.sqrt(codes.own[pairs[0]] * codes.own[pairs[1]])).reshape(n, n).astype(float)
-    values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    both = np.zeros((2 * n, 2 * n))
-    both[:n, :n] = both[n:, n:] = root
-    z = x @ both
-    scale = z.std(axis=0) + 1e-6
-    w = _svm(z / scale, np.where(y > 0, 1.0, -1.0))
-    weights = both @ (w[:-1] / scale)
-    slope, offset = _logistic(x @ weights + w[-1], y.astype(float))
-    return Model(landmarks, weights, float(w[-1]), slope, offset)
+    root = np.zeros((size, size))
+    for k, power in enumerate(POWERS):
+        values, vectors = np.linalg.eigh(gram**power)
+        root[k * n : k * n + n, k * n : k * n + n] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
+    features = np.array([x[x.sum(axis=1).argmax()] for x in bags]) @ root
+    scale = features.std() + 1e-6
+    w = _svm(features / scale, np.where(y > 0, 1.0, -1.0))
+    weights, bias = root @ (w[:-1] / scale), float(w[-1])
+    margin = np.array([(x @ weights).max() for x in bags]) + bias
+    slope, offset = _logistic(margin, y.astype(float))
+    return Model(landmarks, weights, bias, slope, offset)
+
+
+def _scores(model: Model):
+    """A function from an Arrow text column to the scores of its rows."""
+    own = Similarity(list(model.landmarks)) if model.landmarks else None
+
+    def run(texts: pa.Array) -> np.ndarray:
+        parts = [model.score(own.sentences(some)) if own else model.score([np.zeros((0, 0))] * len(some)) for some in _grouped(texts)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    return run
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``docs`` (doc_id, text)."""
 
     def run(batches):
-        own = Similarity(list(model.landmarks)) if model.landmarks else None
+        scores = _scores(model)
         for batch in batches:
-            parts = [own.pooled(texts) if own else np.zeros((len(texts), 0)) for texts in _grouped(batch.column("text"))]
-            pooled = np.concatenate([np.zeros((0, len(model.weights))), *parts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(pooled), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -266,7 +303,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not predicted toxic, with their columns."""
+    """Pipeline stage: documents that are not predicted toxic, with their columns.
+
+    Rows are judged where they stand, so null and repeated doc_ids keep their rows.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
-    toxic = lambda d: toxicity_scores(d, model).where(F.col("score") >= THRESHOLD).select("doc_id")
-    return by_row(docs, lambda d: d.join(toxic(d), "doc_id", "left_anti").select(d.columns))
+
+    def run(batches):
+        scores = _scores(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text")) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
