@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import by_row, table
+from pactline.llm._spark import table
 from pactline.llm._text import U, Words, buffers, chunks
 
 WHOLE = 3
@@ -155,7 +155,8 @@ def _upper_bounds(windows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(sums - np.minimum.accumulate(sums), heads)
 
 
-def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
+def _scorer(docs: DataFrame, items: list, threshold: float):
+    """A function over Arrow batches that aligns their texts with the items."""
     every = np.unique(np.concatenate([x[1] for x in items])) if items else np.zeros(0, U)
     often = _counted(docs, every) if len(every) else {}
     seeds: list[tuple[int, int]] = []
@@ -205,7 +206,8 @@ def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
         heads = np.flatnonzero(fresh)
         return row[heads], item[heads], lo[heads], hi[np.append(heads[1:], len(row)) - 1] if len(row) else hi
 
-    def run(batches):
+    def scored(batches):
+        """(batch, {(row, item): (score, last word)}) of each batch."""
         lookup = _Lookup(keys_)
         first = np.searchsorted(keys_, lookup.keys, side="left")
         many = np.searchsorted(keys_, lookup.keys, side="right") - first
@@ -222,6 +224,16 @@ def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
                 for k, r, s, score, end in zip(item[chosen].tolist(), row[chosen].tolist(), (lo - w.first[row])[chosen].tolist(), scores.tolist(), ends.tolist()):
                     if score >= least[k] / (MATCH * lengths[k]) and score > best.get((i + r, k), (0.0, 0))[0]:
                         best[i + r, k] = (score, s + end)
+            yield batch, best
+
+    return scored
+
+
+def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
+    scored = _scorer(docs, items, threshold)
+
+    def run(batches):
+        for batch, best in scored(batches):
             keys = sorted(best)
             ids = batch.column("doc_id").take(pa.array([r for r, _ in keys], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([items[k][0] for _, k in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([best[x][1] for x in keys], pa.int64())], ["doc_id", "item_id", "score", "end_word"])
@@ -229,12 +241,28 @@ def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, end_word) of each document and test item that it holds a copy of."""
+def _clean(docs: DataFrame, counted: DataFrame, items: list, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that hold a copy of no item; words are counted in ``counted``."""
+    scored = _scorer(counted, items, threshold)
+
+    def run(batches):
+        for batch, best in scored(batches):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r for r, _ in best]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _slices(benchmark: DataFrame) -> list[DataFrame]:
     words = benchmark.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # at most so many words
     slices = max(1, math.ceil(words / SLICE))
-    parts = [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else benchmark for k in range(slices)]
-    return reduce(DataFrame.unionByName, (_found(docs, _items(part), threshold) for part in parts))
+    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else benchmark for k in range(slices)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, end_word) of each document and test item that it holds a copy of."""
+    return reduce(DataFrame.unionByName, (_found(docs, _items(part), threshold) for part in _slices(benchmark)))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,6 +270,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a copy of a test item, with their columns."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    return by_row(docs, lambda d: d.join(contaminated(d, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(d.columns))
+    """Pipeline stage: documents without a copy of a test item, with their columns.
+
+    Rows are judged where they stand, so null and repeated doc_ids keep their rows.
+    """
+    return reduce(lambda d, part: _clean(d, docs, _items(part), THRESHOLD), _slices(table(spark, sf_dir, "benchmark")), docs)

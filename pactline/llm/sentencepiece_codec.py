@@ -20,15 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pactline.llm._segments import Memo, segments
-from pactline.llm._spark import by_row, table
+from pactline.llm._spark import table
 
 MARK = "▁"
+CACHED = 120_000  # segments of a generation that a worker keeps
 _NONE = float("inf")
 
 
@@ -53,7 +56,7 @@ class Codec:
             raise ValueError("only models with byte pieces, identity normalisation and a space put first are supported")
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece runs over the start of a word or over a line end")
-        self.memo = Memo(self._entry, 300_000)
+        self.memo = Memo(self._entry, CACHED)
         self.fresh: dict[str, tuple[str, str, list[int]]] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -172,6 +175,20 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
+def _coded(own: Codec, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(ids, decoded texts) of a text column; ids are gathered in flat arrays, text by text."""
+    flat, ends, decoded = array("i"), array("i", [0]), []
+    for text in texts:
+        found = own.segments(text.as_py() or "")
+        for s in found:
+            flat.extend(s[2])
+        ends.append(len(flat))
+        decoded.append("".join([s[1] for s in found])[1:])
+    own.check()
+    ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+    return ids, pa.array(decoded, pa.string())
+
+
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded) for every row of ``docs`` (doc_id, text)."""
     model = _model(path)
@@ -179,10 +196,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         own = codec(model)
         for batch in batches:
-            rows = [own.segments(t or "") for t in batch.column("text").to_pylist()]
-            own.check()
-            ids = pa.array([[i for s in r for i in s[2]] for r in rows], pa.list_(pa.int32()))
-            decoded = pa.array(["".join(s[1] for s in r)[1:] for r in rows], pa.string())
+            ids, decoded = _coded(own, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -219,10 +233,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the columns of documents, their text as decoded, and the ids it was encoded to."""
+    """Pipeline stage: the columns of documents, their text as decoded, and the ids it was encoded to.
+
+    Rows are encoded where they stand, so null and repeated doc_ids keep their rows.
+    """
+    docs = docs.drop("token_ids")
+    model = _model(vocabulary())
 
-    def stage(docs: DataFrame) -> DataFrame:
-        coded = encode_ids(docs, vocabulary()).select("doc_id", F.col("ids").alias("token_ids"), F.col("decoded").alias("text"))
-        return docs.drop("text", "token_ids").join(coded, "doc_id").select(*(c for c in docs.columns if c != "token_ids"), "token_ids")
+    def run(batches):
+        own = codec(model)
+        for batch in batches:
+            ids, decoded = _coded(own, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*(decoded if c == "text" else batch.column(c) for c in batch.schema.names), ids], [*batch.schema.names, "token_ids"])
 
-    return by_row(docs, stage)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
