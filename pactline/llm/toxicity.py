@@ -228,11 +228,27 @@ def _landmarks(sample: DataFrame, most: int) -> list[str]:
 
 
 def _sentences(landmarks: tuple[str, ...]):
+    """(toxic, sentences, worst): the kernel values of a document's sentences and of the one most like the landmarks, as 32-bit numbers."""
+
     def run(batches):
         own = Similarity(list(landmarks))
         for batch in batches:
-            rows = [r.tolist() for texts in _grouped(batch.column("text")) for r in own.sentences(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.list_(pa.float64())))], ["toxic", "sentences"])
+            every, worst = [], []
+            for texts in _grouped(batch.column("text")):
+                for x in own.sentences(texts):
+                    x = np.concatenate([np.zeros((1, x.shape[1])), x[np.lexsort(x.T)]]).astype("<f4")
+                    every.append(x.tobytes())
+                    worst.append(x[x.sum(axis=1).argmax()].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(every, pa.binary()), pa.array(worst, pa.binary())], ["toxic", "sentences", "worst"])
+
+    return run
+
+
+def _margins(weights: np.ndarray, bias: float):
+    def run(batches):
+        for batch in batches:
+            out = [float((np.frombuffer(x.as_py(), "<f4").reshape(-1, len(weights)).astype(float) @ weights).max()) + bias for x in batch.column("sentences")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.float64())], ["toxic", "margin"])
 
     return run
 
@@ -250,27 +266,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     if not landmarks:
         share = rows.agg(F.avg("toxic")).first()[0] or 0.0
         return Model((), np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    got = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_sentences(landmarks), "toxic int, sentences array<array<double>>").toArrow()
+    vectors = saved(rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_sentences(landmarks), "toxic int, sentences binary, worst binary"))
     n = len(landmarks)
     size = len(POWERS) * n
-    bags = [np.array(x, float).reshape(-1, size) for x in got["sentences"].to_pylist()]
-    bags = [x[np.lexsort(x.T)] for x in bags]
-    label = got["toxic"].to_numpy()
-    order = sorted(range(len(bags)), key=lambda k: (int(label[k]), bags[k].tobytes()))  # the result must not depend on the order in which tasks end
-    bags, y = [np.concatenate([np.zeros((1, size)), bags[k]]) for k in order], label[order]
+    # a vector for each of the documents; in an order that does not depend on how tasks end
+    got = sorted(zip(*vectors.select("toxic", "worst").toArrow().to_pydict().values()))
+    y = np.array([toxic for toxic, _ in got])
+    worst = np.frombuffer(b"".join(x for _, x in got), "<f4").reshape(-1, size).astype(float)
     codes = Similarity(list(landmarks))
     pairs = np.indices((n, n)).reshape(2, -1)
     gram = (subsequence_kernel(codes.codes[pairs[0]], codes.codes[pairs[1]]) / np.sqrt(codes.own[pairs[0]] * codes.own[pairs[1]])).reshape(n, n).astype(float)
     root = np.zeros((size, size))
     for k, power in enumerate(POWERS):
-        values, vectors = np.linalg.eigh(gram**power)
-        root[k * n : k * n + n, k * n : k * n + n] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    features = np.array([x[x.sum(axis=1).argmax()] for x in bags]) @ root
+        values, axes = np.linalg.eigh(gram**power)
+        root[k * n : k * n + n, k * n : k * n + n] = axes @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ axes.T
+    features = worst @ root
     scale = features.std() + 1e-6
     w = _svm(features / scale, np.where(y > 0, 1.0, -1.0))
     weights, bias = root @ (w[:-1] / scale), float(w[-1])
-    margin = np.array([(x @ weights).max() for x in bags]) + bias
-    slope, offset = _logistic(margin, y.astype(float))
+    margins = sorted(zip(*vectors.mapInArrow(_margins(weights, bias), "toxic int, margin double").toArrow().to_pydict().values()))
+    slope, offset = _logistic(np.array([m for _, m in margins]), np.array([float(toxic) for toxic, _ in margins]))
     return Model(landmarks, weights, bias, slope, offset)
 
 
