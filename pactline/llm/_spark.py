@@ -26,6 +26,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``stage(docs)`` for a stage that needs distinct doc_ids: where some are null or repeated, rows get keys of their own.
 
@@ -35,9 +43,10 @@ def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFram
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
         return stage(docs)
-    keyed = saved(docs.orderBy(F.asc_nulls_last("doc_id")).select(F.col("doc_id").alias("__doc_id"), "*").withColumn("doc_id", F.monotonically_increasing_id()))
+    own = unused(docs, "own_doc_id")
+    keyed = saved(docs.orderBy(F.asc_nulls_last("doc_id")).select(F.col("doc_id").alias(own), "*").withColumn("doc_id", F.monotonically_increasing_id()))
     out = stage(keyed)
-    return out.select(*(F.col("__doc_id").alias(c) if c == "doc_id" else F.col(c) for c in out.columns if c != "__doc_id"))
+    return out.select(*(F.col(own).alias(c) if c == "doc_id" else F.col(c) for c in out.columns if c != own))
 
 
 def _least(pairs: DataFrame, key: str, other: str) -> DataFrame:

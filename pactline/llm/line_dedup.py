@@ -18,8 +18,8 @@ starts and ends are cut, and what differs is verified by a bit-parallel edit dis
 band of ``2 * EDITS + 1`` diagonals, one step for each character.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line;
-repeated doc_ids are not supported (the order would not be defined); an empty table gives
-an empty result; other columns are kept as they are, whatever their names.
+rows with null or repeated doc_ids are told apart, in the order of doc_id, nulls last, and
+among equals in an order fixed for the run; an empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import by_row, saved, table
+from pactline.llm._spark import by_row, saved, table, unused
 
 EDITS = 2
 MIN_CHARS = 30
@@ -246,11 +246,16 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the repeated lines taken out of text, and the columns n_lines and n_removed added."""
-    gone = repeated_lines(docs, edits, min_chars).groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = docs.join(gone, "doc_id", "left")
+    return by_row(docs, lambda d: _without(d, edits, min_chars))
+
+
+def _without(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    gone = unused(docs, "gone")
+    repeated = repeated_lines(docs, edits, min_chars).groupBy("doc_id").agg(F.collect_list("line").alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return out.select(*names, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    return docs.join(repeated, "doc_id", "left").select(*names, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text"), lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,4 +265,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with repeated lines taken out of their texts."""
-    return by_row(docs, lambda d: without_repeated_lines(d).select(d.columns))
+    return without_repeated_lines(docs).select(docs.columns)

@@ -213,7 +213,7 @@ def test_surrogates(spark):
     ]
     rows += [(100 + i, f"u{i}@a.b") for i in range(60)]
     docs = frame(spark, rows)
-    got = {x.doc_id: x for x in pii_surrogates.with_surrogates(docs).collect()}
+    got = {x.doc_id: x for x in pii_surrogates.with_surrogates(docs, "k").collect()}
     assert got[2].text is None and got[3].text == "" and got[5].text == rows[4][1]
     one = re.fullmatch(r"Mail ([A-Z][a-z]{2}\.\d\d)@\S+\.example or (\S+)@\S+\.example, \+1 (\(\d{3}\) \d{3}-\d{4}) and \+1-(\S+); ([\d ]{19}), (\d{16})!", got[1].text)
     assert one and one[1].lower() == one[2] and re.sub(r"\D", "", one[3]) == re.sub(r"\D", "", one[4]) and one[5].replace(" ", "") == one[6]
@@ -222,4 +222,43 @@ def test_surrogates(spark):
     assert four and four[1] in pii_surrogates.GIVEN["f", "latin"] and four[4] in pii_surrogates.GIVEN["f", "cyrillic"]
     assert len({got[100 + i].text for i in range(60)}) == 60
     assert not {got[100 + i].text for i in range(60)} & {t for _, t in rows}
-    assert pii_surrogates.with_surrogates(docs.limit(0)).count() == 0
+    assert pii_surrogates.with_surrogates(docs.limit(0), "k").count() == 0
+
+
+def test_surrogates_of_full_shapes(spark):
+    """More entities than half a shape has room for, and every entity of a shape: distinct, none of them real, and it ends."""
+    forms = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}.{b}.1.2" for a in range(10) for b in range(10)] + [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(2) for c in range(10) for d in range(10)]
+    got = pii_surrogates.surrogates(spark.createDataFrame([(x,) for x in forms], "entity string"), "k").collect()
+    real = set(forms)
+    assert len(got) == len(real) == len({x.surrogate for x in got}) and not real & {x.surrogate for x in got}
+    domains = {}
+    for x in got:
+        if x.kind == "email":
+            assert domains.setdefault(x.entity.split("@")[1], x.surrogate.split("@")[1]) == x.surrogate.split("@")[1]
+        else:
+            assert all(int(p) < 256 for p in x.surrogate.split("."))
+
+
+def test_surrogates_keep_references_together(spark):
+    names = ["Mr Smith", "Mr. Smith", "Mr John Smith", "Mr. Paul Smith", "Mrs Smith", "Mrs Ann Smith", "Mr Jones", "Herr Schmidt"]
+    got = {x.entity: x.surrogate for x in pii_surrogates.surrogates(spark.createDataFrame([(x,) for x in names], "entity string"), "k").collect()}
+    family = {x: y.split()[-1] for x, y in got.items()}
+    assert len({family[x] for x in names[:6]}) == 1 and len({family[x] for x in names[5:]}) == 3
+    assert got["Mr John Smith"].split()[1] != got["Mr. Paul Smith"].split()[1] and got["Mrs Ann Smith"].split()[1] in pii_surrogates.GIVEN["f", "latin"]
+    assert got["Mr Smith"].startswith("Mr ") and got["Mr. Smith"].startswith("Mr. ")
+    again = {x.entity: x.surrogate for x in pii_surrogates.surrogates(spark.createDataFrame([(x,) for x in names], "entity string"), "other").collect()}
+    assert again != got
+    with pytest.raises(ValueError):
+        pii_surrogates.surrogates(spark.createDataFrame([("Mr X",)], "entity string"), "")
+
+
+def test_surrogates_of_cards_and_repeated_ids(spark):
+    luhn = lambda d: sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10
+    cards = ["4111111111111111", "4111111111111112", "5500000000000004", "4012888888881881"]
+    rows = [(1, "card " + cards[0]), (1, "nothing here"), (None, "mail a.b@c.de"), (None, cards[1] + " and " + cards[2]), (2, cards[3])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, new string")
+    got = sorted(((x.doc_id or 0, x.n_entities, x.text, x.new) for x in pii_surrogates.with_surrogates(docs, "k").collect()))
+    assert [x[:2] for x in got] == [(0, 1), (0, 2), (1, 0), (1, 1), (2, 1)] and got[2][2] == "nothing here"
+    assert {x[3] for x in got} == {"x"}
+    found = re.findall(r"\d{16}", " ".join(x[2] for x in got))
+    assert len(set(found)) == 4 and not set(found) & set(cards) and sorted(luhn(x) == 0 for x in found) == [False, True, True, True]
