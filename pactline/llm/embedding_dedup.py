@@ -5,14 +5,18 @@ most sqrt(2 - 2 t). Equal unit vectors are one point with a count.
 
 The top of the tree is laid out on Spark: a bounded sample gives centres, nested levels of
 them with halving radii (each level's centres stay centres below), and every point goes to
-the nearest centre of the lowest level. Covering radii are measured over all points, so two
-nodes need each other only if the distance of their centres is at most the sum of their
-radii and the threshold. Nodes of many points are cut into blocks of bounded size.
-
-Below, each pair of blocks is a task: both blocks get nested levels with halving radii of
-their own, the two trees are walked together, pairs of nodes beyond the bound are pruned, and
-what is left is compared exactly. A task returns how many partners each point has and a
-spanning forest of the links, never the pairs themselves, so a dense group stays linear.
+the nearest centre of the lowest level. Their number grows with that of the points, up to
+``CENTRES``. Covering radii are measured over all points, so two nodes need each other only if
+the distance of their centres is at most the sum of their radii and the threshold. Nodes of
+many points are cut into blocks of bounded size.
+
+Below, each pair of blocks is a task: both blocks get a tree of their own, with nested levels
+of halving radii, each node's parent the nearest centre of the level above, and a covering
+radius over all points below it. The two trees are walked together from their roots: a pair
+of nodes beyond the bound is pruned with all that lies below it, the others are replaced by
+the pairs of their children, and points of the leaf pairs that are left are compared exactly.
+A task returns how many partners each point has and a spanning forest of the links, never the
+pairs themselves, so a dense group stays linear.
 
 Points in general position, whose nodes have large radii, are not pruned above the leaves:
 there the work grows with the square of their number, as for any exact method known.
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 
 from pactline.llm._spark import components, saved, table
 
-SAMPLE = 4_096  # points that may become centres
-CENTRES = 256  # at most so many nodes above the blocks
+SAMPLE = 16  # points for each centre that may become one
+SAMPLE_BYTES = 64 << 20  # of them together, at most
+CENTRES = 4_096  # at most so many nodes above the blocks
+FEWEST = 256
 BLOCK = 2_048
-_SLACK = 1e-9
+_SLACK = 1e-7  # of distances: near 0 they are known to the root of the precision only
 
 
 def _units(batches):
@@ -74,38 +80,77 @@ def _levels(x: np.ndarray, first: float, last: float) -> list[np.ndarray]:
     return levels
 
 
-class _Tree:
-    """Nodes of one block by level: centre, covering radius, and each point's node."""
+def _distance(cosines: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * cosines, 0))
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one range after the other."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
-    def __init__(self, x: np.ndarray, threshold: float):
-        self.x, self.levels = x, []
-        for centres in _levels(x, 1.0, threshold / 2):
-            d = np.sqrt(np.maximum(2 - 2 * (x @ x[centres].T), 0))
-            node = d.argmin(axis=1)
-            radius = np.zeros(len(centres))
-            np.maximum.at(radius, node, d[np.arange(len(x)), node])
-            self.levels.append((centres, radius, node))
+
+class _Tree:
+    """The nodes of one block by level: centres, covering radii, and the ranges of their children.
+
+    Nodes of a level are numbered so that the children of a node follow each other; the
+    children of the lowest level are the points, in the order ``points``.
+    """
+
+    def __init__(self, x: np.ndarray, reach: float):
+        self.x, chosen = x, _levels(x, 1.0, reach / 2)
+        above = np.zeros(1, np.int64)  # the root is the first point
+        self.centres, self.first, self.count = [above], [], []
+        for centres in [*chosen, np.arange(len(x))]:
+            parent = np.concatenate([(x[centres[k : k + 512]] @ x[above].T).argmax(axis=1) for k in range(0, len(centres), 512)])
+            order = np.argsort(parent, kind="stable")
+            count = np.bincount(parent, minlength=len(above))
+            self.first.append(np.cumsum(count) - count)
+            self.count.append(count)
+            above = centres[order]
+            self.centres.append(above)
+        self.points = self.centres.pop()
+        # radii from below: the points under a node are those under its children
+        self.radius, n = [], np.ones(len(x), np.int64)
+        first = np.arange(len(x))
+        for level in range(len(self.centres) - 1, -1, -1):
+            own, count = self.first[level], self.count[level]
+            ends = np.append(np.cumsum(n), 0)
+            lo = np.where(count > 0, first[np.minimum(own, len(first) - 1)], 0)
+            hi = np.where(count > 0, ends[own + count - 1], 0)
+            first, n = lo, hi - lo
+            radius = np.zeros(len(own))
+            for k in np.flatnonzero(n):
+                radius[k] = _distance(x[self.points[lo[k] : hi[k]]] @ x[self.centres[level][k]]).max()
+            self.radius.insert(0, radius)
 
 
 def _links(a: _Tree, b: _Tree, reach: float):
-    """(points of a, points of b) that must be compared: the node pairs that no level prunes."""
-    pairs = None
-    for (ca, ra, na), (cb, rb, nb) in zip(a.levels, b.levels):
-        near = np.sqrt(np.maximum(2 - 2 * (a.x[ca] @ b.x[cb].T), 0)) <= ra[:, None] + rb[None, :] + reach + _SLACK
-        if near.all():
-            continue
-        pairs = (near, na, nb)
-    if pairs is None:
-        yield np.arange(len(a.x)), np.arange(len(b.x))
-        return
-    near, na, nb = pairs
-    by_a, by_b = np.argsort(na, kind="stable"), np.argsort(nb, kind="stable")
-    at = np.searchsorted(na[by_a], np.arange(len(near) + 1))
-    for k in range(len(near)):
-        own = by_a[at[k] : at[k + 1]]
-        other = by_b[near[k][nb[by_b]]]
-        if len(own) and len(other):
-            yield own, other
+    """(points of a, points of b) that must be compared, of each pair of leaves that no level prunes."""
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    depth = max(len(a.centres), len(b.centres))
+    # the shallower tree waits at its root until both have as many levels left
+    wait_a, wait_b = depth - len(a.centres), depth - len(b.centres)
+    for step in range(depth):
+        la, lb = max(0, step - wait_a), max(0, step - wait_b)
+        apart = np.concatenate([_distance(np.einsum("ij,ij->i", a.x[a.centres[la][i[k : k + 8192]]], b.x[b.centres[lb][j[k : k + 8192]]])) for k in range(0, len(i), 8192)] or [np.zeros(0)])
+        near = apart <= a.radius[la][i] + b.radius[lb][j] + reach + _SLACK
+        i, j = i[near], j[near]
+        if step == depth - 1:
+            break
+        if step >= wait_a:  # each pair is replaced by one for each child on the left ...
+            n = a.count[la][i]
+            i, j = _ranges(a.first[la][i], n), np.repeat(j, n)
+        if step >= wait_b:  # ... and for each child on the right
+            n = b.count[lb][j]
+            j, i = _ranges(b.first[lb][j], n), np.repeat(i, n)
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    for own in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
+        k = i[own[0]]
+        left = a.points[a.first[-1][k] : a.first[-1][k] + a.count[-1][k]]
+        right = b.points[_ranges(b.first[-1][j[own]], b.count[-1][j[own]])]
+        if len(left) and len(right):
+            yield left, right
 
 
 def _compared(cosine: float):
@@ -122,30 +167,24 @@ def _compared(cosine: float):
         a = _Tree(x[left], reach)
         b = a if alone else _Tree(x[right], reach)
         partners = np.zeros(len(ids), np.int64)
-        label = np.arange(len(ids))
+        label = np.arange(len(ids))  # the component of each point, always by its least member
         edges: list[tuple[int, int]] = []
-
-        def top(k: int) -> int:
-            while label[k] != k:
-                label[k] = k = label[label[k]]
-            return k
-
         for own, other in _links(a, b, reach):
             for lo in range(0, len(own), 512):
                 i, j = left[own[lo : lo + 512]], right[other]
                 hit = x[i] @ x[j].T >= cosine
                 if alone:
                     hit &= i[:, None] != j[None, :]
-                some = np.flatnonzero(hit.any(axis=1))
-                for r in some.tolist():
+                partners[i] += hit @ counts[j]
+                if not alone:
+                    np.add.at(partners, j, counts[i] @ hit)
+                for r in np.flatnonzero(hit.any(axis=1)).tolist():
                     with_ = j[hit[r]]
-                    partners[i[r]] += counts[with_].sum()
-                    if not alone:
-                        partners[with_] += counts[i[r]]
-                    for k in with_.tolist():
-                        p, q = top(int(i[r])), top(k)
-                        if p != q:
-                            label[max(p, q)] = min(p, q)
+                    roots, at = np.unique(label[with_], return_index=True)
+                    for root, k in zip(roots.tolist(), with_[at].tolist()):
+                        p = int(label[i[r]])
+                        if root != p:
+                            label[label == max(root, p)] = min(root, p)
                             edges.append((int(ids[i[r]]), int(ids[k])))
         rows = [(int(ids[k]), int(partners[k]), None) for k in np.flatnonzero(partners)] + [(p, 0, q) for p, q in edges]
         return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "other": pa.array([r[2] for r in rows], pa.int64())})
@@ -158,13 +197,16 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     units = saved(vectors.select("vec_id", "embedding").mapInArrow(_units, "vec_id long, unit binary"))
     points = saved(units.where(F.length("unit") > 0).groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     # a bounded sample chooses the centres; which points they are changes the work, never the result
-    seen = points.select("rep", "unit", F.length("unit").alias("size")).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
+    spread = points.agg(F.count("*").alias("n"), F.max(F.length("unit")).alias("size")).first()
+    most = min(CENTRES, max(FEWEST, spread.n // 1024))
+    sample = min(SAMPLE * most, SAMPLE_BYTES // max(8, spread.size or 8))
+    seen = points.select("rep", "unit", F.length("unit").alias("size")).orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
     centres: dict[int, np.ndarray] = {}
     for size in set(seen["size"].to_pylist()):
         x = _matrix(seen.filter(pc.equal(seen["size"], size))["unit"])
         found = _levels(x, 1.0, math.sqrt(2 - 2 * cosine))
         chosen = found[-1] if found else np.arange(len(x))
-        centres[size] = x[chosen[:CENTRES] if len(chosen) <= CENTRES else chosen[:: math.ceil(len(chosen) / CENTRES)]]
+        centres[size] = x[chosen[:: math.ceil(len(chosen) / most)]]
 
     def placed(batches):
         for batch in batches:
@@ -182,19 +224,18 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("unit"), batch.column("size"), pa.array(node), pa.array(distance)], ["rep", "n", "unit", "size", "node", "distance"])
 
     at = saved(points.select("rep", "n", "unit", F.length("unit").alias("size")).mapInArrow(placed, "rep long, n long, unit binary, size int, node long, distance double"))
-    nodes = at.groupBy("size", "node").agg(F.max("distance").alias("radius"), F.count("*").alias("points")).toArrow().to_pylist()  # at most CENTRES rows a vector length
+    # at most CENTRES rows for each vector length
+    nodes = at.groupBy("size", "node").agg(F.max("distance").alias("radius"), F.count("*").alias("points")).orderBy("size", "node").toArrow().to_pylist()
     reach = math.sqrt(2 - 2 * cosine)
-    total: dict[int, int] = {}
-    for x in nodes:
-        total[x["size"]] = total.get(x["size"], 0) + x["points"]
     pairs = []
-    for p in nodes:
-        for q in nodes:
-            if p["size"] == q["size"] and p["node"] <= q["node"]:
-                c = centres.get(p["size"])
-                apart = math.sqrt(max(0.0, 2 - 2 * float(c[p["node"]] @ c[q["node"]]))) if c is not None and p["node"] != q["node"] else 0.0
-                if apart <= p["radius"] + q["radius"] + reach + _SLACK:
-                    pairs.append((p["size"], p["node"], q["node"]))
+    for size in sorted({x["size"] for x in nodes}):
+        own = [x for x in nodes if x["size"] == size]
+        radius, node = np.array([x["radius"] for x in own]), np.array([x["node"] for x in own])
+        near = np.ones((len(own), len(own)), bool)
+        if size in centres:
+            near = _distance(centres[size][node] @ centres[size][node].T) <= radius[:, None] + radius[None, :] + reach + _SLACK
+        np.fill_diagonal(near, True)
+        pairs += [(size, int(node[i]), int(node[j])) for i, j in np.argwhere(np.triu(near))]
     spark = vectors.sparkSession
     if not nodes:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -193,3 +193,39 @@ def test_lines_in_one_large_group(spark, monkeypatch):
     want = {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in lines[:i])}
     got = {x.doc_id for x in line_dedup.repeated_lines(frame(spark, list(enumerate(lines)))).collect()}
     assert len(want) > 20 and got == want
+
+
+def test_embeddings_of_a_dense_cluster_and_at_the_border(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 150)
+    monkeypatch.setattr(embedding_dedup, "FEWEST", 4)
+    g = np.random.default_rng(3)
+    dense = g.normal(size=8) + g.normal(size=(300, 8)) * 0.02
+    chain = np.stack([np.append([np.cos(t), np.sin(t)], np.zeros(6)) for t in np.arange(0, 3, 0.3)])
+    border = []
+    for e in (1e-9, -1e-9, 3e-9, -3e-9, 1e-12, -1e-12):
+        a, b = np.linalg.qr(g.normal(size=(8, 2)))[0].T
+        border += [a, (0.9 + e) * a + np.sqrt(1 - (0.9 + e) ** 2) * b]
+    x = np.concatenate([dense, chain, border, g.normal(size=(100, 8))])
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
+    cosine = unit @ unit.T
+    clear = np.abs(cosine - 0.9) > 1e-13  # nearer to the border the last bit may fall either way
+    link = cosine >= 0.9
+    assert clear.all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in embedding_dedup.near_embeddings(df).collect()}
+    assert {i: r.component_id for i, r in got.items()} == components(range(len(x)), lambda a, b: link[a, b])
+    assert all(got[i].n_links == link[i].sum() - 1 for i in range(len(x)))
+
+
+def test_dual_traversal_prunes_and_loses_nothing():
+    g = np.random.default_rng(5)
+    x = np.concatenate([c + g.normal(size=(60, 16)) * 0.02 for c in g.normal(size=(12, 16))])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    a, b, reach = embedding_dedup._Tree(x[::2], 0.45), embedding_dedup._Tree(x[1::2], 0.45), 0.45
+    assert all((np.sort(t.points) == np.arange(360)).all() for t in (a, b))
+    met = np.zeros((360, 360), bool)
+    for i, j in embedding_dedup._links(a, b, reach):
+        assert not met[np.ix_(i, j)].any()
+        met[np.ix_(i, j)] = True
+    assert met[x[::2] @ x[1::2].T >= 0.9].all() and met.mean() < 0.3
