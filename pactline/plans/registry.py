@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import contracts, store, telemetry, text
+from pactline.plans import contracts, repository, store, telemetry, text
 
-_PLANS = (telemetry, store, contracts, text)
+_PLANS = (telemetry, store, repository, contracts, text)
 
 
 def queries() -> dict:
