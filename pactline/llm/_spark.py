@@ -26,6 +26,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: so many bytes of a table go to a Python worker at once; a longer row is a batch of its own
+BATCH = (4 << 20, 4096)
+WIDE = (32 << 20, 10_000)
+
+
+def in_batches(df: DataFrame, run: Callable, schema, size: tuple[int, int] = BATCH) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded by bytes and rows, so that long texts do not fill a worker.
+
+    The bounds are settings of the session and those of the last call hold when a job runs.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size[0]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size[1]))
+    return df.mapInArrow(run, schema)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import table
+from pactline.llm._spark import in_batches, table
 from pactline.llm._text import U, Words, buffers, chunks
 
 WHOLE = 3
@@ -117,7 +117,7 @@ def _counted(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(lookup.keys[some].view(np.int64)), pa.array(counts[some])], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    rows = in_batches(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(rows["word"].to_numpy().view(np.uint64).tolist(), rows["n"].to_pylist()))
 
 
@@ -238,7 +238,7 @@ def _found(docs: DataFrame, items: list, threshold: float) -> DataFrame:
             ids = batch.column("doc_id").take(pa.array([r for r, _ in keys], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([items[k][0] for _, k in keys], pa.int64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([best[x][1] for x in keys], pa.int64())], ["doc_id", "item_id", "score", "end_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, item_id long, score double, end_word long")
 
 
 def _clean(docs: DataFrame, counted: DataFrame, items: list, threshold: float) -> DataFrame:
@@ -251,7 +251,7 @@ def _clean(docs: DataFrame, counted: DataFrame, items: list, threshold: float) -
             keep[[r for r, _ in best]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def _slices(benchmark: DataFrame) -> list[DataFrame]:

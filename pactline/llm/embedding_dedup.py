@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import components, saved, table
+from pactline.llm._spark import components, in_batches, saved, table
 
 SAMPLE = 16  # points for each centre that may become one
 SAMPLE_BYTES = 64 << 20  # of them together, at most
@@ -194,7 +194,7 @@ def _compared(cosine: float):
 
 def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    units = saved(vectors.select("vec_id", "embedding").mapInArrow(_units, "vec_id long, unit binary"))
+    units = saved(in_batches(vectors.select("vec_id", "embedding"), _units, "vec_id long, unit binary"))
     points = saved(units.where(F.length("unit") > 0).groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     # a bounded sample chooses the centres; which points they are changes the work, never the result
     spread = points.agg(F.count("*").alias("n"), F.max(F.length("unit")).alias("size")).first()
@@ -223,7 +223,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                     distance[own] = 2.0
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("unit"), batch.column("size"), pa.array(node), pa.array(distance)], ["rep", "n", "unit", "size", "node", "distance"])
 
-    at = saved(points.select("rep", "n", "unit", F.length("unit").alias("size")).mapInArrow(placed, "rep long, n long, unit binary, size int, node long, distance double"))
+    at = saved(in_batches(points.select("rep", "n", "unit", F.length("unit").alias("size")), placed, "rep long, n long, unit binary, size int, node long, distance double"))
     # at most CENTRES rows for each vector length
     nodes = at.groupBy("size", "node").agg(F.max("distance").alias("radius"), F.count("*").alias("points")).orderBy("size", "node").toArrow().to_pylist()
     reach = math.sqrt(2 - 2 * cosine)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import by_row, components, saved, table
+from pactline.llm._spark import by_row, components, in_batches, saved, table
 from pactline.llm._text import U, Words, buffers, chunks, mix
 
 COORDINATES = 32
@@ -89,7 +89,7 @@ def _sets(words: int):
 
 def _item_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, items) of the documents whose ids are given."""
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>")
+    return in_batches(docs.join(ids, "doc_id", "left_semi"), _sets(words), "id long, items array<long>")
 
 
 def _confirmed(pairs: DataFrame, signs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _long_lists(members: DataFrame, docs: DataFrame, words: int, percent: int) -
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    marked = saved(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, f1 long, f2 long, sign array<int>"))
+    marked = saved(in_batches(docs, _signatures(words), "doc_id long, n_shingles long, f1 long, f2 long, sign array<int>"))
     classes = saved(marked.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
     posts = classes.select("rep", "n", F.posexplode("sign").alias("c", "v")).select("rep", F.col("n").alias("size"), (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
     often = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pactline.llm._spark import table
+from pactline.llm._spark import in_batches, table
 from pactline.llm._text import buffers, chunks
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -325,7 +325,7 @@ def _scan(batches):
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) for every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return in_batches(docs.select("doc_id", "text"), _scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def _joined(spans) -> str:
@@ -342,4 +342,4 @@ def _digest(batches):
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return in_batches(found, _digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pactline.llm._segments import Memo, segments
-from pactline.llm._spark import table
+from pactline.llm._spark import in_batches, table
 
 MARK = "▁"
-CACHED = 120_000  # segments of a generation that a worker keeps
+CACHED = 250_000  # segments of a generation that a worker keeps
+FRESH = 20_000  # new segments that are compared with the library together
 _NONE = float("inf")
 
 
@@ -57,7 +57,7 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece runs over the start of a word or over a line end")
         self.memo = Memo(self._entry, CACHED)
-        self.fresh: dict[str, tuple[str, str, list[int]]] = {}
+        self.fresh: dict[str, tuple[str, str]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The symbols of a segment after all merges: the agenda of a short one is a list of ranks."""
@@ -114,16 +114,18 @@ class Codec:
                     out += [self.bytes[b] for b in s.encode()]
         return out
 
-    def _entry(self, key: str) -> tuple[str, str, list[int]]:
-        """(ids in decimals, decoded text, ids) of a segment that is met for the first time."""
+    def _entry(self, key: str) -> tuple[str, str]:
+        """(ids in decimals, decoded text) of a segment that is met for the first time."""
         ids = self._ids((MARK + key).replace(" ", MARK))
-        entry = self.fresh[key] = (",".join([self.decimals[i] for i in ids]), self._text(ids), ids)
+        entry = self.fresh[key] = (",".join([self.decimals[i] for i in ids]), self._text(ids))
         return entry
 
-    def check(self) -> None:
-        """Compares the segments that were new since the last call with the library."""
+    def check(self, least: int = 1) -> None:
+        """Compares the segments that were new since the last call, if they are so many, with the library."""
+        if len(self.fresh) < least:
+            return
         keys = [k for k in self.fresh if k]  # the empty key is a lone space, which a text cannot start with
-        found = [self.fresh[k][2] for k in keys]
+        found = [numbers(self.fresh[k][0]).tolist() for k in keys]
         if keys and found != self.library.encode(keys, num_threads=1):
             raise ValueError("the encoding differs from the library's")
         if keys and [self.fresh[k][1][1:] for k in keys] != self.library.decode(found, num_threads=1):
@@ -152,12 +154,17 @@ class Codec:
         text = self._text(ids)
         return text[1:] if text[:1] == " " else text
 
-    def segments(self, text: str) -> list[tuple[str, str, list[int]]]:
+    def segments(self, text: str) -> list[tuple[str, str]]:
         memo = self.memo
         return [memo[k] for k in segments(text.replace(MARK, " ") if MARK in text else text, None)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for s in self.segments(text) for i in s[2]]
+        return numbers(",".join([s[0] for s in self.segments(text)])).tolist()
+
+
+def numbers(decimals: str) -> np.ndarray:
+    """The ids of a text of decimals."""
+    return np.fromstring(decimals, np.int32, sep=",") if decimals else np.zeros(0, np.int32)
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -176,17 +183,16 @@ def _model(path: str) -> bytes:
 
 
 def _coded(own: Codec, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """(ids, decoded texts) of a text column; ids are gathered in flat arrays, text by text."""
-    flat, ends, decoded = array("i"), array("i", [0]), []
+    """(ids, decoded texts) of a text column."""
+    ids, decoded = [np.zeros(0, np.int32)], []
     for text in texts:
         found = own.segments(text.as_py() or "")
-        for s in found:
-            flat.extend(s[2])
-        ends.append(len(flat))
+        ids.append(numbers(",".join([s[0] for s in found])))
         decoded.append("".join([s[1] for s in found])[1:])
+        own.check(FRESH)
     own.check()
-    ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
-    return ids, pa.array(decoded, pa.string())
+    ends = np.cumsum([len(x) for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -199,7 +205,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
             ids, decoded = _coded(own, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -216,10 +222,11 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_of.append(hashlib.sha256(ids.encode()).hexdigest())
                 texts_of.append(hashlib.sha256("".join([s[1] for s in own_segments])[1:].encode()).hexdigest())
+                own.check(FRESH)
             own.check()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_of, pa.string()), pa.array(texts_of, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:
@@ -246,4 +253,4 @@ def with_token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             ids, decoded = _coded(own, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(decoded if c == "text" else batch.column(c) for c in batch.schema.names), ids], [*batch.schema.names, "token_ids"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
+    return in_batches(docs, run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import saved, table
+from pactline.llm._spark import WIDE, in_batches, saved, table
 from pactline.llm._text import U, Words, _table, buffers, chunks, grams, mix, pack, unpack
 
 WINDOW = 20
@@ -191,10 +191,10 @@ def _digest(batches):
 def factor_pieces(docs: DataFrame) -> DataFrame:
     """(doc, at, ref_doc, ref_at): ranges of windows that occur earlier; at and ref_at are word * 256 + windows."""
     docs = docs.select("doc_id", "text")
-    posts = docs.mapInArrow(_post, _POSTS).repartition("seed").sortWithinPartitions("seed", "full", "doc", "at")
-    marks = saved(posts.mapInArrow(_match, _MARKS))
+    posts = in_batches(docs, _post, _POSTS, WIDE).repartition("seed").sortWithinPartitions("seed", "full", "doc", "at")
+    marks = saved(in_batches(posts, _match, _MARKS, WIDE))
     ranges = marks.where("boundary").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("ranges"))
-    windows = saved(docs.mapInArrow(pack, PACKED).join(ranges, "doc_id").mapInArrow(_windows, "window long, doc long, at long"))
+    windows = saved(in_batches(in_batches(docs, pack, PACKED).join(ranges, "doc_id"), _windows, "window long, doc long, at long"))
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
     single = windows.join(firsts, "window").where("doc <> ref.doc or at <> ref.at").select("doc", "at", F.col("ref.doc").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
     return marks.where("not boundary").drop("boundary").unionByName(single)
@@ -204,7 +204,7 @@ def substring_factors(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, factors) for every row of ``docs`` (doc_id, text)."""
     pieces = factor_pieces(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "ref_doc", "ref_at")).alias("pieces"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,n_words:long,ref_doc:long,ref_start:long>>"
-    return docs.select("doc_id", "text").mapInArrow(pack, PACKED).join(pieces, "doc_id", "left").mapInArrow(_digest, kind)
+    return in_batches(in_batches(docs.select("doc_id", "text"), pack, PACKED).join(pieces, "doc_id", "left"), _digest, kind)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactline.llm._segments import Memo, segments
-from pactline.llm._spark import saved, shared_folder, table
+from pactline.llm._spark import in_batches, saved, shared_folder, table
 from pactline.llm.sentencepiece_codec import vocabulary
 
 BLOCK_IDS = 1 << 20
@@ -262,7 +262,7 @@ def write_tokens(docs: DataFrame, path: str, model_path: str) -> None:
     with open(model_path, "rb") as f:  # on the driver; a vocabulary's size does not depend on the data
         model = f.read()
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(_blocks(model), "first_doc long, n_tokens long, block binary").withColumn("shard", F.spark_partition_id()).write.parquet(path)
+    in_batches(dealt, _blocks(model), "first_doc long, n_tokens long, block binary").withColumn("shard", F.spark_partition_id()).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, vocabulary_size: int) -> DataFrame:
@@ -287,7 +287,7 @@ def read_tokens(spark: SparkSession, path: str, vocabulary_size: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids), pa.array(begin + start), pa.array(block.sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = files.join(starts, ["shard", "first_doc"]).select("start", "block")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm._segments import SegmentCache
-from pactline.llm._spark import saved, table
+from pactline.llm._spark import in_batches, saved, table
 
 LENGTH = 4
 DECAY = 0.7
@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     if not landmarks:
         share = rows.agg(F.avg("toxic")).first()[0] or 0.0
         return Model((), np.zeros(0), 0.0, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    vectors = saved(rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_sentences(landmarks), "toxic int, sentences binary, worst binary"))
+    vectors = saved(in_batches(rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism)), _sentences(landmarks), "toxic int, sentences binary, worst binary"))
     n = len(landmarks)
     size = len(POWERS) * n
     # a vector for each of the documents; in an order that does not depend on how tasks end
@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     scale = features.std() + 1e-6
     w = _svm(features / scale, np.where(y > 0, 1.0, -1.0))
     weights, bias = root @ (w[:-1] / scale), float(w[-1])
-    margins = sorted(zip(*vectors.mapInArrow(_margins(weights, bias), "toxic int, margin double").toArrow().to_pydict().values()))
+    margins = sorted(zip(*in_batches(vectors, _margins(weights, bias), "toxic int, margin double").toArrow().to_pydict().values()))
     slope, offset = _logistic(np.array([m for _, m in margins]), np.array([float(toxic) for toxic, _ in margins]))
     return Model(landmarks, weights, bias, slope, offset)
 
@@ -308,7 +308,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,4 +329,4 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
