@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import contracts, repository, store, telemetry, text
+from pactline.plans import answers, contracts, repository, store, telemetry, text
 
-_PLANS = (telemetry, store, repository, contracts, text)
+_PLANS = (telemetry, store, repository, contracts, answers, text)
 
 
 def queries() -> dict:
