@@ -40,11 +40,10 @@ FIRST = 32  # characters of the differing parts that are compared before the res
 FEW = 200_000  # pairs whose ids are sent to every task; more are joined by a shuffle
 
 
-def _segment(size: Column, i: Column, k: int) -> tuple[Column, Column]:
-    """(start from 1, length) of the i-th of k segments of a line; the last ones take what is left over."""
-    short = F.floor(size / k).cast("int")
-    whole = k - size % k  # segments from this number on (counted from 0) have one character more
-    return (short * i + F.greatest(F.lit(0), i - whole) + 1).cast("int"), (short + (i >= whole).cast("int")).cast("int")
+def _segment(size: str, i: str, k: int) -> tuple[Column, Column]:
+    """(start from 1, length) of the i-th of k segments of a line, in integers; the last ones take what is left over."""
+    short, whole = f"({size} div {k})", f"({k} - {size} % {k})"  # segments from ``whole`` on (counted from 0) have one character more
+    return F.expr(f"CAST({short} * {i} + greatest(0, {i} - {whole}) + 1 AS INT)"), F.expr(f"CAST({short} + IF({i} >= {whole}, 1, 0) AS INT)")
 
 
 def _probes(edits: int):
@@ -156,6 +155,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(possible, _let(_common(a, b, most, ends=False), cut)).otherwise(False)
 
 
+def _within_pair(a: Column, b: Column, edits: int) -> Column:
+    """``within`` of two columns, evaluated inside one lambda: as part of a join's generated code it makes a method that takes the compiler very much memory."""
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda p: within(p["a"], p["b"], edits))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, line, text, chars, id, check) of the lines that take part; id and check are two hashes that together stand for the text."""
     every = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("chars", F.length("text"))
@@ -166,17 +170,17 @@ def _keys(lines: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> D
     """(id, key, posted) of each line and each of the probes (length difference, segment, shift) that fits in it."""
     # a list of constants is exploded and one expression computes all keys, so that it stays compiled
     places = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in probes))).alias("p")
-    size, i, k = F.col("chars") - F.col("p.d"), F.col("p.i"), edits + 1
-    start, n = _segment(size, i, k)
-    at = start + F.col("p.shift")
-    fits = (at >= 1) & (at + n - 1 <= F.col("chars"))
-    return lines.select("id", "chars", "text", places).where(fits).select("id", F.xxhash64(size, i, F.substr("text", at, n)).alias("key"), ((F.col("p.d") == 0) & (F.col("p.shift") == 0)).alias("posted"))
+    placed = lines.select("id", "chars", "text", places).select("id", "chars", "text", (F.col("chars") - F.col("p.d")).alias("size"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
+    start, n = _segment("size", "i", edits + 1)
+    cut = placed.select("id", "chars", "text", "size", "i", "shift", (start + F.col("shift")).alias("at"), n.alias("n")).where("at >= 1 and at + n - 1 <= chars")
+    posted = (F.col("size") == F.col("chars")) & (F.col("shift") == 0)
+    return cut.select("id", F.xxhash64("size", "i", F.substr("text", F.col("at"), F.col("n"))).alias("key"), posted.alias("posted"))
 
 
 def _near_stars(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     """(id, check) of the later lines of the pairs (a, b) that are within ``edits`` edits."""
     a, b = (known.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("check", "text", "first"))) for x in "ab")
-    close = pairs.join(a, "a").join(b, "b").where(within(F.col("text_a"), F.col("text_b"), edits))
+    close = pairs.join(a, "a").join(b, "b").where(_within_pair(F.col("text_a"), F.col("text_b"), edits))
     later = F.col("first_a") > F.col("first_b")
     return close.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(later, F.col("check_a")).otherwise(F.col("check_b")).alias("check")).distinct()
 
