@@ -54,7 +54,7 @@ def test_merge_depth():
 def test_parts_and_other_readings():
     assert j.repair_part('{"oda_kontenjanlari": []}, "donem": {"baslangic": "2026-01-01"}, "release": {"gun": 7') == {"oda_kontenjanlari": [], "donem": {"baslangic": "2026-01-01"}, "release": {"gun": 7}, "baslangic": "2026-01-01", "gun": 7}
     assert j.repair_part('metin "fiyatlar": [{"tutar": 5}, {"tu') == {"tutar": 5, "fiyatlar": [{"tutar": 5}, {}]}
-    assert j.repair_findings('```json\n[{"baslik": "x"}]\n```') == [{"baslik": "x"}] and j.repair_findings("[1] ve [2") is None
+    assert j.repair_findings('```json\n[{"baslik": "x"}]\n```') == [{"baslik": "x"}] and j.repair_findings("[1] ve [2]") is None and j.repair_findings("[1] ve [2") == [1]
     assert j.first_object('x {"a": 1} y') == {"a": 1} and j.first_object('{"a": 1} {"b": 2}') is None
     assert j.updated_objects('{"a": {"x": 1}} {bozuk} {"a": {"y": 2}, "b": 1}') == {"a": {"y": 2}, "b": 1}
     assert j.without_early_closers('{"a":1},"b":{"c":2}}}') == '{"a":1,"b":{"c":2}}'
