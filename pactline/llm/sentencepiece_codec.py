@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +58,14 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece runs over the start of a word or over a line end")
         self.memo = Memo(self._entry, CACHED)
-        self.fresh: dict[str, tuple[str, str]] = {}
+        self.fresh: dict[str, tuple[list[int], str]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """The symbols of a segment after all merges: the agenda of a short one is a list of ranks."""
         if len(text) > 40:
             return self._merged_long(text)
         symbols, rank = list(text), self.rank.get
-        agenda = [rank(text[i : i + 2], _NONE) for i in range(len(symbols) - 1)]
+        agenda = [rank(pair, _NONE) for pair in map(add, text, text[1:])]
         while agenda and (best := min(agenda)) is not _NONE:
             i = agenda.index(best)  # the leftmost of equals
             piece = symbols[i] = symbols[i] + symbols.pop(i + 1)
@@ -117,18 +118,21 @@ class Codec:
     def _entry(self, key: str) -> tuple[str, str]:
         """(ids in decimals, decoded text) of a segment that is met for the first time."""
         ids = self._ids((MARK + key).replace(" ", MARK))
-        entry = self.fresh[key] = (",".join([self.decimals[i] for i in ids]), self._text(ids))
-        return entry
+        text = self._text(ids)
+        self.fresh[key] = (ids, text)
+        return ",".join([self.decimals[i] for i in ids]), text
 
     def check(self, least: int = 1) -> None:
         """Compares the segments that were new since the last call, if they are so many, with the library."""
         if len(self.fresh) < least:
             return
         keys = [k for k in self.fresh if k]  # the empty key is a lone space, which a text cannot start with
-        found = [numbers(self.fresh[k][0]).tolist() for k in keys]
+        found = [self.fresh[k][0] for k in keys]
         if keys and found != self.library.encode(keys, num_threads=1):
             raise ValueError("the encoding differs from the library's")
-        if keys and [self.fresh[k][1][1:] for k in keys] != self.library.decode(found, num_threads=1):
+        # segments decode one by one as they do in a row, where only the first one's space is dropped
+        rows = [keys[i : i + 64] for i in range(0, len(keys), 64)]
+        if rows and ["".join([self.fresh[k][1] for k in row])[1:] for row in rows] != self.library.decode([[i for k in row for i in self.fresh[k][0]] for row in rows], num_threads=1):
             raise ValueError("the decoding differs from the library's")
         self.fresh = {}
         self.memo.turn()
