@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import answers, contracts, repository, store, telemetry, text
+from pactline.plans import answers, contracts, repository, store, telemetry, text, tree
 
-_PLANS = (telemetry, store, repository, contracts, answers, text)
+_PLANS = (telemetry, store, repository, contracts, answers, tree, text)
 
 
 def queries() -> dict:
