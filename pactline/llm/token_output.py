@@ -1,21 +1,24 @@
 """Token-id output with Re-Pair grammar compression.
 
-Documents are dealt out by ranges of doc_id and sorted; each shard encodes its texts, ends
-every document with id 0 and writes blocks of about ``BLOCK_IDS`` ids. In each block the
-most frequent adjacent id pairs are replaced by nonterminals, round after round; the pairs
-of one round are replaced together and never overlap, nor cross the end of a document. A
-block stores its rules, the expansion length of every nonterminal and, for each document,
-where it begins in the sequence and how many ids it has, so one document can be decoded
-without the others.
-
-File format (rows of a Parquet table: first_doc, n_tokens, block): little-endian unsigned
-integers; header ``RPR1``, then the counts of documents, rules, and symbols (64 bits each);
-doc_ids (64 bits, signed); ids of each document (64); symbols of each document (64);
-rules, a left and a right symbol each (32); expansion lengths (32); the symbols (16 bits
-while the highest symbol allows it, else 32, given by a 64-bit width before them).
-
-Defined cases: a null or empty text has the end id alone; equal rows are kept apart; an
-empty table gives an empty result; extra columns are ignored.
+Documents are dealt out by ranges of doc_id and sorted; each task encodes its texts, ends
+every document with id 0 and writes shards of about ``SHARD_IDS`` ids, numbered within the
+task. Each shard has a grammar of its own: frequent adjacent id pairs are replaced by
+nonterminals, round after round, until no pair occurs ``LEAST`` times (a rule costs as much
+as three replacements save). In a round all pairs that are more frequent than their neighbours
+are replaced at once; they never overlap, nor cross the end of a document. A shard stores its
+rules, the expansion length of every nonterminal and, for each document, where it begins in the
+sequence and how many ids it has, so one document can be decoded without the others.
+
+File format (rows of a Parquet table: part, shard, n_tokens, block): little-endian unsigned
+integers; header ``RPR2``, then the counts of documents, rules and symbols and the bits of a
+symbol (64 bits each); doc_ids (64 bits, signed) and whether each is there (8); ids of each
+document (64); symbols of each document (64); expansion lengths (32); the rules, a left and a
+right symbol each, and the symbols, both as their low 16 bits followed by a row of bits for
+each higher place.
+
+Defined cases: a null or empty text has the end id alone; equal rows and rows of equal doc_ids
+are kept apart; a null doc_id is written as such and comes first; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ from pactline.llm._segments import Memo, segments
 from pactline.llm._spark import in_batches, saved, shared_folder, table
 from pactline.llm.sentencepiece_codec import vocabulary
 
-BLOCK_IDS = 1 << 20
-ROUNDS = 3
-RULES_A_ROUND = 1024
+SHARD_IDS = 1 << 20
+LEAST = 4
+BINS = 1 << 20
 END = 0
 #: other white space before a space: there the vocabulary's word pattern may run over the start of a segment
 _OTHER_SPACE = re.compile(r"[^\S ] ")
@@ -107,90 +110,110 @@ def _encoder(model: bytes) -> _Encoder:
     return _encoders[model]
 
 
-def _pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return np.where(last[:-1], np.uint64(0xFFFFFFFFFFFFFFFF), (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])
+def _maybe_frequent(seq: np.ndarray) -> np.ndarray:
+    """Places whose pairs may occur LEAST times: counts of hashed bins are never too low."""
+    bins = ((_pairs(seq, np.arange(len(seq) - 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    return (np.bincount(bins, minlength=BINS) >= LEAST)[bins]
 
 
-def _frequent(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent pairs: exact counts within the fullest of hashed bins."""
-    bins = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    counts = np.bincount(bins, minlength=1 << 20)
-    counts[((np.array([0xFFFFFFFFFFFFFFFF], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44))[0]] = 0
-    full = np.flatnonzero(counts >= least)
-    if len(full) > most:
-        full = full[np.argsort(-counts[full], kind="stable")[:most]]
-    wanted = np.zeros(1 << 20, bool)
-    wanted[full] = True
-    value, n = np.unique(pairs[wanted[bins]], return_counts=True)
-    value, n = value[n >= least], n[n >= least]
-    return value[np.argsort(-n, kind="stable")[:most]]
+def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
 
-def compress(docs: list[np.ndarray], vocabulary_size: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols of each document, rules) of a block; rule k is nonterminal vocabulary_size + k."""
+def compress(docs: list[np.ndarray], vocabulary_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbols of each document, rules) of a shard; rule k is nonterminal vocabulary_size + k.
+
+    A pair of old symbols can only become rarer, so after the first round only places where it
+    was frequent, and the surroundings of what was replaced, are looked at.
+    """
     seq = np.concatenate(docs).astype(np.uint32)
     sizes = np.array([len(d) for d in docs], np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs = _pairs(seq, last)
-        best = _frequent(pairs, most, least=4)
-        if len(best) == 0:
-            break
-        order = np.sort(best)
-        bins = np.zeros(1 << 20, bool)
-        bins[((order * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)] = True
-        maybe = np.flatnonzero(bins[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)])
-        where = np.searchsorted(order, pairs[maybe])
-        where[where == len(order)] = 0
-        hit = order[where] == pairs[maybe]
-        maybe, where = maybe[hit], where[hit]
-        if len(maybe) == 0:
+    live = np.zeros(len(seq), bool)
+    if len(seq) > 1:
+        live[:-1] = _maybe_frequent(seq)
+    rules, n_rules = [np.zeros((0, 2), np.uint32)], 0
+    while len(at := np.flatnonzero(live & ~last)):
+        value, rule, count = np.unique(_pairs(seq, at), return_inverse=True, return_counts=True)
+        live[:] = False
+        often = count[rule] >= LEAST
+        at, rule = at[often], rule[often]
+        live[at] = True
+        n = np.zeros(len(seq) + 2, np.int32)
+        n[at + 1] = count[rule]
+        best = (n[at + 1] >= n[at]) & (n[at + 1] >= n[at + 2])  # no neighbour is more frequent
+        at, rule = at[best], rule[best]
+        begins = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
+        run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+        take = (np.arange(len(at)) - run) % 2 == 0  # of a run of equals, every other place
+        at, rule = at[take], rule[take]
+        kept = np.bincount(rule, minlength=len(value)) >= LEAST - 1
+        at, rule = at[kept[rule]], (np.cumsum(kept) - 1)[rule[kept[rule]]]
+        if len(at) == 0:
             break
-        # of a run of overlapping pairs, every other one is replaced
-        begins = np.concatenate([[True], np.diff(maybe) > 1])
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(maybe)), 0))
-        take = (np.arange(len(maybe)) - run) % 2 == 0
-        at, rule = maybe[take], where[take]
-        seq[at] = vocabulary_size + len(rules) + rule
+        value = value[kept]
+        seq[at] = vocabulary_size + n_rules + rule
         last[at] |= last[at + 1]
+        live[at] = live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules = np.concatenate([rules, np.stack([order >> np.uint64(32), order & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        seq, last, live = seq[keep], last[keep], live[keep]
+        rules.append(np.stack([value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        n_rules += len(value)
     own = np.zeros(len(docs), np.int64)
     ends = np.flatnonzero(last) + 1
     own[sizes > 0] = np.diff(np.concatenate([[0], ends]))
-    return seq, own, rules
+    return seq, own, np.concatenate(rules)
+
+
+def packed(symbols: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each symbol, then a row of bits for each higher place."""
+    planes = [np.packbits(((symbols >> np.uint32(k)) & np.uint32(1)).astype(bool), bitorder="little").tobytes() for k in range(16, bits)]
+    return b"".join([(symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes])
+
 
+class _Packed:
+    """Symbols in a buffer, read range by range."""
 
-def expansions(rules: np.ndarray, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all nonterminals' ids one after the other, the length of each)."""
-    out: list[np.ndarray] = []
+    def __init__(self, raw: bytes, at: int, n: int, bits: int):
+        self.low, self.bits, width = np.frombuffer(raw, "<u2", n, at), bits, -(-n // 8)
+        self.planes = [np.frombuffer(raw, np.uint8, width, at + 2 * n + k * width) for k in range(max(0, bits - 16))]
+        self.end = at + 2 * n + max(0, bits - 16) * width
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(len(self.low))
+        out = self.low[a:b].astype(np.uint32)
+        for k, plane in enumerate(self.planes):
+            out |= np.unpackbits(plane[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(np.uint32) << np.uint32(16 + k)
+        return out
+
+
+def lengths_of(rules: np.ndarray, vocabulary_size: int) -> np.ndarray:
+    """How many ids each nonterminal stands for."""
+    out: list[int] = []
     for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - vocabulary_size] if x >= vocabulary_size else np.array([x], np.uint32) for x in (a, b)]))
-    return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array([len(x) for x in out], np.int64)
+        out.append((out[a - vocabulary_size] if a >= vocabulary_size else 1) + (out[b - vocabulary_size] if b >= vocabulary_size else 1))
+    return np.array(out, np.int64)
 
 
-def write_block(doc_ids: list[int], docs: list[np.ndarray], vocabulary_size: int) -> bytes:
+def write_block(doc_ids: list[int | None], docs: list[np.ndarray], vocabulary_size: int) -> bytes:
     seq, own, rules = compress(docs, vocabulary_size)
-    _, lengths = expansions(rules, vocabulary_size)
-    width = 2 if vocabulary_size + len(rules) <= 1 << 16 else 4
-    head = b"RPR1" + struct.pack("<QQQ", len(doc_ids), len(rules), len(seq))
-    return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array([len(d) for d in docs], "<u8").tobytes(), own.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), struct.pack("<Q", width), seq.astype(f"<u{width}").tobytes()])
+    bits = max(16, (vocabulary_size + len(rules)).bit_length())
+    head = b"RPR2" + struct.pack("<QQQQ", len(doc_ids), len(rules), len(seq), bits)
+    ids, there = np.array([i or 0 for i in doc_ids], "<i8"), np.array([i is not None for i in doc_ids], "<u1")
+    sizes = np.array([len(d) for d in docs], "<u8")
+    return b"".join([head, ids.tobytes(), there.tobytes(), sizes.tobytes(), own.astype("<u8").tobytes(), lengths_of(rules, vocabulary_size).astype("<u4").tobytes(), packed(rules.reshape(-1), bits), packed(seq, bits)])
 
 
 class Block:
-    """A block of a shard; ``ids(k)`` decodes its k-th document alone, ``all()`` every document."""
+    """A shard; ``ids(k)`` decodes its k-th document alone, ``all()`` every document."""
 
     def __init__(self, raw: bytes, vocabulary_size: int):
-        if raw[:4] != b"RPR1":
-            raise ValueError("not a block of token ids")
-        n, n_rules, n_symbols = struct.unpack_from("<QQQ", raw, 4)
-        at = 28
+        if raw[:4] != b"RPR2":
+            raise ValueError("not a shard of token ids")
+        n, n_rules, n_symbols, bits = struct.unpack_from("<QQQQ", raw, 4)
+        at = 36
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -198,46 +221,45 @@ class Block:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.sizes, own = take("<i8", n), take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
-        rules = take("<u4", 2 * n_rules).reshape(-1, 2)
-        lengths = take("<u4", n_rules).astype(np.int64)
-        width = int(take("<u8", 1)[0])
-        self.symbols = take(f"<u{width}", n_symbols)
+        ids, there = take("<i8", n), take("<u1", n).astype(bool)
+        self.doc_ids = pa.array(ids, mask=~there)
+        self.sizes, own = take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
+        self.lengths = take("<u4", n_rules).astype(np.int64)
+        rules = _Packed(raw, at, 2 * n_rules, bits)
+        self.rules, self.symbols = rules[:].reshape(-1, 2), _Packed(raw, rules.end, n_symbols, bits)
         self.starts = np.concatenate([[0], np.cumsum(own)])
         self.size = vocabulary_size
-        self.flat, found = expansions(rules, vocabulary_size)
-        if not np.array_equal(found, lengths):
-            raise ValueError("expansion lengths differ from the rules")
-        self.begin, self.lengths = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64), lengths
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.int64)
-        rule = symbols - self.size
-        big = rule >= 0
-        n = np.ones(len(symbols), np.int64)
-        n[big] = self.lengths[rule[big]]
-        out = np.repeat(symbols.astype(np.uint32), n)
-        ends = np.cumsum(n)
-        count = n[big]
-        to = np.repeat(ends[big] - count, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        out[to] = self.flat[np.repeat(self.begin[rule[big]], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))]
+        """Nonterminals are replaced by their two symbols, all at once, until ids alone are left."""
+        wanted = int(np.where(symbols >= self.size, self.lengths[np.maximum(symbols.astype(np.int64) - self.size, 0)], 1).sum()) if len(self.rules) else len(symbols)
+        out = symbols.astype(np.uint32)
+        while len(big := np.flatnonzero(out >= self.size)):
+            pair = self.rules[out[big] - self.size]
+            n = np.ones(len(out), np.int64)
+            n[big] = 2
+            to = (np.cumsum(n) - n)[big]
+            out = np.repeat(out, n)
+            out[to], out[to + 1] = pair[:, 0], pair[:, 1]
+        if len(out) != wanted:
+            raise ValueError("expansion lengths differ from the rules")
         return out
 
     def ids(self, k: int) -> np.ndarray:
         return self._expand(self.symbols[self.starts[k] : self.starts[k + 1]])
 
     def all(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        return self._expand(self.symbols[:])
 
 
-def _blocks(model: bytes):
+def _shards(model: bytes):
     def run(batches):
         encoder = _encoder(model)
         size = encoder.library.get_vocab_size()
-        ids, docs, held = [], [], 0
+        ids, docs, held, number = [], [], 0, 0
 
-        def block():
-            return pa.RecordBatch.from_arrays([pa.array([ids[0]], pa.int64()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([write_block(ids, docs, size)], pa.binary())], ["first_doc", "n_tokens", "block"])
+        def shard():
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([write_block(ids, docs, size)], pa.binary())], ["shard", "n_tokens", "block"])
 
         end = np.array([END], encoder.dtype)
         for batch in batches:
@@ -248,32 +270,32 @@ def _blocks(model: bytes):
                 ids.append(doc_id)
                 docs.append(own)
                 held += len(own)
-                if held >= BLOCK_IDS:
-                    yield block()
-                    ids, docs, held = [], [], 0
+                if held >= SHARD_IDS:
+                    yield shard()
+                    ids, docs, held, number = [], [], 0, number + 1
         if docs:
-            yield block()
+            yield shard()
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str) -> None:
-    """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order, a shard for each range of doc_ids."""
+    """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order, a part for each range of doc_ids."""
     with open(model_path, "rb") as f:  # on the driver; a vocabulary's size does not depend on the data
         model = f.read()
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    in_batches(dealt, _blocks(model), "first_doc long, n_tokens long, block binary").withColumn("shard", F.spark_partition_id()).write.parquet(path)
+    in_batches(dealt, _shards(model), "shard long, n_tokens long, block binary").withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, vocabulary_size: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``."""
-    files = spark.read.schema("first_doc long, n_tokens long, block binary, shard int").parquet(path)
-    sizes = files.select("shard", "first_doc", "n_tokens")
-    # a row for each shard; their number is that of the partitions, not of the documents
-    shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("first_doc")) - F.col("n_tokens")
-    starts = saved(sizes.select("shard", "first_doc", within.alias("within")).join(before, "shard").select("first_doc", "shard", (F.col("within") + F.col("before")).alias("start")))
+    files = spark.read.schema("shard long, n_tokens long, block binary, part int").parquet(path)
+    sizes = files.select("part", "shard", "n_tokens")
+    # a row for each part; their number is that of the partitions, not of the documents
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
+    starts = saved(sizes.select("part", "shard", within.alias("within")).join(before, "part").select("part", "shard", (F.col("within") + F.col("before")).alias("start")))
 
     def run(batches):
         for batch in batches:
@@ -284,9 +306,9 @@ def read_tokens(spark: SparkSession, path: str, vocabulary_size: int) -> DataFra
                 begin = ends - block.sizes
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids), pa.array(begin + start), pa.array(block.sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([block.doc_ids, pa.array(begin + start), pa.array(block.sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.join(starts, ["shard", "first_doc"]).select("start", "block")
+    rows = files.join(starts, ["part", "shard"]).select("start", "block")
     return in_batches(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

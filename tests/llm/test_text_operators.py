@@ -70,7 +70,7 @@ def test_sentencepiece(spark):
 def test_token_files(spark, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_output, "BLOCK_IDS", 500)
+    monkeypatch.setattr(token_output, "SHARD_IDS", 500)
     path = sentencepiece_codec.vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     rows = [(7 * i, t) for i, t in enumerate(fuzz(500))] + [(99999, None)]
@@ -92,7 +92,45 @@ def test_repair_round_trip():
     block = token_output.Block(raw, 50257)
     assert np.array_equal(block.all(), np.concatenate(docs))
     assert all(np.array_equal(block.ids(k), d) for k, d in enumerate(docs))
-    assert len(block.symbols) < sum(map(len, docs))
+    assert len(block.symbols.low) < sum(map(len, docs))
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    g = np.random.default_rng(1)
+    copy = g.integers(0, 50_000, 700)
+    docs = [np.append(copy, 0) for _ in range(40)] + [np.append(g.integers(0, 40, 2000), 0), np.zeros(300, np.int64)]
+    seq, own, rules = token_output.compress(docs, 50257)
+    pairs = {}
+    at = 0
+    for n in own.tolist():
+        part = seq[at : at + n].tolist()
+        at += n
+        previous = None
+        for k, p in enumerate(zip(part, part[1:])):  # occurrences that do not overlap
+            if previous != (p, k - 1):
+                pairs[p] = pairs.get(p, 0) + 1
+                previous = (p, k)
+            else:
+                previous = None
+    assert max(pairs.values()) <= 2 * token_output.LEAST and own[:40].max() <= 2  # copies become a symbol or two
+    block = token_output.Block(token_output.write_block([None, *range(41)], docs, 50257), 50257)
+    assert block.doc_ids.to_pylist() == [None, *range(41)] and all(np.array_equal(block.ids(k), d) for k, d in enumerate(docs))
+
+
+def test_token_files_of_repeated_and_null_ids(spark, monkeypatch, tmp_path):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "SHARD_IDS", 50)
+    path = sentencepiece_codec.vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    long_ = "some words that are long " * 40
+    rows = [(5, long_), (5, long_), (5, "x"), (None, "n"), (None, None), (1, ""), (9, long_)]
+    token_output.write_tokens(frame(spark, rows), str(tmp_path / "ids"), path)
+    got = token_output.read_tokens(spark, str(tmp_path / "ids"), library.get_vocab_size()).collect()
+    assert sorted((x.doc_id or -1, x.n_tokens) for x in got) == sorted((i or -1, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    in_order = sorted(got, key=lambda x: x.start)
+    assert [x.start for x in in_order] == [sum(y.n_tokens for y in in_order[:k]) for k in range(len(got))]
+    assert [x.doc_id or -1 for x in in_order] == [-1, -1, 1, 5, 5, 5, 9]
 
 
 def test_decontamination(spark):
