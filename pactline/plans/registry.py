@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import answers, contracts, repository, store, telemetry, text, tree
+from pactline.plans import answers, contracts, edits, repository, store, telemetry, text, tree
 
-_PLANS = (telemetry, store, repository, contracts, answers, tree, text)
+_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, text)
 
 
 def queries() -> dict:
