@@ -84,10 +84,19 @@ def confidence(notes: Column, field: str) -> Column:
 
 
 def source_page(pages: DataFrame, needles: DataFrame) -> DataFrame:
-    """(doc_id, page): the first page (from 1) that holds a needle of at least three characters, for each document with one."""
-    usable = needles.where(F.length(F.regexp_replace("needle", r"\s", "")) >= 3).select("doc_id", F.lower("needle").alias("needle"))
-    met = pages.join(usable, "doc_id").where(F.contains(F.lower("text"), F.col("needle")))
-    return met.groupBy("doc_id").agg(F.min("page").alias("page"))
+    """(doc_id, page): the first page (from 1) that holds a needle, for each document with one.
+
+    Needles (needle) of at least three characters count in any document. A needle of three words
+    or more is looked up by its second word, which stands between white space in any page that
+    holds it; shorter ones are few and are compared with every page.
+    """
+    usable = needles.where(F.length(F.regexp_replace("needle", r"\s", "")) >= 3).select(F.lower("needle").alias("needle")).distinct()
+    usable = usable.withColumn("word", F.regexp_extract("needle", r"\S\s+(\S+)\s+\S", 1))
+    low = pages.select("doc_id", "page", F.lower("text").alias("text"))
+    words = low.select("doc_id", "page", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = words.join(F.broadcast(usable.where("word <> ''")), "word").where(F.contains("text", F.col("needle")))
+    short = low.join(F.broadcast(usable.where("word = ''")), F.contains("text", F.col("needle")))
+    return met.select("doc_id", "page").unionByName(short.select("doc_id", "page")).groupBy("doc_id").agg(F.min("page").alias("page"))
 
 
 def violations(df: DataFrame, constraints: list[tuple[str, str, Column]]) -> Column:

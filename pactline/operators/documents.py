@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,11 @@ def visible(df: DataFrame, org: Column, user: Column, actor_org: str | None, act
     return df.where(org == actor_org) if actor_org else df.where((user == actor_user) & org.isNull())
 
 
-def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in the given order, by a map-side combined maximum where the order is all there is to rank."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+def latest(df: DataFrame, key: str, *newest: str) -> DataFrame:
+    """The row of each key with the greatest values in the given columns, combined on the map side."""
+    rest = [c for c in df.columns if c != key and c not in newest]
+    top = df.groupBy(key).agg(F.max(F.struct(*newest, *rest)).alias("__top"))
+    return top.select(*(F.col(key) if c == key else F.col(f"__top.{c}").alias(c) for c in df.columns))
 
 
 def retained(df: DataFrame, ts: str, days: int, anchor: Column | None = None) -> DataFrame:

@@ -1,42 +1,64 @@
 """Ordered state per key, folded over each key's events.
 
-Each machine reads one key's timestamps in order. A key's history is one array in one
-task, as the state it models is; keys are spread by the shuffle.
+The folds stream: rows are dealt out by key, sorted, and read batch by batch with the state of
+one key in hand, so that a key with very many events needs no more memory than any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _folded(events: DataFrame, key: str, order: list[str], start: Callable[[], list], step: Callable, name: str) -> DataFrame:
+    """``events`` with the boolean column ``name``: what ``step(state, *row)`` says of each row of a key in order."""
+    columns = events.columns
+
+    def run(batches):
+        current, state, first = None, start(), True
+        for batch in batches:
+            out = []
+            for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns if c != key)):
+                if first or k != current:
+                    current, state, first = k, start(), False
+                out.append(step(state, *row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, name])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in events.dtypes) + f", `{name}` boolean"
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def rate_limited(events: DataFrame, key: str, ts: str, order: str, seconds: int) -> DataFrame:
-    """(key, order, ts, allowed): an event is allowed if none was allowed within so many seconds before it."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, order))).alias("xs"))
-    empty = F.expr(f"named_struct('last', cast(null as timestamp), 'out', cast(array() as array<struct<{ts}:timestamp,{order}:bigint,allowed:boolean>>))")
+    """(key, order, allowed): an event is allowed if none was allowed within so many seconds before it."""
 
-    def step(state: Column, x: Column) -> Column:
-        ok = state["last"].isNull() | (F.unix_micros(x[ts]) - F.unix_micros(state["last"]) >= seconds * 1_000_000)
-        item = F.struct(x[ts].alias(ts), x[order].alias(order), ok.alias("allowed"))
-        return F.struct(F.when(ok, x[ts]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(item)).alias("out"))
+    def step(last: list, t: int, _: int) -> bool:
+        ok = not last or t - last[0] >= seconds * 1_000_000
+        if ok:
+            last[:] = [t]
+        return ok
 
-    folded = rows.select(key, F.explode(F.aggregate("xs", empty, step, lambda s: s["out"])).alias("x"))
-    return folded.select(key, f"x.{order}", f"x.{ts}", "x.allowed")
+    rows = events.select(key, F.unix_micros(ts).alias("__t"), order)
+    return _folded(rows, key, ["__t", order], list, step, "allowed").drop("__t")
 
 
 def login_guarded(events: DataFrame, key: str, ts: str, order: str, failed: str, seconds: int, limit: int) -> DataFrame:
-    """(key, order, locked): attempts while locked are refused; failures count within a half-open window, success clears them."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), F.col(order).alias("o"), F.col(failed).alias("f")))).alias("xs"))
-    empty = F.expr("named_struct('kept', cast(array() as array<bigint>), 'out', cast(array() as array<struct<o:bigint,locked:boolean>>))")
-
-    def step(state: Column, x: Column) -> Column:
-        kept = F.filter(state["kept"], lambda t: t > x["t"] - seconds * 1_000_000)
-        locked = F.size(kept) >= limit
-        after = F.when(locked, kept).when(x["f"], F.concat(kept, F.array(x["t"]))).otherwise(F.filter(kept, lambda t: F.lit(False)))
-        return F.struct(after.alias("kept"), F.concat(state["out"], F.array(F.struct(x["o"].alias("o"), locked.alias("locked")))).alias("out"))
-
-    folded = rows.select(key, F.explode(F.aggregate("xs", empty, step, lambda s: s["out"])).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), "x.locked")
+    """(key, order, locked): attempts while locked are refused; failures count within a half-open window, success clears them.
+
+    A key's state is at most ``limit`` times.
+    """
+
+    def step(kept: list, t: int, _: int, f: bool) -> bool:
+        kept[:] = [x for x in kept if x > t - seconds * 1_000_000]
+        if len(kept) >= limit:
+            return True
+        kept[:] = [*kept, t] if f else []
+        return False
+
+    rows = events.select(key, F.unix_micros(ts).alias("__t"), order, failed)
+    return _folded(rows, key, ["__t", order], list, step, "locked").select(key, order, "locked")
 
 
 def failure_runs(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:

@@ -41,18 +41,18 @@ def _settings(s: SparkSession, p: str) -> DataFrame:
 
 
 def export_bundle(s: SparkSession, p: str) -> DataFrame:
-    """One row for each customer with its orders and its line items' total, each child grouped before the join."""
+    """One row for each customer with how many orders and line items it has and its first order, each child grouped before the join."""
     c = load(s, p, "customer").select("c_custkey", "c_name")
     o = load(s, p, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
     lines = load(s, p, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    orders = o.groupBy("c_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
+    orders = o.groupBy("c_custkey").agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first_order"))
     items = lines.join(o, "o_orderkey").groupBy("c_custkey").agg(F.count("*").alias("n_lines"))
     return c.join(orders, "c_custkey", "left").join(items, "c_custkey", "left")
 
 
 def _bundle_counts(s: SparkSession, p: str) -> DataFrame:
     x = export_bundle(s, p)
-    return x.select("c_custkey", "c_name", F.coalesce(F.size("orders"), F.lit(0)).cast("long").alias("n_orders"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.element_at("orders", 1)["o_orderkey"].alias("first_order"))
+    return x.select("c_custkey", "c_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "first_order")
 
 
 def _ordered(s: SparkSession, p: str) -> DataFrame:
@@ -64,11 +64,11 @@ QUERIES = {
     "tenant_filter_org": lambda s, p: d.visible(_owned(s, p), F.col("org"), F.col("o_custkey"), "7", "1").select("o_orderkey", "org"),
     "tenant_filter_user": lambda s, p: d.visible(_owned(s, p), F.col("org"), F.col("o_custkey").cast("string"), None, "103").select("o_orderkey", "o_custkey"),
     "count_by_tenant": lambda s, p: load(s, p, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")),
-    "latest_per_event": lambda s, p: d.latest(_events(s, p), "event_type", F.desc("ts"), F.desc("event_id")).select("event_type", "event_id", "user_id"),
+    "latest_per_event": lambda s, p: d.latest(_events(s, p), "event_type", "ts", "event_id").select("event_type", "event_id", "user_id"),
     "active_unexpired": lambda s, p: _events(s, p).where((F.col("ts") + F.expr("INTERVAL 7 DAYS") > F.lit("2024-01-15").cast("timestamp")) & (F.col("value") < 5)).select("event_id", "user_id"),
     "retention_90d": lambda s, p: d.retained(_events(s, p), "ts", 90).select("event_id"),
     "conditional_update": lambda s, p: _events(s, p).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).select("user_id", (F.col("n") + 1).alias("attempts"), (F.col("n") + 1 >= 5).alias("invalid")),
-    "max_version_active": lambda s, p: d.latest(_prompts(s, p), "org", F.desc("version")).select("org", "version", "content"),
+    "max_version_active": lambda s, p: d.latest(_prompts(s, p), "org", "version").select("org", "version", "content"),
     "upsert_device": lambda s, p: d.upsert(_events(s, p), ["user_id", "event_type"], "ts", ["event_id"]).select("user_id", "event_type", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "event_id"),
     "prompt_default_join": _settings,
     "export_bundle": _bundle_counts,
