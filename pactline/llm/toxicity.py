@@ -133,28 +133,32 @@ class Similarity:
         """For each text, the kernel values with the landmarks of its distinct sentences that are like any."""
         lowered = [text.lower() for text in texts]
         rows = [_words(text) for text in lowered]
-        every = list(set().union(*rows))
+        every = list(set().union(*(words.values() for words in rows)))
         near = {w: found for w, found in zip(every, self.cache(every)) if found}
         out = []
         for text, words in zip(lowered, rows):
+            like = {token: w for token, w in words.items() if w in near}
             found = {}
-            if not words.isdisjoint(near):
-                for sentence in _ENDS.split(text):
-                    if own := _words(sentence) & near.keys():
-                        value = np.zeros((len(POWERS), len(self.codes)))
-                        for w in sorted(own):
-                            for m, v in near[w]:
-                                for k, power in enumerate(POWERS):
-                                    value[k, m] += v**power
-                        found[value.tobytes()] = value
+            for sentence in _ENDS.split(text) if like else ():
+                own = {like[token] for token in sentence.split() if token in like}
+                own.update(like[m] for m in _SPACED.findall(sentence) if m in like)
+                if own:
+                    value = np.zeros((len(POWERS), len(self.codes)))
+                    for w in sorted(own):
+                        for m, v in near[w]:
+                            for k, power in enumerate(POWERS):
+                                value[k, m] += v**power
+                    found[value.tobytes()] = value
             out.append(np.array(list(found.values())).reshape(-1, len(POWERS) * len(self.codes)))
         return out
 
 
-def _words(text: str) -> set[str]:
-    """The distinct words of a text in lower case; single characters with spaces between them are one more."""
-    words = {w if w.isalpha() else _OTHER.sub("", w) for w in set(text.split())}
-    words.update(re.sub(r"\s", "", m[0]) for m in _SPACED.finditer(text))
+def _words(text: str) -> dict[str, str]:
+    """The word of each distinct token of a text in lower case; single characters with spaces between them are one more token."""
+    words = {t: t if t.isalpha() else _OTHER.sub("", t) for t in set(text.split())}
+    for m in _SPACED.findall(text):
+        for part in {m, *m.split("\n")}:  # a line end parts sentences
+            words[part] = re.sub(r"\s", "", part)
     return words
 
 
