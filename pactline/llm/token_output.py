@@ -41,6 +41,7 @@ from pactline.llm.sentencepiece_codec import vocabulary
 SHARD_IDS = 1 << 20
 LEAST = 4
 BINS = 1 << 20
+EXACT = 200_000  # places from which on all pairs are counted exactly
 END = 0
 #: other white space before a space: there the vocabulary's word pattern may run over the start of a segment
 _OTHER_SPACE = re.compile(r"[^\S ] ")
@@ -112,10 +113,14 @@ def _encoder(model: bytes) -> _Encoder:
 
 def _maybe_frequent(seq: np.ndarray) -> np.ndarray:
     """Places whose pairs may occur LEAST times: counts of hashed bins are never too low."""
-    bins = ((_pairs(seq, np.arange(len(seq) - 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    bins = _bins((seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:])
     return (np.bincount(bins, minlength=BINS) >= LEAST)[bins]
 
 
+def _bins(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+
+
 def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
@@ -134,22 +139,34 @@ def compress(docs: list[np.ndarray], vocabulary_size: int) -> tuple[np.ndarray,
     if len(seq) > 1:
         live[:-1] = _maybe_frequent(seq)
     rules, n_rules = [np.zeros((0, 2), np.uint32)], 0
+    exact = False
     while len(at := np.flatnonzero(live & ~last)):
-        value, rule, count = np.unique(_pairs(seq, at), return_inverse=True, return_counts=True)
+        pairs = _pairs(seq, at)
+        exact = exact or len(at) < EXACT
+        if exact:
+            _, rule, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        else:  # counts of hashed bins choose the places while there are very many
+            rule = _bins(pairs)
+            count = np.bincount(rule, minlength=BINS)
+        count = count[rule].astype(np.int32)
+        often = count >= LEAST
+        at, pairs, count = at[often], pairs[often], count[often]
         live[:] = False
-        often = count[rule] >= LEAST
-        at, rule = at[often], rule[often]
         live[at] = True
         n = np.zeros(len(seq) + 2, np.int32)
-        n[at + 1] = count[rule]
-        best = (n[at + 1] >= n[at]) & (n[at + 1] >= n[at + 2])  # no neighbour is more frequent
-        at, rule = at[best], rule[best]
+        n[at + 1] = count
+        best = (count >= n[at]) & (count >= n[at + 2])  # no neighbour is more frequent
+        at, pairs = at[best], pairs[best]
         begins = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0  # of a run of equals, every other place
-        at, rule = at[take], rule[take]
-        kept = np.bincount(rule, minlength=len(value)) >= LEAST - 1
+        at = at[take]
+        value, rule, count = np.unique(pairs[take], return_inverse=True, return_counts=True)
+        kept = count >= (LEAST - 1 if exact else LEAST)
         at, rule = at[kept[rule]], (np.cumsum(kept) - 1)[rule[kept[rule]]]
+        if len(at) == 0 and not exact:
+            exact = True
+            continue
         if len(at) == 0:
             break
         value = value[kept]
