@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the driver and every executor can reach.
 
-    Where a session names none (tests on one machine), a temporary folder is set.
+    Where a session on one machine names none, a temporary folder is set; a cluster must name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pactline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pactline-"))
     return sc.getCheckpointDir()
 
 
