@@ -193,10 +193,15 @@ def party_name(raw: Column) -> Column:
 
 def parties(text: Column) -> Column:
     """struct<agency, hotel> of the first sentence that names both."""
-    pair = lambda pattern: F.struct(party_name(F.regexp_extract(text, pattern, 1)).alias("agency"), party_name(F.regexp_extract(text, pattern, 2)).alias("hotel"))
-    a, b = pair(PARTIES), pair(BETWEEN)
-    whole = lambda p: p["agency"].isNotNull() & p["hotel"].isNotNull()
-    return F.when(whole(a), a).when(whole(b), b)
+
+    def pair(pattern: str, sign: str) -> Column:
+        """The sentence is searched once, and only where a word of it stands; its names are then read from it."""
+        found = F.when(text.rlike(sign), F.regexp_substr(text, F.lit(pattern)))
+        name = lambda m, k: party_name(F.regexp_extract(m, pattern, k))
+        both = F.transform(F.array(found), lambda m: F.struct(name(m, 1).alias("agency"), name(m, 2).alias("hotel")))
+        return F.get(F.filter(both, lambda p: p["agency"].isNotNull() & p["hotel"].isNotNull()), 0)
+
+    return F.coalesce(pair(PARTIES, "(?i)Taraflar"), pair(BETWEEN, "(?i)arasında"))
 
 
 def court(raw: Column) -> Column:
