@@ -71,11 +71,12 @@ def collapse_blank_lines(text: Column) -> Column:
 
 def section_between(text: Column, starts: list[str], ends: list[str], skip: int = 40) -> Column:
     """From the earliest start marker to the earliest end marker after ``skip`` characters, in lower case; '' without a start."""
-    low = lower_simple(text)
-    first = F.array_min(F.filter(F.array(*(F.locate(m, low) for m in starts)), lambda p: p > 0))
-    tail = F.substr(low, first)
-    cut = F.array_min(F.filter(F.array(*(F.locate(m, F.substr(tail, F.lit(skip + 1))) for m in ends)), lambda p: p > 0))
-    return F.when(first.isNull(), "").when(cut.isNull(), tail).otherwise(F.substr(tail, F.lit(1), cut + (skip - 1)))
+    earliest = lambda marks, low: F.array_min(F.filter(F.array(*(F.locate(m, low) for m in marks)), lambda p: p > 0))
+    # the text in lower case and its tail are bound once, for all the markers that are looked up in them
+    tails = F.transform(F.array(lower_simple(text)), lambda low: F.substr(low, earliest(starts, low)))
+    cut = lambda tail: earliest(ends, F.substr(tail, F.lit(skip + 1)))
+    whole = F.transform(tails, lambda tail: F.coalesce(F.substr(tail, F.lit(1), cut(tail) + (skip - 1)), tail, F.lit("")))
+    return F.when(text.isNotNull(), F.get(whole, 0))
 
 
 def first_int(text: Column) -> Column:

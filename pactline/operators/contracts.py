@@ -86,17 +86,21 @@ def confidence(notes: Column, field: str) -> Column:
 def source_page(pages: DataFrame, needles: DataFrame) -> DataFrame:
     """(doc_id, page): the first page (from 1) that holds a needle, for each document with one.
 
-    Needles (needle) of at least three characters count in any document. A needle of three words
-    or more is looked up by its second word, which stands between white space in any page that
-    holds it; shorter ones are few and are compared with every page.
+    Needles (needle) of at least three characters count in any document. Pages and needles meet by
+    a key: a needle's longest inner word, which stands between white space in any page that holds
+    it, or, where it has none, its first three characters, looked up among those of each page.
+    Keys alone are joined; the texts of the pages that met are fetched afterwards.
     """
     usable = needles.where(F.length(F.regexp_replace("needle", r"\s", "")) >= 3).select(F.lower("needle").alias("needle")).distinct()
-    usable = usable.withColumn("word", F.regexp_extract("needle", r"\S\s+(\S+)\s+\S", 1))
-    low = pages.select("doc_id", "page", F.lower("text").alias("text"))
-    words = low.select("doc_id", "page", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    met = words.join(F.broadcast(usable.where("word <> ''")), "word").where(F.contains("text", F.col("needle")))
-    short = low.join(F.broadcast(usable.where("word = ''")), F.contains("text", F.col("needle")))
-    return met.select("doc_id", "page").unionByName(short.select("doc_id", "page")).groupBy("doc_id").agg(F.min("page").alias("page"))
+    inner = F.filter(F.slice(F.split("needle", r"\s+"), 2, F.greatest(F.size(F.split("needle", r"\s+")) - 2, F.lit(0))), lambda w: w != "")
+    usable = usable.withColumn("key", F.get(F.reverse(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), 0)["w"])
+    low = pages.select("doc_id", "page", F.lower("text").alias("text")).where("text is not null")
+    words = low.select("doc_id", "page", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
+    met = words.join(usable.where("key is not null"), "key").select("doc_id", "page", "needle")
+    short = usable.where("key is null").withColumn("key", F.substring("needle", 1, 3))
+    threes = low.select("doc_id", "page", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda k: F.substr("text", k, F.lit(3))))).alias("key"))
+    met = met.unionByName(threes.join(short, "key").select("doc_id", "page", "needle"))
+    return met.join(low, ["doc_id", "page"]).where(F.contains("text", F.col("needle"))).groupBy("doc_id").agg(F.min("page").alias("page"))
 
 
 def violations(df: DataFrame, constraints: list[tuple[str, str, Column]]) -> Column:

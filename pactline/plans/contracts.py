@@ -70,10 +70,10 @@ def _orders_checked(s: SparkSession, p: str) -> DataFrame:
 
 
 def _source_pages(s: SparkSession, p: str) -> DataFrame:
-    """Pages: the documents of a source in order; needles: the first words of the test items, a small table by its nature."""
+    """Pages: the documents of a source in order; needles: the whole test items."""
     d = load(s, p, "documents").withColumn("source", F.substring("source", 4, 4).cast("long"))
     pages = d.select(F.col("source").alias("doc_id"), (F.col("doc_id") + 1).alias("page"), "text")
-    needles = load(s, p, "benchmark").select(F.substring("text", 1, 25).alias("needle"))
+    needles = load(s, p, "benchmark").select(F.col("text").alias("needle"))
     return c.source_page(pages, needles)
 
 
@@ -149,7 +149,7 @@ SQL = {
     "confidence_from_notes": "SELECT doc_id, CASE WHEN toxic = 1 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS donem, CASE WHEN quality = 0 THEN 0.2::DOUBLE ELSE 0.9::DOUBLE END AS release FROM labels",
     "validate_constraints": f"WITH {_V} SELECT l_orderkey, l_linenumber, coalesce(array_to_string(m, ';'), '') AS messages, CAST(len(m) AS INTEGER) AS n FROM checked",
     "dataset_validation": f"WITH {_V} SELECT l_orderkey % 10 AS part, count(*) AS n_rows, CAST(sum(len(m)) AS BIGINT) AS errors, count(*) FILTER (len(m) = 0) AS n_valid FROM checked GROUP BY part",
-    "source_page_first": r"SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, min(d.doc_id) + 1 AS page FROM documents d JOIN (SELECT substr(text, 1, 25) AS needle FROM benchmark) b ON contains(lower(d.text), lower(b.needle)) WHERE length(regexp_replace(needle, '\s', '', 'g')) >= 3 GROUP BY source",
+    "source_page_first": r"SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, min(d.doc_id) + 1 AS page FROM documents d JOIN (SELECT text AS needle FROM benchmark) b ON contains(lower(d.text), lower(b.needle)) WHERE length(regexp_replace(needle, '\s', '', 'g')) >= 3 GROUP BY source",
     "field_accuracy": "SELECT count(*) AS n, round(avg(CAST(quality IS NOT DISTINCT FROM CAST(n_chars > 400 AS INTEGER) AS INTEGER)), 9) AS quality, round(avg(CAST(toxic IS NOT DISTINCT FROM CASE WHEN lang <> 'es' THEN 0 END AS INTEGER)), 9) AS toxic FROM documents JOIN labels USING (doc_id)",
     "dataset_stats": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(CAST(n_chars >= 1000 AS INTEGER)), 9) AS long_share FROM documents GROUP BY lang, source",
     "noise_multilabel": "WITH t AS (SELECT list_filter([CASE WHEN contains(text, '@') THEN 'eposta' END, CASE WHEN contains(text, '|') THEN 'tablo' END, CASE WHEN contains(text, '!!') THEN 'bagiran' END], lambda x: x IS NOT NULL) AS tags FROM documents) SELECT tag, count(*) AS n FROM (SELECT unnest(CASE WHEN len(tags) = 0 THEN ['(yok)'] ELSE tags END) AS tag FROM t) GROUP BY tag",

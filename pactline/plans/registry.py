@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import answers, contracts, edits, grounding, repository, store, telemetry, text, tree
+from pactline.plans import answers, contracts, edits, evidence, grounding, repository, store, telemetry, text, tree
 
-_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, text)
+_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, text)
 
 
 def queries() -> dict:
