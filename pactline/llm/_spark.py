@@ -69,6 +69,27 @@ def by_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFram
     return out.select(*(F.col(own).alias(c) if c == "doc_id" else F.col(c) for c in out.columns if c != own))
 
 
+def grouped_by_row(rows: DataFrame, key: str, group: str | None, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage(rows)`` for an operator that names rows by ``key`` and groups, if any, by their least ``key`` in a column ``group``.
+
+    Where keys are null or repeated, rows are told apart by keys of their own (as in ``by_row``),
+    and afterwards rows and groups have the rows' keys again: a group is named by the least key in
+    it, null only if it has no other. ``kept`` is then whether both are the same, nulls included.
+    """
+    if rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).isEmpty():
+        return stage(rows)
+    names = saved(rows.orderBy(F.asc_nulls_last(key)).select(F.monotonically_increasing_id().alias("row_key"), *rows.columns))
+    own = names.select(F.col("row_key").alias("k"), F.col(key).alias("own"))
+    out = stage(names.select(F.col("row_key").alias(key), *(c for c in rows.columns if c != key)))
+    named = out.join(own, F.col(key) == F.col("k"))
+    if group is None:
+        return named.select(*(F.col("own").alias(c) if c == key else F.col(c) for c in out.columns))
+    first = own.select(F.col("k").alias("g"), F.col("own").alias("first"))
+    named = named.join(first, F.col(group) == F.col("g"))
+    same = F.col("own").eqNullSafe(F.col("first"))
+    return named.select(*({key: F.col("own").alias(key), group: F.col("first").alias(group), "kept": same.alias("kept")}.get(c, F.col(c)) for c in out.columns))
+
+
 def _least(pairs: DataFrame, key: str, other: str) -> DataFrame:
     return pairs.groupBy(F.col(key).alias("k")).agg(F.least(F.min(other), F.col("k")).alias("m"))
 

@@ -23,7 +23,9 @@ there the work grows with the square of their number, as for any exact method kn
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing; equal vectors link with each other; vectors of different lengths never link;
-repeated rows each count; an empty table gives an empty result; extra columns are ignored.
+rows that share a vec_id, or have none, are rows of their own, linked by their own vectors (a
+component is named by its least vec_id, null only if it has no other, and a row is kept if its
+vec_id is that name); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import components, in_batches, saved, table
+from pactline.llm._spark import components, grouped_by_row, in_batches, saved, table
 
 SAMPLE = 16  # points for each centre that may become one
 SAMPLE_BYTES = 64 << 20  # of them together, at most
@@ -194,6 +196,11 @@ def _compared(cosine: float):
 
 def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
+    return grouped_by_row(vectors.select("vec_id", "embedding"), "vec_id", "component_id", lambda v: _near_embeddings(v, cosine))
+
+
+def _near_embeddings(vectors: DataFrame, cosine: float) -> DataFrame:
+    """The same where each row has a vec_id of its own."""
     units = saved(in_batches(vectors.select("vec_id", "embedding"), _units, "vec_id long, unit binary"))
     points = saved(units.where(F.length("unit") > 0).groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     # a bounded sample chooses the centres; which points they are changes the work, never the result

@@ -19,7 +19,9 @@ row from the start.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of
 fewer words than a shingle has its whole word sequence as one shingle; equal sets are
-always in one component; an empty table gives an empty result; extra columns are ignored.
+always in one component; rows that share a doc_id, or have none, are rows of their own, linked by
+their own texts (a component is named by its least doc_id, null only if it has no other, and a row
+is kept if its doc_id is that name); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import by_row, components, in_batches, saved, table
+from pactline.llm._spark import by_row, components, grouped_by_row, in_batches, saved, table
 from pactline.llm._text import U, Words, buffers, chunks, mix
 
 COORDINATES = 32
@@ -159,7 +161,11 @@ def _long_lists(members: DataFrame, docs: DataFrame, words: int, percent: int) -
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    return grouped_by_row(docs.select("doc_id", "text"), "doc_id", "component_id", lambda d: _near_duplicates(d, words, percent))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same where each row has a doc_id of its own."""
     marked = saved(in_batches(docs, _signatures(words), "doc_id long, n_shingles long, f1 long, f2 long, sign array<int>"))
     classes = saved(marked.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n")))
     posts = classes.select("rep", "n", F.posexplode("sign").alias("c", "v")).select("rep", F.col("n").alias("size"), (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("key"))
@@ -193,4 +199,4 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the least document of each group of near copies stays, with its columns."""
-    return by_row(docs, lambda d: d.join(near_duplicates(d).where("kept").select("doc_id"), "doc_id", "left_semi").select(d.columns))
+    return by_row(docs, lambda d: d.join(_near_duplicates(d.select("doc_id", "text"), 5, 80).where("kept").select("doc_id"), "doc_id", "left_semi").select(d.columns))

@@ -17,8 +17,9 @@ longest parse relative to first occurrences. Words covered by a factor of ``WIND
 words or more go; the first occurrence in order of (doc_id, position) stays.
 
 Defined cases: a null text has no words; texts shorter than a window have no factor;
-repeated doc_ids are not supported (the order would not be defined); an empty table gives
-an empty result; extra columns are ignored.
+rows that share a doc_id, or have none, are documents of their own: they come one after the
+other in the order of doc_id, nulls last, so of equal rows one keeps its words (the ``ref_doc`` of
+a factor is then the row's number in that order); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactline.llm._spark import WIDE, in_batches, saved, table
+from pactline.llm._spark import WIDE, grouped_by_row, in_batches, saved, table
 from pactline.llm._text import U, Words, _table, buffers, chunks, grams, mix, pack, unpack
 
 WINDOW = 20
@@ -202,6 +203,11 @@ def factor_pieces(docs: DataFrame) -> DataFrame:
 
 def substring_factors(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, factors) for every row of ``docs`` (doc_id, text)."""
+    return grouped_by_row(docs.select("doc_id", "text"), "doc_id", None, _substring_factors)
+
+
+def _substring_factors(docs: DataFrame) -> DataFrame:
+    """The same where each row has a doc_id of its own."""
     pieces = factor_pieces(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("at", "ref_doc", "ref_at")).alias("pieces"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,n_words:long,ref_doc:long,ref_start:long>>"
     return in_batches(in_batches(docs.select("doc_id", "text"), pack, PACKED).join(pieces, "doc_id", "left"), _digest, kind)

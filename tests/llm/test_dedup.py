@@ -229,3 +229,56 @@ def test_dual_traversal_prunes_and_loses_nothing():
         assert not met[np.ix_(i, j)].any()
         met[np.ix_(i, j)] = True
     assert met[x[::2] @ x[1::2].T >= 0.9].all() and met.mean() < 0.3
+
+
+def keyed(rows):
+    """Rows with keys in the order in which operators put them: by id, nulls last, equal ids as they stand."""
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+
+
+def test_minhash_rows_that_share_an_id_or_have_none(spark):
+    long = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    a, b, c = long("a"), long("b"), long("c")
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} x"), (None, c), (7, f"{c} x"), (None, None), (None, long("d")), (8, ""), (8, a)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id long").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs, 2).collect()), key=repr)
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 7, False), (7, 7, True), (None, None, True), (None, None, True), (8, 8, True), (8, 1, False)]
+    assert got == sorted(want, key=repr)
+    nameless = minhash_dedup.near_duplicates(docs.withColumn("doc_id", F.lit(None).cast("long")), 2).collect()
+    assert len(nameless) == len(rows) and all(r.doc_id is None and r.component_id is None and r.kept for r in nameless)
+
+
+def test_minhash_names_do_not_join_unlike_rows(spark):
+    """Documents 2 and 3 are copies of two unlike rows that share an id: both keep the links of their own texts alone."""
+    long = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(5, long("a")), (5, long("b")), (2, f"{long('a')} x"), (3, f"{long('b')} x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(docs, 2).collect())
+    assert got == [(2, 2), (3, 3), (5, 2), (5, 3)]
+
+
+def test_embeddings_that_share_an_id_or_have_none(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, x), (5, y), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (None, z), (None, z), (7, None), (7, x), (None, None)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()), key=repr)
+    want = [(5, 2, 2, False), (5, 1, 3, False), (2, 2, 2, True), (3, 1, 3, True), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True), (7, 2, 2, False), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_substring_rows_that_share_an_id_or_have_none(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:40])), (1, " ".join(words[:40])), (2, "x " + " ".join(words[5:38])), (None, " ".join(words[30:])), (None, " ".join(words[30:])), (4, None), (4, "")]
+    seen, want = set(), []
+    for i, t in keyed(rows):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            k = tuple(w[p : p + 20])
+            if k in seen:
+                gone[p : p + 20] = [True] * 20
+            seen.add(k)
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_factors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    # one copy of every passage is left
+    assert sum(n for _, n, _, _ in got) - sum(g for _, _, g, _ in got) >= 60
