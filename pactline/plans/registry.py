@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import answers, contracts, edits, evidence, grounding, lifecycle, repository, store, telemetry, text, tree
+from pactline.plans import answers, contracts, edits, evidence, grounding, lifecycle, repository, store, telemetry, text, tree, updates
 
-_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, lifecycle, text)
+_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, lifecycle, updates, text)
 
 
 def queries() -> dict:

@@ -34,9 +34,13 @@ def _normal(s: SparkSession, p: str) -> DataFrame:
 
 
 def _documents(s: SparkSession, p: str) -> DataFrame:
+    return typed(_normal(s, p))
+
+
+def typed(normal: DataFrame) -> DataFrame:
     """The typed fields of each contract."""
     room, price = F.get("doc.oda_kontenjanlari", 0), F.get("doc.fiyatlar", 0)
-    return _normal(s, p).select(
+    return normal.select(
         "doc_id", F.col("doc.donem.baslangic").alias("begins"), F.col("doc.donem.bitis").alias("ends"), room["adet"].cast("long").alias("rooms"), price["tutar"].alias("amount"), price["birim"].alias("unit"),
         price["pansiyon"].alias("board"), F.col("doc.release.gun").cast("long").alias("release_days"), F.get("doc.stop_sale", 0)["baslangic"].alias("stop_from"), F.size("doc.stop_sale").cast("long").alias("n_stops"),
     )
