@@ -86,31 +86,60 @@ def _next(text: str, at: int) -> int:
     return at
 
 
+def _follow(text: str, at: int, closer: str) -> tuple[int, int | None]:
+    """Where the next entry or the closer stands after a value, and where the container breaks off if neither does."""
+    at = _next(text, at)
+    if text[at : at + 1] == ",":
+        return _next(text, at + 1), None
+    return at, None if text[at : at + 1] == closer else at
+
+
 def _container(text: str, at: int, opener: str) -> tuple[object, int]:
-    """Entries up to the closer or to the first that cannot be read, and where reading stopped."""
-    out, closer = ({}, "}") if opener == "{" else ([], "]")
+    """Entries up to the closer or to the first that cannot be read, and where reading stopped.
+
+    Containers that are not finished yet stand on a stack, so that depth has no limit.
+    """
+    new = {"{": dict, "[": list}
+    stack = [(new[opener](), None)]  # each container, and its key in the one around it
     at = _next(text, at + 1)
-    while at < len(text) and text[at] != closer:
-        value_at, key = at, None
-        if opener == "{":
+    while True:
+        out = stack[-1][0]
+        closer = "}" if isinstance(out, dict) else "]"
+        end, key, value_at = None, None, at
+        if at >= len(text) or text[at] == closer:
+            end = min(at + 1, len(text))
+        elif closer == "}":
             name = _tolerant(text, at) if text[at] == '"' else None
             colon = _next(text, name[1]) if name else len(text)
-            if text[colon : colon + 1] != ":":
-                return out, at
-            key, value_at = name[0], colon + 1
-        found = _tolerant(text, value_at)
-        if found is None:
-            return out, at
-        if opener == "{":
-            out[key] = found[0]
-        else:
-            out.append(found[0])
-        at = _next(text, found[1])
-        if text[at : at + 1] == ",":
-            at = _next(text, at + 1)
-        elif text[at : at + 1] != closer:
-            return out, at
-    return out, min(at + 1, len(text))
+            if text[colon : colon + 1] == ":":
+                key, value_at = name[0], colon + 1
+            else:
+                end = at
+        if end is None:
+            value_at = _next(text, value_at)
+            if (c := text[value_at : value_at + 1]) and c in "{[":
+                stack.append((new[c](), key))
+                at = _next(text, value_at + 1)
+                continue
+            found = _tolerant(text, value_at)
+            if found is None:
+                end = at
+            else:
+                _put(out, key, found[0])
+                at, end = _follow(text, found[1], closer)
+        while end is not None:  # a finished container goes into the one around it, which may break off there
+            done, key = stack.pop()
+            if not stack:
+                return done, end
+            _put(stack[-1][0], key, done)
+            at, end = _follow(text, end, "}" if isinstance(stack[-1][0], dict) else "]")
+
+
+def _put(into: dict | list, key: str | None, value: object) -> None:
+    if isinstance(into, dict):
+        into[key] = value
+    else:
+        into.append(value)
 
 
 def without_fence(text: str, holds: str = "{") -> str:
@@ -161,14 +190,15 @@ def objects(text: str) -> list[dict]:
 
 def merged(into: dict, more: dict) -> dict:
     """Objects are merged key by key and lists are joined at every depth; otherwise the later value holds."""
-    for k, v in more.items():
-        old = into.get(k)
-        if isinstance(old, dict) and isinstance(v, dict):
-            merged(old, v)
-        elif isinstance(old, list) and isinstance(v, list):
-            into[k] = old + v
-        else:
-            into[k] = v
+    pairs = [(into, more)]
+    while pairs:
+        old, new = pairs.pop()
+        for k, v in new.items():
+            own = old.get(k)
+            if isinstance(own, dict) and isinstance(v, dict):
+                pairs.append((own, v))
+            else:
+                old[k] = own + v if isinstance(own, list) and isinstance(v, list) else v
     return into
 
 
@@ -244,11 +274,18 @@ def updated_objects(raw: str | None) -> dict | None:
     return out or None
 
 
+def _written(value: object) -> str | None:
+    """JSON with sorted keys; null for nothing, and for a value nested too deeply to be written (about 1,000 levels, more than Spark reads)."""
+    try:
+        return None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except RecursionError:
+        return None
+
+
 def _column(read: Callable[[str], object]) -> Callable[[Column], Column]:
     @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
-        found = (read(t) for t in texts)
-        return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for x in found], dtype=object)
+        return pd.Series([_written(read(t)) for t in texts], dtype=object)
 
     return run
 

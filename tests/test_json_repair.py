@@ -58,3 +58,27 @@ def test_parts_and_other_readings():
     assert j.first_object('x {"a": 1} y') == {"a": 1} and j.first_object('{"a": 1} {"b": 2}') is None
     assert j.updated_objects('{"a": {"x": 1}} {bozuk} {"a": {"y": 2}, "b": 1}') == {"a": {"y": 2}, "b": 1}
     assert j.without_early_closers('{"a":1},"b":{"c":2}}}') == '{"a":1,"b":{"c":2}}'
+
+
+@pytest.mark.parametrize("depth", [200, 900, 20_000])
+def test_depth_has_no_limit(depth):
+    for opened in ('{"a":', '{"a":[', '{"b": 1, "a":'):
+        found = j.repair(opened * depth)
+        levels = 0
+        while isinstance(found, (dict, list)) and found:
+            found = found["a"] if isinstance(found, dict) and "a" in found else found[0] if isinstance(found, list) else None
+            levels += 1
+        assert levels >= depth - 1
+    assert j.repair('{"a":' * depth + '{"a":' + "}" * 3) is not None
+
+
+def test_deep_answers_do_not_end_a_job(spark):
+    rows = [(k, '{"a":' * n + '{"x":1') for k, n in enumerate((3, 400, 30_000))] + [(9, None)]
+    got = {r.k: r.j for r in spark.createDataFrame(rows, "k long, t string").select("k", j.repaired("t").alias("j")).collect()}
+    assert got[0] == '{"a":{"a":{"a":{"x":1}}}}' and got[1].count("{") == 401 and got[2] is None and got[9] is None
+
+
+def test_a_break_in_an_inner_container_is_taken_up_by_the_outer_one():
+    assert j._container('{"a": {"b": 1, x, "c": 2}', 0, "{") == ({"a": {"b": 1}}, 15)
+    assert j._container('{"a": [1, }, "c": 2}', 0, "{") == ({"a": [1]}, 11)
+    assert j._container('[[1, {"a": 2 ], 3]', 0, "[") == ([[1, {"a": 2}], 3], 18)
