@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.functions import fields as f
+from pactline.functions import labels as n
+from pactline.functions.grounding import room_type
 from pactline.operators import pages as g
 from pactline.plans.repository import COLLECTIONS, _stored, collection
 from pactline.sources.tables import load
@@ -100,32 +102,64 @@ EXPORTS = {
 }
 _SHOWN = {"device": "id, name, trusted, ip", "session": "id, revoked, device_id", "contract": "id, status", "audit": "event"}
 
-#: SQL, the same for both engines: small rules over one row
-_RULES = {
-    "file_names": ("pages", "page_id, coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'sozlesme.pdf') AS file, regexp_replace(coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'sozlesme.pdf'), '[.][^.]*$', '') || '-cikarim.json' AS export"),
-    "dump_ids": ("events", "event_id, coalesce(nullif(substr(CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type || '-' || CAST(user_id AS STRING) END, 1, 12), ''), 'bilinmeyen') AS dump_id"),
-    "log_snippets": ("conversations", "conv_id, turn, CASE WHEN length(text) > 64 THEN substr(text, 1, 64) || '…' ELSE text END AS snippet"),
-    "file_id_validity": ("events", "event_id, regexp_matches_(CASE event_id % 3 WHEN 0 THEN md5(event_type) WHEN 1 THEN upper(md5(event_type)) ELSE event_type END) AS valid"),
-    "room_types": ("part", "p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 'suit' WHEN contains(lower(p_name), 'blue') THEN 'aile' ELSE '' END AS room"),
-    "settings_changes": ("nation", "n_nationkey, n_nationkey BETWEEN 0 AND 12 AND n_nationkey * 700 BETWEEN 1 AND 8192 AS accepted, CASE WHEN n_nationkey % 2 = 0 THEN 'risk' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN ',max_token' ELSE '' END AS changed"),
-    "audit_seconds": ("lineitem", "l_orderkey, l_linenumber, CASE WHEN l_discount > 0 AND CAST(floor(l_discount * 40) AS BIGINT) = 0 THEN CAST(1 AS BIGINT) ELSE CAST(floor(l_discount * 40) AS BIGINT) END AS seconds"),
-    "confidence_labels": ("labels", "doc_id, 's.' || CAST(quality + 1 AS STRING) || ' · %' || CAST(CASE WHEN toxic = 1 THEN 60 ELSE 90 END AS STRING) AS label"),
-    "status_labels": ("orders", "o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Onaylandı' WHEN 'O' THEN 'İnceleme bekliyor' ELSE 'İşleniyor' END AS label, o_orderstatus = 'P' AS pending"),
+#: SQL, the same for both engines: raw values from rows, which small rules of the library turn into names and labels
+_RAW = {
+    "file_names": ("pages", "page_id", {"path": "CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 7 = 1 THEN url || '//' WHEN page_id % 7 = 2 THEN url || '.tar.gz' ELSE url END"}),
+    "dump_ids": ("events", "event_id", {"raw": "CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN '../ç?' ELSE event_type || '/' || CAST(user_id AS STRING) || '-É ' END"}),
+    "log_snippets": ("conversations", "conv_id, turn", {"raw": "' ' || chr(9) || coalesce(text, '') || chr(10)"}),
+    "file_id_validity": ("events", "event_id", {"raw": "CASE event_id % 4 WHEN 0 THEN md5(event_type) WHEN 1 THEN upper(md5(event_type)) WHEN 2 THEN md5(event_type) || 'a' ELSE event_type END"}),
+    "room_types": ("part", "p_partkey", {"raw": "CASE WHEN contains(p_name, 'red') THEN ' Junior_Suite' WHEN contains(p_name, 'blue') THEN 'FAMILY  room' ELSE p_name END"}),
+    "settings_changes": ("part", "p_partkey", {"risk": "CAST(p_retailprice AS DOUBLE) / 1500", "tokens": "p_size * 200 - 100", "old_tokens": "p_partkey % 50 * 200 - 100"}),
+    "audit_seconds": ("lineitem", "l_orderkey, l_linenumber", {"seconds": "CAST(l_discount AS DOUBLE) * 40"}),
+    "confidence_labels": ("documents", "doc_id", {"page": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 40 + 1 END", "score": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(n_chars % 1000 AS DOUBLE) / 1000 END"}),
+    "status_labels": ("orders", "o_orderkey", {"status": "CASE o_orderkey % 6 WHEN 0 THEN 'YUKLENDI' WHEN 1 THEN 'ISLENIYOR' WHEN 2 THEN 'INCELENMEYI_BEKLIYOR' WHEN 3 THEN 'ONAYLANDI' WHEN 4 THEN 'HATA' ELSE o_orderstatus END", "start": "CASE WHEN o_custkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END", "till": "CASE WHEN o_custkey % 3 = 0 THEN CAST(o_custkey AS STRING) END"}),
 }
-_HEX = {"spark": "regexp_like({}, '^[0-9a-f]{{{{32}}}}$')", "sql": "regexp_full_match({}, '[0-9a-f]{{32}}')"}
+_col = F.col
+
+
+def _rules() -> dict:
+    return {
+        "file_names": {"file": n.file_name(_col("path")), "export": n.export_name(n.file_name(_col("path")))},
+        "dump_ids": {"dump_id": n.dump_id(_col("raw"))},
+        "log_snippets": {"snippet": n.snippet(_col("raw"))},
+        "file_id_validity": {"valid": n.is_file_id(_col("raw"))},
+        "room_types": {"room": room_type(_col("raw"))},
+        "settings_changes": {"accepted": n.settings_accepted(_col("risk"), _col("tokens")), "changed": n.settings_changed({"risk": F.lit(0.75), "max_token": _col("old_tokens")}, {"risk": _col("risk"), "max_token": _col("tokens")})},
+        "audit_seconds": {"seconds": n.whole_seconds(_col("seconds"))},
+        "confidence_labels": {"label": n.confidence_label(_col("page"), _col("score"))},
+        "status_labels": {"label": n.status_label(_col("status")), "tone": n.status_tone(_col("status")), "pending": n.is_pending(_col("status")), "period": n.period_text(_col("start"), _col("till"))},
+    }
+
+
+_SHOWN_BY = {
+    "file_names": ("file", "export"), "dump_ids": ("dump_id",), "log_snippets": ("snippet",), "file_id_validity": ("valid",), "room_types": ("room",), "settings_changes": ("accepted", "changed"),
+    "audit_seconds": ("seconds",), "confidence_labels": ("label",), "status_labels": ("label", "tone", "pending", "period"),
+}
+_RULES_SQL = {
+    "file_names": "coalesce(nullif(string_split(rtrim(path, '/'), '/')[-1], ''), 'sozlesme.pdf') AS file, CASE WHEN strpos(file, '.') > 0 AND file NOT LIKE '%.' THEN substr(file, 1, length(file) - strpos(reverse(file), '.')) ELSE file END || '-cikarim.json' AS export",
+    "dump_ids": "CASE WHEN event_id % 5 < 2 THEN 'bilinmeyen' ELSE event_type || CAST(user_id AS VARCHAR) || '-' END AS dump_id",
+    "log_snippets": "array_to_string(list_filter(string_split_regex(raw, '\\s+'), lambda w: w <> ''), ' ') AS line, CASE WHEN length(line) > 512 THEN substr(line, 1, 512) || '…' ELSE line END AS snippet",
+    "file_id_validity": "event_id % 4 = 0 AS valid",
+    "room_types": "CASE WHEN contains(p_name, 'red') THEN 'suit' WHEN contains(p_name, 'blue') THEN 'aile' ELSE '' END AS room",
+    "settings_changes": "p_retailprice BETWEEN 0 AND 1500 AND tokens BETWEEN 1 AND 8192 AS accepted, array_to_string(list_filter([CASE WHEN risk <> 0.75 THEN 'risk' END, CASE WHEN tokens <> old_tokens THEN 'max_token' END], lambda c: c IS NOT NULL), ',') AS changed",
+    "audit_seconds": "CAST(CASE WHEN seconds > 0 THEN greatest(1, floor(seconds)) ELSE floor(seconds) END AS BIGINT) AS seconds",
+    "confidence_labels": "CASE WHEN page IS NULL AND score IS NULL THEN NULL WHEN page IS NULL THEN '%' || CAST(floor(score * 100 + 0.5) AS BIGINT) WHEN score IS NULL THEN 's.' || page ELSE 's.' || page || ' · %' || CAST(floor(score * 100 + 0.5) AS BIGINT) END AS label",
+    "status_labels": "coalesce(['Sırada', 'İşleniyor', 'İncelenmeyi bekliyor', 'Onaylandı', 'Hata'][list_position(['YUKLENDI', 'ISLENIYOR', 'INCELENMEYI_BEKLIYOR', 'ONAYLANDI', 'HATA'], status)], status) AS label, CASE o_orderkey % 6 WHEN 1 THEN 'blue' WHEN 2 THEN 'yellow' WHEN 3 THEN 'green' WHEN 4 THEN 'red' ELSE 'muted' END AS tone, o_orderkey % 6 < 2 AS pending, CASE WHEN start IS NULL AND till IS NULL THEN '—' ELSE coalesce(start, '—') || ' – ' || coalesce(till, '—') END AS period",
+}
 
 
-def _dialect(text: str, engine: str) -> str:
-    head, mark, rest = text.partition("regexp_matches_(")
-    if not mark:
-        return text
-    inner, _, tail = rest.rpartition(") AS valid")
-    return head + _HEX[engine].format(inner) + " AS valid" + tail
+def _raw(name: str) -> tuple[str, list[str], list[str]]:
+    table, keys, values = _RAW[name]
+    return table, keys.split(", "), [f"{e} AS {c}" for c, e in values.items()]
 
 
 def _rule(name: str):
-    table, columns = _RULES[name]
-    return lambda s, p: s.sql(f"SELECT {_dialect(columns, 'spark')} FROM {{t}}", t=load(s, p, table))
+    table, keys, values = _raw(name)
+
+    def run(s: SparkSession, p: str) -> DataFrame:
+        return load(s, p, table).selectExpr(*keys, *values).select(*keys, *(c.alias(k) for k, c in _rules()[name].items()))
+
+    return run
 
 
 QUERIES = {
@@ -136,7 +170,7 @@ QUERIES = {
     "edit_room_lists": _lists,
     "rights_matrix": _rights, "contracts_owned": _owned, "member_gates": _gates, "org_cascade": _org_cascade,
     **{f"export_{name}": (lambda s, p, name=name, where=where: collection(s, p, name).where(where).selectExpr(*_SHOWN[name].split(", "))) for name, where in EXPORTS.items()},
-    **{name: _rule(name) for name in _RULES},
+    **{name: _rule(name) for name in _RAW},
 }
 SQL = {
     "clean_pages": f"{_CLEAN} SELECT doc_id, page, md5(text) AS md5 FROM t",
@@ -153,6 +187,6 @@ SQL = {
     "member_gates": f"{_stored('user')}, m AS (SELECT id, {_ACTOR} AS role, count(*) OVER (PARTITION BY org_id) AS n FROM c WHERE org_id IS NOT NULL) SELECT id, role = 'SAHIP' AS may_set, role <> 'SAHIP' OR n = 1 AS may_leave, n = 1 AS org_goes FROM m",
     "org_cascade": _CASCADED,
     **{f"export_{name}": f"{_stored(name)} SELECT {_SHOWN[name]} FROM c WHERE {where}" for name, where in EXPORTS.items()},
-    **{name: f"SELECT {_dialect(columns, 'sql')} FROM {table}" for name, (table, columns) in _RULES.items()},
+    **{name: f"SELECT {', '.join([*_raw(name)[1], *(c for c in _SHOWN_BY[name])])} FROM (SELECT {', '.join(_raw(name)[1])}, {sql} FROM (SELECT *, {', '.join(_raw(name)[2])} FROM {_RAW[name][0]}) x) y" for name, sql in _RULES_SQL.items()},
 }
 assert set(EXPORTS) <= set(COLLECTIONS)
