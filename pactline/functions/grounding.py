@@ -49,12 +49,17 @@ CONTRACT_TYPES = {
 }
 SEASONS = {"yaz": ("yaz sezon", "yazlık", "yazlik", "summer season", "summer period"), "kis": ("kış sezon", "kis sezon", "kışlık", "kislik", "winter season", "winter period"), "yillik": ("yıllık", "yillik", "year-round", "year round", "all year")}
 CURRENCIES = {"EUR": ("eur", "€"), "GBP": ("gbp", "sterlin", "pound", "£"), "USD": ("usd", "dollar", "$"), "TRY": ("türk lirası", "turk lirasi", "₺", "try")}
+#: fixed values: words for the central bank, the days of exchange, a fixed rate; sentences that name both parties
 CENTRAL_BANK = ("tcmb", "merkez bankası", "merkez bankasi", "central bank")
 FX_DAYS = {"giris_gunu_tcmb": ("giriş", "giris", "check-in", "check in", "arrival"), "cikis_gunu_tcmb": ("çıkış", "cikis", "check-out", "check out", "departure")}
 FIXED_RATE = ("sabit kur", "fixed rate", "fixed exchange")
 PARTIES = r"(?is)Taraflar\s*:\s*(.+?)\s*\((?:Operatör|Operator|Acente|Tour\s*Operator)\)\s*[—\-–]\s*(.+?)\s*\((?:Tesis|Otel|Hotel|Property)\)"
 BETWEEN = r"(?is)([^\n.]{3,80}?)\s+ile\s+([^\n.]{3,80}?)\s+arasında"
 UNKNOWN = "belirtilmemis"
+#: fixed values: what says in a text that prices are a person's, that all is included, that breakfast is
+PER_PERSON = ("kişi başı", "kisi basi", "per person")
+ALL_INCLUSIVE = (" her şey dahil", "her sey dahil", "(ai)", " all inclusive")
+BREAKFAST = ("bed and breakfast", " kahvaltı")
 
 
 def mentions(low: Column, phrases: tuple[str, ...]) -> Column:
@@ -104,6 +109,18 @@ def priced_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(each, lambda x: (x["room"] != "") & (x["amount"] > 0)))
 
 
+def stated_unit(text: Column) -> Column:
+    """The unit of prices that a text states: by room unless it speaks of persons."""
+    return F.when(mentions(F.lower(text), PER_PERSON), "kisi_gecelik").otherwise("oda_gecelik")
+
+
+def stated_board(text: Column) -> Column:
+    """The board that a text states, ``AI`` before ``BB``; empty for neither."""
+    low = F.lower(text)
+    alone = lambda code: text.rlike(f"(?i)(?<![0-9A-Za-z_]){code}(?![0-9A-Za-z_])")
+    return F.when(mentions(low, ALL_INCLUSIVE) | alone("ai"), "AI").when(mentions(low, BREAKFAST) | alone("bb"), "BB").otherwise("")
+
+
 def unit(raw: Column, stated: Column) -> Column:
     """What the contract states about the unit of prices holds; else what the value says."""
     s = F.replace(F.lower(stripped(raw)), F.lit("-"), F.lit("_"))

@@ -93,7 +93,8 @@ def has_currency(text: Column, token: str) -> Column:
 
 
 def slug(text: Column, most: int = 40) -> Column:
-    return F.trim(F.substring(F.regexp_replace(F.upper(text), r"[^\p{L}\p{Nd}]+", "_"), 1, most), F.lit("_"))
+    """The first ``most`` letters and digits in upper case, an underscore for whatever stands between two of them."""
+    return F.regexp_extract(F.regexp_replace(F.upper(text), r"[^\p{L}\p{Nd}]+", "_"), rf"^_?((?:_?[\p{{L}}\p{{Nd}}]){{1,{most}}})", 1)
 
 
 def loose_number(raw: Column) -> Column:

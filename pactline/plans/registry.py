@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import answers, contracts, edits, evidence, grounding, lifecycle, repository, store, synthesis, telemetry, text, tree, updates
+from pactline.plans import answers, contracts, edits, evidence, grounding, lifecycle, parts, repository, store, synthesis, telemetry, text, tree, updates
 
-_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, lifecycle, updates, synthesis, text)
+_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, lifecycle, updates, synthesis, parts, text)
 
 
 def queries() -> dict:
