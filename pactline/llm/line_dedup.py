@@ -249,17 +249,23 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the repeated lines taken out of text, and the columns n_lines and n_removed added."""
-    return by_row(docs, lambda d: _without(d, edits, min_chars))
+    """``docs`` with the repeated lines taken out of text, and the columns n_lines and n_removed added.
+
+    Columns of ``docs`` that have these names, in whatever case, are kept, and the added ones are _n_lines and _n_removed then.
+    """
+    added = unused(docs, "n_lines"), unused(docs, "n_removed")
+    return by_row(docs, lambda d: _without(d, added, edits, min_chars))
 
 
-def _without(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _without(docs: DataFrame, added: tuple[str, str], edits: int, min_chars: int) -> DataFrame:
     gone = unused(docs, "gone")
     repeated = repeated_lines(docs, edits, min_chars).groupBy("doc_id").agg(F.collect_list("line").alias(gone))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
-    names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    # the places that stay come from a set, so that a long text takes time in proportion to its lines
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    kept = F.array_join(F.get(F.transform(F.array(F.split("text", "\n")), stay), 0), "\n")
+    names = [c for c in docs.columns if c != "text"]
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return docs.join(repeated, "doc_id", "left").select(*names, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text"), lines.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
+    return docs.join(repeated, "doc_id", "left").select(*names, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text"), lines.alias(added[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(added[1]))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

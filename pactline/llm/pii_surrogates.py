@@ -201,11 +201,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with entities in text replaced, and the column n_entities added."""
-    return by_row(docs, lambda d: _replaced(d, key))
+    """``docs`` with entities in text replaced, and the column n_entities added (_n_entities where ``docs`` has one of its own, in whatever case)."""
+    added = unused(docs, "n_entities")
+    return by_row(docs, lambda d: _replaced(d, key, added))
 
 
-def _replaced(docs: DataFrame, key: str) -> DataFrame:
+def _replaced(docs: DataFrame, key: str, added: str) -> DataFrame:
     new = unused(docs, "new")
     found = saved(docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), 0)).alias("at", "entity")))
     named = saved(surrogates(found, key).select("entity", "surrogate"))
@@ -214,8 +215,8 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     out = docs.join(lists, "doc_id", "left")
     pieces = F.split("text", ENTITY, -1)
     text = F.array_join(F.zip_with(pieces, F.col(new), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    names = [c for c in docs.columns if c not in ("text", "n_entities")]
-    return out.select(*names, F.when(F.col(new).isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size(new), F.lit(0)).cast("long").alias("n_entities"))
+    names = [c for c in docs.columns if c != "text"]
+    return out.select(*names, F.when(F.col(new).isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce(F.size(new), F.lit(0)).cast("long").alias(added))
 
 
 #: the query's key unless the session names one; it hides nothing and serves tests

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pactline.llm._segments import Memo, segments
-from pactline.llm._spark import in_batches, table
+from pactline.llm._spark import in_batches, table, unused
 
 MARK = "▁"
 CACHED = 250_000  # segments of a generation that a worker keeps
@@ -244,17 +244,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_token_counts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the columns of documents, their text as decoded, and the ids it was encoded to.
+    """Pipeline stage: the columns of documents, their text as decoded, and the ids it was encoded to as token_ids.
 
-    Rows are encoded where they stand, so null and repeated doc_ids keep their rows.
+    Rows are encoded where they stand, so null and repeated doc_ids keep their rows. Where docs
+    has a column token_ids of its own, in whatever case, it is kept, and the ids are in _token_ids.
     """
-    docs = docs.drop("token_ids")
+    added = unused(docs, "token_ids")
     model = _model(vocabulary())
 
     def run(batches):
         own = codec(model)
         for batch in batches:
             ids, decoded = _coded(own, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(decoded if c == "text" else batch.column(c) for c in batch.schema.names), ids], [*batch.schema.names, "token_ids"])
+            yield pa.RecordBatch.from_arrays([*(decoded if c == "text" else batch.column(c) for c in batch.schema.names), ids], [*batch.schema.names, added])
 
-    return in_batches(docs, run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
+    return in_batches(docs, run, StructType([*docs.schema.fields, StructField(added, ArrayType(IntegerType()))]))
