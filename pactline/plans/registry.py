@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.plans import access, answers, contracts, edits, evidence, grounding, lifecycle, parts, repository, store, synthesis, telemetry, text, tree, updates
+from pactline.plans import access, answers, contracts, documents_text, edits, evidence, grounding, lifecycle, parts, repository, store, synthesis, telemetry, text, tree, updates
 
-_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, lifecycle, updates, synthesis, parts, access, text)
+_PLANS = (telemetry, store, repository, contracts, answers, tree, edits, grounding, evidence, lifecycle, updates, synthesis, documents_text, parts, access, text)
 
 
 def queries() -> dict:
