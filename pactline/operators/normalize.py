@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactline.functions import text as x
+from pactline.functions.bind import filled, let
 
 #: fixed values: the keys that each object may have
 KEYS = {
@@ -50,13 +51,21 @@ def part(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{path}", kind)
 
 
+def is_of(kind: Column, *kinds: str) -> Column:
+    """Whether a variant's schema (null: no variant) is of one of the kinds (OBJECT, ARRAY, STRING, BIGINT, ...)."""
+    out = F.lit(False)
+    for name in kinds:
+        out = out | kind.startswith(name)
+    return F.coalesce(out, F.lit(False))
+
+
 def is_kind(v: Column, *kinds: str) -> Column:
-    """Whether a variant is there and of one of the kinds (OBJECT, ARRAY, STRING, BIGINT, ...)."""
-    return F.coalesce(F.schema_of_variant(v).rlike(f"^(?:{'|'.join(kinds)})"), F.lit(False))
+    """Whether a variant is there and of one of the kinds."""
+    return is_of(F.schema_of_variant(v), *kinds) if len(kinds) == 1 else let(F.schema_of_variant(v), lambda kind: is_of(kind, *kinds))
 
 
 def is_missing(v: Column) -> Column:
-    return v.isNull() | is_kind(v, "VOID")
+    return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
 
 
 def keys(v: Column) -> Column:
@@ -70,105 +79,143 @@ def items(v: Column) -> Column:
 
 def string(v: Column) -> Column:
     """A scalar's text; null for nothing and for an empty text."""
-    return F.nullif(F.when(~is_missing(v), F.try_variant_get(v, "$", "string")), F.lit(""))
+    return filled(F.try_variant_get(v, "$", "string"))
 
 
 def iso_date(raw: Column) -> Column:
     """``yyyy-MM-dd`` of a date in one of eleven layouts or with a month's name; null if it is none."""
-    s = F.trim(raw)
-    out = F.lit(None).cast("date")
+    return let(F.trim(raw), _iso_date)
+
+
+def _iso_date(s: Column) -> Column:
+    out = F.when(s.isNull(), F.lit(None).cast("date"))
     for layout in LAYOUTS:
         own = f"^{layout}$"
         order = (1, 2, 3) if layout.startswith(r"(\d{4})") else (3, 2, 1)
         text = F.concat_ws("-", *(F.lpad(F.regexp_extract(s, own, k), 4 if k == order[0] else 2, "0") for k in order))
-        out = F.when(s.rlike(own), F.try_to_date(text, "yyyy-MM-dd")).otherwise(out)
+        out = out.when(s.rlike(own), F.try_to_date(text, "yyyy-MM-dd"))
     named = r"(?i)^(\d{1,2})\s+([A-Za-zÇĞİÖŞÜçğıöşü]+)\s+(\d{4})$"
-    month = F.try_element_at(F.create_map(*(F.lit(y) for kv in MONTHS.items() for y in kv)), x.fold_turkish(F.regexp_extract(s, named, 2)))
-    spelled = F.concat_ws("-", F.regexp_extract(s, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(s, named, 1), 2, "0"))
-    out = F.when(s.rlike(named), F.when(month.isNotNull(), F.try_to_date(spelled, "yyyy-MM-dd"))).otherwise(out)
-    return F.date_format(out, "yyyy-MM-dd")
+    table = F.create_map(*(F.lit(y) for kv in MONTHS.items() for y in kv))
+    spelled = lambda month: F.concat_ws("-", F.regexp_extract(s, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(s, named, 1), 2, "0"))
+    own = let(F.try_element_at(table, x.fold_turkish(F.regexp_extract(s, named, 2))), lambda month: F.when(month.isNotNull(), F.try_to_date(spelled(month), "yyyy-MM-dd")))
+    return F.date_format(out.when(s.rlike(named), own), "yyyy-MM-dd")
 
 
 def canonical_enum(raw: Column, name: str) -> Column:
     """The value of the enumeration that a text stands for: as it is, folded, by an alias, or the rule of the enumeration."""
     domain = DOMAINS[name]
-    folded = F.regexp_replace(F.replace(x.fold_turkish(raw), F.lit("-"), F.lit("_")), r"\s+", " ")
     alias = F.create_map(*(F.lit(y) for kv in ALIASES.items() for y in kv))
-    under = F.replace(F.coalesce(F.try_element_at(alias, folded), folded), F.lit(" "), F.lit("_"))
-    out = F.when(raw.isin(*domain), raw)
-    for value in domain:
-        out = out.when(under == value.lower(), value)
+    values = F.create_map(*(F.lit(y) for value in domain for y in (value.lower(), value)))
+    low = x.fold_turkish(raw)
+
+    def known(folded: Column) -> Column:
+        under = F.replace(F.coalesce(F.try_element_at(alias, folded), folded), F.lit(" "), F.lit("_"))
+        return F.try_element_at(values, under)
+
+    own = let(F.regexp_replace(F.replace(low, F.lit("-"), F.lit("_")), r"\s+", " "), known)
     if name == "birim":
-        low = x.fold_turkish(raw)
-        return out.when(low.contains("kisi") | low.contains("person"), "kisi_gecelik").otherwise("oda_gecelik")
-    return out.otherwise(UNSET)
+        other = F.when(low.contains("kisi") | low.contains("person"), "kisi_gecelik").otherwise("oda_gecelik")
+    else:
+        other = F.lit(UNSET)
+    return F.when(raw.isin(*domain), raw).otherwise(F.coalesce(own, other))
+
 
+#: struct<value, note> of a value (VARIANT) and its path
+Rule = Callable[[Column, Column], Column]
+_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
-Rule = Callable[[Column, Column], tuple[Column, Column]]
+
+def _pair(value: Column, note: Column) -> Column:
+    return F.struct(value.alias("value"), note.alias("note"))
+
+
+def _known(v: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a value's kind and its text, both read once."""
+    return let(F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")), lambda b: use(b["kind"], b["text"]))
+
+
+def _nothing(kind: Column) -> Column:
+    return kind.isNull() | (kind == "VOID")
 
 
 def enum(name: str) -> Rule:
-    def rule(v: Column, path: Column) -> tuple[Column, Column]:
-        raw = F.try_variant_get(v, "$", "string")
-        value = F.when(is_missing(v), None).when(~is_kind(v, "STRING"), UNSET).otherwise(canonical_enum(raw, name))
-        return value, F.when(~is_missing(v) & (~is_kind(v, "STRING") | (value != raw)), F.concat(F.lit("enum normalize edildi: "), path))
+    def rule(v: Column, path: Column) -> Column:
+        def judged(kind: Column, raw: Column) -> Column:
+            value = F.when(_nothing(kind), None).when(kind != "STRING", UNSET).otherwise(canonical_enum(raw, name))
+            return let(value, lambda own: _pair(own, F.when(~_nothing(kind) & ((kind != "STRING") | (own != raw)), F.concat(F.lit("enum normalize edildi: "), path))))
+
+        return _known(v, judged)
 
     return rule
 
 
-def date(v: Column, path: Column) -> tuple[Column, Column]:
+def date(v: Column, path: Column) -> Column:
     """A text that is no date stays as it is."""
-    raw = F.when(is_kind(v, "STRING"), F.try_variant_get(v, "$", "string"))
-    day = iso_date(raw)
-    return F.coalesce(day, string(v)), F.when(day != raw, F.concat(F.lit("tarih ISO-8601 yapıldı: "), path))
+
+    def judged(kind: Column, raw: Column) -> Column:
+        day = F.when(kind == "STRING", iso_date(raw))
+        return let(day, lambda own: _pair(F.coalesce(own, F.when(raw != "", raw)), F.when(own != raw, F.concat(F.lit("tarih ISO-8601 yapıldı: "), path))))
+
+    return _known(v, judged)
 
 
 def loose_number(raw: Column) -> Column:
     """Numbers as people write them: a currency at either end, blanks, European and US separators."""
     sign = r"(?:EUR|GBP|USD|TRY|TL|€|£|\$|₺)"
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, rf"(?i)^\s*{sign}\s*", ""), rf"(?i){sign}\s*$", ""), r"\s", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, rf"(?i)^\s*{sign}\s*", ""), rf"(?i){sign}\s*$", ""), r"\s", "")
     plain = lambda t: t.try_cast("double")
-    return (
+    return let(bare, lambda s: (
         F.when(s.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), plain(F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))))
         .when(s.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), plain(F.replace(s, F.lit(","), F.lit(""))))
         .when(s.rlike(r"^\d+,\d{1,2}$"), plain(F.replace(s, F.lit(","), F.lit("."))))
         .when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain(s))
-    )
+    ))
 
 
 _CLEANED = "sayı temizlendi: "
 
 
-def integer(v: Column, path: Column) -> tuple[Column, Column]:
+def integer(v: Column, path: Column) -> Column:
     """Whole numbers, from text if need be; what cannot be read, and a fraction, becomes 0 with a note."""
-    raw, number = F.when(is_kind(v, "STRING"), F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$", "double")
-    numeric = is_kind(v, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    loose = loose_number(raw)
-    from_text = F.coalesce(F.when(loose == F.floor(loose), loose), F.regexp_extract(raw, r"(-?\d+)", 1).try_cast("double"))
-    value = F.when(is_missing(v), None).when(numeric & (number == F.floor(number)), number).otherwise(F.coalesce(from_text, F.lit(0.0)))
-    lost = ~is_missing(v) & F.when(numeric, number != F.floor(number)).otherwise(from_text.isNull())
-    note = F.when(lost, F.concat(path, F.lit(" metinden çıkarıldı"))).when(raw.isNotNull(), F.concat(F.lit(_CLEANED), path))
-    return value.cast("int"), note
 
+    def judged(kind: Column, text: Column) -> Column:
+        whole = let(loose_number(text), lambda loose: F.coalesce(F.when(loose == F.floor(loose), loose), F.regexp_extract(text, r"(-?\d+)", 1).try_cast("double")))
+        number = F.when(is_of(kind, *_NUMBERS), F.try_variant_get(v, "$", "double"))
+
+        def pair(b: Column) -> Column:
+            found = F.coalesce(b["text"], F.when(b["number"] == F.floor(b["number"]), b["number"]))
+            note = F.when(found.isNull(), F.concat(path, F.lit(" metinden çıkarıldı"))).when(kind == "STRING", F.concat(F.lit(_CLEANED), path))
+            return _pair(F.when(~_nothing(kind), F.coalesce(found, F.lit(0.0))).cast("int"), F.when(~_nothing(kind), note))
+
+        return let(F.struct(F.when(kind == "STRING", whole).alias("text"), number.alias("number")), pair)
+
+    return _known(v, judged)
 
-def number(v: Column, path: Column) -> tuple[Column, Column]:
-    raw = F.when(is_kind(v, "STRING"), F.try_variant_get(v, "$", "string"))
-    numeric = is_kind(v, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    from_text = F.coalesce(loose_number(raw), loose_number(F.nullif(F.regexp_extract(raw, r"(-?\d+(?:[.,]\d+)?)", 1), F.lit(""))))
-    value = F.when(is_missing(v), None).when(numeric, F.try_variant_get(v, "$", "double")).otherwise(F.coalesce(from_text, F.lit(0.0)))
-    note = F.when(from_text.isNotNull(), F.concat(F.lit(_CLEANED), path)).when(~is_missing(v) & ~numeric, F.concat(path, F.lit(" metinden çıkarıldı")))
-    return value, note
 
+def number(v: Column, path: Column) -> Column:
+    def judged(kind: Column, text: Column) -> Column:
+        loose = F.coalesce(loose_number(text), loose_number(filled(F.regexp_extract(text, r"(-?\d+(?:[.,]\d+)?)", 1))))
 
-def currency(v: Column, path: Column) -> tuple[Column, Column]:
-    raw = string(v)
-    code = F.upper(F.trim(raw))
-    changed = is_kind(v, "STRING") & (F.length(code) == 3) & (code != raw)
-    return F.when(changed, code).otherwise(raw), F.when(changed, F.concat(F.lit("para birimi normalize edildi: "), path))
+        def pair(read: Column) -> Column:
+            numeric = is_of(kind, *_NUMBERS)
+            value = F.when(_nothing(kind), None).when(numeric, F.try_variant_get(v, "$", "double")).otherwise(F.coalesce(read, F.lit(0.0)))
+            note = F.when(read.isNotNull(), F.concat(F.lit(_CLEANED), path)).when(~_nothing(kind) & ~numeric, F.concat(path, F.lit(" metinden çıkarıldı")))
+            return _pair(value, note)
 
+        return let(F.when(kind == "STRING", loose), pair)
 
-def _plain(v: Column, _: Column) -> tuple[Column, Column]:
-    return string(v), F.lit(None).cast("string")
+    return _known(v, judged)
+
+
+def currency(v: Column, path: Column) -> Column:
+    def judged(kind: Column, raw: Column) -> Column:
+        def pair(code: Column) -> Column:
+            changed = (kind == "STRING") & (F.length(code) == 3) & (code != raw)
+            return _pair(F.when(changed, code).otherwise(F.when(raw != "", raw)), F.when(changed, F.concat(F.lit("para birimi normalize edildi: "), path)))
+
+        return let(F.upper(F.trim(raw)), pair)
+
+    return _known(v, judged)
 
 
 #: rules of the fields that are not plain text
@@ -186,9 +233,11 @@ RULES: dict[str, dict[str, Rule]] = {
 def _object(v: Column, name: str, path: Column) -> Column:
     """struct<value: struct of the object's known fields, notes: array<string>> of one object."""
     rules = RULES[name]
-    found = {k: rules.get(k, _plain)(part(v, k), F.concat(path, F.lit(f".{k}"))) for k in KEYS[name] if k != "alt_donemler"}
-    notes = F.array_compact(F.array(*(found[k][1] for k in rules)))
-    return F.struct(F.struct(*(value.alias(k) for k, (value, _) in found.items())).alias("value"), notes.alias("notes"))
+    names = [k for k in KEYS[name] if k != "alt_donemler"]
+    ruled = lambda k: lambda e: rules[k](e, F.concat(path, F.lit(f".{k}")))
+    found = F.struct(*((let(part(v, k), ruled(k)) if k in rules else filled(part(v, k, "string"))).alias(k) for k in names))
+    value = lambda b: F.struct(*((b[k]["value"] if k in rules else b[k]).alias(k) for k in names))
+    return let(found, lambda b: F.struct(value(b).alias("value"), F.array_compact(F.array(*(b[k]["note"] for k in rules))).alias("notes")))
 
 
 def _objects(v: Column, name: str, path: str) -> Column:
@@ -198,10 +247,10 @@ def _objects(v: Column, name: str, path: str) -> Column:
 
 
 def _unknown(v: Column, name: str, path: Column | None) -> Column:
-    """Notes of the keys that an object may not have."""
+    """Notes of the keys that an object may not have; none for anything else."""
     prefix = F.lit("") if path is None else F.concat(path, F.lit("."))
-    extra = F.array_sort(F.array_except(keys(v), F.array(*map(F.lit, KEYS[name]))))
-    return F.when(is_kind(v, "OBJECT"), F.transform(extra, lambda k: F.concat(F.lit("bilinmeyen alan atıldı: "), prefix, k))).otherwise(F.array().cast("array<string>"))
+    extra = F.sort_array(F.array_except(keys(v), F.array(*map(F.lit, KEYS[name]))))
+    return F.transform(extra, lambda k: F.concat(F.lit("bilinmeyen alan atıldı: "), prefix, k))
 
 
 def _unknown_each(v: Column, name: str, path: str) -> Column:
@@ -220,40 +269,42 @@ def normalized(df: DataFrame, text: str) -> DataFrame:
     """
     v = F.col("__v")
     df = df.withColumn("__v", F.try_parse_json(text))
-    donem, release = part(v, "donem"), part(v, "release")
-    nested = F.when(is_kind(donem, "OBJECT"), part(donem, "stop_sale"))
-    lifted = is_kind(donem, "OBJECT") & F.array_contains(keys(donem), "stop_sale")
-    own = items(part(v, "stop_sale"))
-    stops = F.when(lifted & is_kind(nested, "ARRAY"), F.when(own.isNotNull(), F.concat(own, items(nested))).otherwise(items(nested))).when(lifted & ~F.array_contains(keys(v), "stop_sale"), F.array(nested)).otherwise(own)
+    roots = {f"__{k}": part(v, k) for k in ("donem", "release", "meta", "opsiyonel")}
+    df = df.withColumns(roots | {"__own": items(part(v, "stop_sale")), "__stop": part(v, "stop_sale").isNotNull()})
+    kinds = {f"__is_{k}": is_kind(F.col(f"__{k}"), "OBJECT") for k in ("donem", "release", "meta")}
+    df = df.withColumns(kinds | {"__nested": part(F.col("__donem"), "stop_sale")})
+    donem, release, meta, nested, own, is_donem, is_release = (F.col(f"__{k}") for k in ("donem", "release", "meta", "nested", "own", "is_donem", "is_release"))
+    lifted = nested.isNotNull()
+    stops = F.when(lifted & is_kind(nested, "ARRAY"), F.when(own.isNotNull(), F.concat(own, items(nested))).otherwise(items(nested))).when(lifted & ~F.col("__stop"), F.array(nested)).otherwise(own)
     usable = F.get(F.filter(items(release), lambda e: is_kind(e, "OBJECT") & (F.size(keys(e)) > 0)), 0)
     df = df.withColumns({
         "__rooms": items(part(v, "oda_kontenjanlari")), "__prices": items(part(v, "fiyatlar")), "__stops": stops, "__alts": items(part(donem, "alt_donemler")),
-        "__release": F.when(is_kind(release, "OBJECT"), release).otherwise(usable), "__lifted": lifted,
+        "__rel": F.when(is_release, release).otherwise(usable), "__lifted": lifted,
     })
-    rel, meta = F.col("__release"), part(v, "meta")
+    rel = F.col("__rel")
     none = F.array().cast("array<string>")
     filled = lambda wrong, path: F.when(wrong, F.lit(f"zorunlu alan dolduruldu: {path}"))
-    lacks = lambda o, k: is_kind(o, "OBJECT") & ~F.array_contains(keys(o), k)
+    lacks = lambda is_object, o, k: is_object & part(o, k).isNull()
     required = F.array_compact(F.array(
-        filled(~is_kind(donem, "OBJECT"), "donem"), filled(lacks(donem, "baslangic"), "donem.baslangic"), filled(lacks(donem, "bitis"), "donem.bitis"),
+        filled(~is_donem, "donem"), filled(lacks(is_donem, donem, "baslangic"), "donem.baslangic"), filled(lacks(is_donem, donem, "bitis"), "donem.bitis"),
         filled(F.col("__rooms").isNull(), "oda_kontenjanlari"), filled(F.col("__prices").isNull(), "fiyatlar"),
-        F.when(~is_kind(release, "OBJECT") & rel.isNotNull(), F.lit("release dizi yerine nesne yapıldı")),
-        filled(rel.isNull(), "release"), filled(lacks(rel, "gun"), "release.gun"), filled(F.col("__stops").isNull(), "stop_sale"),
+        F.when(~is_release & rel.isNotNull(), F.lit("release dizi yerine nesne yapıldı")),
+        filled(rel.isNull(), "release"), filled(lacks(rel.isNotNull(), rel, "gun"), "release.gun"), filled(F.col("__stops").isNull(), "stop_sale"),
     ))
     extras = cikarim_notes(part(v, "cikarim_meta"))
     pruned = F.concat(
         _unknown(v, "", None), _unknown(meta, "meta", F.lit("meta")),
         F.filter(_unknown(donem, "donem", F.lit("donem")), lambda n: n != "bilinmeyen alan atıldı: donem.stop_sale"),
-        _unknown_each(F.when(is_kind(donem, "OBJECT"), F.col("__alts")), "alt_donemler", "donem.alt_donemler"),
+        _unknown_each(F.when(is_donem, F.col("__alts")), "alt_donemler", "donem.alt_donemler"),
         _unknown_each(F.col("__rooms"), "oda_kontenjanlari", "oda_kontenjanlari"), _unknown_each(F.col("__prices"), "fiyatlar", "fiyatlar"),
-        F.when(is_kind(release, "OBJECT"), _unknown(release, "release", F.lit("release"))).otherwise(none),
-        _unknown_each(F.col("__stops"), "stop_sale", "stop_sale"), _unknown(part(v, "opsiyonel"), "opsiyonel", F.lit("opsiyonel")), extras,
+        F.when(is_release, _unknown(release, "release", F.lit("release"))).otherwise(none),
+        _unknown_each(F.col("__stops"), "stop_sale", "stop_sale"), _unknown(F.col("__opsiyonel"), "opsiyonel", F.lit("opsiyonel")), extras,
     )
     df = df.withColumns({
-        "__m": F.when(is_kind(meta, "OBJECT"), _object(meta, "meta", F.lit("meta"))), "__d": F.when(is_kind(donem, "OBJECT"), _object(donem, "donem", F.lit("donem"))),
-        "__a": _objects(F.when(is_kind(donem, "OBJECT"), F.col("__alts")), "alt_donemler", "donem.alt_donemler"), "__r": _objects(F.col("__rooms"), "oda_kontenjanlari", "oda_kontenjanlari"),
+        "__m": F.when(F.col("__is_meta"), _object(meta, "meta", F.lit("meta"))), "__d": F.when(is_donem, _object(donem, "donem", F.lit("donem"))),
+        "__a": _objects(F.when(is_donem, F.col("__alts")), "alt_donemler", "donem.alt_donemler"), "__r": _objects(F.col("__rooms"), "oda_kontenjanlari", "oda_kontenjanlari"),
         "__p": _objects(F.col("__prices"), "fiyatlar", "fiyatlar"), "__l": F.when(rel.isNotNull(), _object(rel, "release", F.lit("release"))), "__s": _objects(F.col("__stops"), "stop_sale", "stop_sale"),
-        "__fixed": F.concat(F.when(F.col("__lifted"), F.array(F.lit("stop_sale donem içinden üst düzeye taşındı"))).otherwise(none), pruned, required), "__o": optional_blocks(part(v, "opsiyonel")),
+        "__fixed": F.concat(F.when(F.col("__lifted"), F.array(F.lit("stop_sale donem içinden üst düzeye taşındı"))).otherwise(none), pruned, required), "__o": optional_blocks(F.col("__opsiyonel")),
     })
     one = lambda c: F.coalesce(F.col(f"{c}.notes"), none)
     each = lambda c: F.coalesce(F.flatten(F.transform(c, lambda e: F.coalesce(e["notes"], none))), none)
@@ -278,19 +329,23 @@ def cikarim_notes(v: Column) -> Column:
 
 def optional_blocks(v: Column) -> Column:
     """struct<value, notes> of the optional blocks; the responsible party follows its enumeration."""
+    return let(v, _optional_blocks)
+
+
+def _optional_blocks(v: Column) -> Column:
     party, real = enum("sorumlu_taraf"), lambda e, k: F.when(is_kind(part(e, k), "BIGINT", "DECIMAL", "DOUBLE"), part(e, k, "double"))
-    whole = lambda e, k: F.when(real(e, k) == F.floor(real(e, k)), real(e, k).cast("int"))
+    whole = lambda e, k: let(real(e, k), lambda n: F.when(n == F.floor(n), n.cast("int")))
     flag = lambda e, k: F.when(is_kind(part(e, k), "BOOLEAN"), part(e, k, "boolean"))
     text = lambda e, k: string(part(e, k)).alias(k)
     each = lambda k, make: F.transform(F.filter(items(part(v, k)), lambda e: is_kind(e, "OBJECT")), make)
     show, over, pay = (part(v, k) for k in ("no_show", "overbooking", "odeme"))
-    shown, show_note = party(part(show, "sorumlu_taraf"), F.lit("opsiyonel.no_show.sorumlu_taraf"))
-    overed, over_note = party(part(over, "sorumlu_taraf"), F.lit("opsiyonel.overbooking.sorumlu_taraf"))
+    shown = party(part(show, "sorumlu_taraf"), F.lit("opsiyonel.no_show.sorumlu_taraf"))
+    overed = party(part(over, "sorumlu_taraf"), F.lit("opsiyonel.overbooking.sorumlu_taraf"))
     value = F.struct(
         each("cocuk_politikasi", lambda e: F.struct(*(real(e, k).alias(k) for k in ("yas_min", "yas_max", "indirim_yuzde")), flag(e, "ucretsiz").alias("ucretsiz"), text(e, "kosul"))).alias("cocuk_politikasi"),
         each("iptal_kosullari", lambda e: F.struct(text(e, "kapsam"), whole(e, "gun").alias("gun"), text(e, "tazminat_aciklama"))).alias("iptal_kosullari"),
-        F.when(is_kind(show, "OBJECT"), F.struct(shown.alias("sorumlu_taraf"), text(show, "tazminat_aciklama"))).alias("no_show"),
-        F.when(is_kind(over, "OBJECT"), F.struct(overed.alias("sorumlu_taraf"), text(over, "aciklama"))).alias("overbooking"),
+        F.when(is_kind(show, "OBJECT"), F.struct(shown["value"].alias("sorumlu_taraf"), text(show, "tazminat_aciklama"))).alias("no_show"),
+        F.when(is_kind(over, "OBJECT"), F.struct(overed["value"].alias("sorumlu_taraf"), text(over, "aciklama"))).alias("overbooking"),
         F.when(is_kind(pay, "OBJECT"), F.struct(whole(pay, "fatura_sonrasi_gun").alias("fatura_sonrasi_gun"), flag(pay, "avans_var").alias("avans_var"), text(pay, "avans_aciklama"))).alias("odeme"),
     )
-    return F.struct(F.when(is_kind(v, "OBJECT"), value).alias("value"), F.array_compact(F.array(show_note, over_note)).alias("notes"))
+    return F.struct(F.when(is_kind(v, "OBJECT"), value).alias("value"), F.array_compact(F.array(shown["note"], overed["note"])).alias("notes"))

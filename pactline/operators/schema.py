@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactline.operators.normalize import DOMAINS, is_kind, items, keys
+from pactline.functions.bind import let
+from pactline.operators.normalize import DOMAINS, is_of, items, keys
 
 _KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "null": ("VOID",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
 _NONE = "array<string>"
 
 
-def _is_type(v: Column, name: str) -> Column:
+def _is_type(v: Column, kind: Column, name: str) -> Column:
     if name == "integer":
         number = F.try_variant_get(v, "$", "double")
-        return is_kind(v, *_KINDS["number"]) & (number == F.floor(number))
-    return is_kind(v, *_KINDS[name])
+        return is_of(kind, *_KINDS["number"]) & (number == F.floor(number))
+    return is_of(kind, *_KINDS[name])
 
 
 def _message(path: Column, keyword: str) -> Column:
@@ -32,18 +33,24 @@ def _child(path: Column, name: Column) -> Column:
 
 
 def violations(v: Column, schema: dict, path: Column | None = None) -> Column:
-    """The messages of one value that is there; an array in the order of the schema's keys."""
+    """The messages of one value that is there; an array in the order of the schema's keys. The value, its kind and its keys are read once."""
     path = F.lit("") if path is None else path
+    read = {"v": v, "kind": F.schema_of_variant(v)} | ({"keys": keys(v)} if "required" in schema or schema.get("additionalProperties") is False else {})
+    return let(F.struct(*(c.alias(k) for k, c in read.items())), lambda b: _violations(b, schema, path))
+
+
+def _violations(b: Column, schema: dict, path: Column) -> Column:
+    v, kind = b["v"], b["kind"]
     text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
-    is_number, is_object, is_array = is_kind(v, *_KINDS["number"]), is_kind(v, "OBJECT"), is_kind(v, "ARRAY")
+    is_number, is_object, is_array = is_of(kind, *_KINDS["number"]), is_of(kind, "OBJECT"), is_of(kind, "ARRAY")
     broken: list[tuple[str, Column]] = []
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        broken.append(("type", ~F.greatest(*(_is_type(v, n) for n in names), F.lit(False))))
+        broken.append(("type", ~F.greatest(*(_is_type(v, kind, n) for n in names), F.lit(False))))
     if "enum" in schema:
-        broken.append(("enum", ~(is_kind(v, "STRING") & text.isin(*schema["enum"]))))
+        broken.append(("enum", ~(is_of(kind, "STRING") & text.isin(*schema["enum"]))))
     if schema.get("format") == "date":
-        broken.append(("format", is_kind(v, "STRING") & (~text.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_date(text, "yyyy-MM-dd").isNull())))
+        broken.append(("format", is_of(kind, "STRING") & (~text.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_date(text, "yyyy-MM-dd").isNull())))
     if "minimum" in schema:
         broken.append(("minimum", is_number & (number < schema["minimum"])))
     if "maximum" in schema:
@@ -51,26 +58,28 @@ def violations(v: Column, schema: dict, path: Column | None = None) -> Column:
     if "minItems" in schema:
         broken.append(("minItems", is_array & (F.size(items(v)) < schema["minItems"])))
     if "required" in schema:
-        broken.append(("required", is_object & (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), keys(v))) > 0)))
+        broken.append(("required", is_object & (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), b["keys"])) > 0)))
     own = list(schema.get("properties", {}))
     if schema.get("additionalProperties") is False:
-        broken.append(("additionalProperties", is_object & (F.size(F.array_except(keys(v), F.array(*map(F.lit, own)))) > 0)))
+        broken.append(("additionalProperties", is_object & (F.size(F.array_except(b["keys"], F.array(*map(F.lit, own)))) > 0)))
+    none = F.array().cast(_NONE)
     parts = [F.array_compact(F.array(*(F.when(wrong, _message(path, keyword)) for keyword, wrong in broken)))] if broken else []
+    inner = lambda k: lambda x: F.when(x.isNotNull(), violations(x, schema["properties"][k], _child(path, F.lit(k)))).otherwise(none)
     for k in own:
-        value = F.try_variant_get(v, f"$.{k}", "variant")
-        parts.append(F.when(is_object & F.array_contains(keys(v), k), violations(value, schema["properties"][k], _child(path, F.lit(k)))).otherwise(F.array().cast(_NONE)))
+        parts.append(let(F.try_variant_get(v, f"$.{k}", "variant"), inner(k)))
     if "items" in schema:
         each = F.transform(items(v), lambda e, i: violations(e, schema["items"], _child(path, i.cast("string"))))
-        parts.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
+        parts.append(F.coalesce(F.flatten(each), none))
     if isinstance(schema.get("additionalProperties"), dict):
         entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
         each = F.transform(entries, lambda e: violations(e["value"], schema["additionalProperties"], _child(path, e["key"])))
-        parts.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
-    return F.concat(*parts) if parts else F.array().cast(_NONE)
+        parts.append(F.coalesce(F.flatten(each), none))
+    return F.concat(*parts) if parts else none
 
 
 def conforms(v: Column, schema: dict) -> Column:
-    return v.isNotNull() & (F.size(violations(v, schema)) == 0)
+    """A value that is there and breaks nothing."""
+    return let(v, lambda x: x.isNotNull() & (F.size(violations(x, schema)) == 0))
 
 
 def _record(required: tuple[str, ...] = (), **properties: dict) -> dict:

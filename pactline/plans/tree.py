@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactline.functions.bind import spread
 from pactline.operators import normalize as n
 from pactline.operators import schema as v
 from pactline.sources.tables import load
@@ -25,7 +26,7 @@ _JSON = f"""'{{"donem": {{"baslangic": "' ||
 
 
 def contract_json(s: SparkSession, p: str) -> DataFrame:
-    o = load(s, p, "orders")
+    o = spread(load(s, p, "orders").select(K, "o_custkey", "o_orderdate"), K)
     return o.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).selectExpr(f"{K} AS doc_id", f"{_JSON} AS contract")
 
 
@@ -54,7 +55,7 @@ def _conforming(s: SparkSession, p: str) -> DataFrame:
     """How many contracts conform to the schema as given, and how many once they are normalised."""
     given = F.try_parse_json("contract")
     typed = F.try_parse_json(F.to_json("doc", {"ignoreNullFields": "true"}))
-    return _normal(s, p).select(v.conforms(given, v.CONTRACT).alias("a"), v.conforms(typed, v.CONTRACT).alias("b")).agg(F.count_if("a").alias("n_given"), F.count_if("b").alias("n_normalised"), F.count("*").alias("n"))
+    return _normal(s, p).select(v.conforms(given, v.CONTRACT).alias("a"), v.conforms(typed, v.CONTRACT).alias("b")).agg(F.count(F.when(F.col("a"), True)).alias("n_given"), F.count(F.when(F.col("b"), True)).alias("n_normalised"), F.count("*").alias("n"))
 
 
 def _empty(doc: Column) -> dict[str, Column]:
@@ -101,7 +102,8 @@ _CONFIDENCE = f"""SELECT k AS doc_id, field, CASE WHEN filled THEN 0.2 WHEN touc
 
 QUERIES = {
     "normalize_notes": lambda s, p: _normal(s, p).select("doc_id", F.array_join("notes", "; ").alias("notes")),
-    "normalize_note_counts": lambda s, p: _normal(s, p).select(F.explode("notes").alias("note")).groupBy("note").agg(F.count("*").alias("n")),
+    # outer: an inner explode would have its column computed again, in a filter below it
+    "normalize_note_counts": lambda s, p: _normal(s, p).select(F.explode_outer("notes").alias("note")).where("note is not null").groupBy("note").agg(F.count("*").alias("n")),
     "normalize_documents": _documents,
     "schema_violations": _checked,
     "schema_conformance": _conforming,
