@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+    """``use(value)`` with the value computed once.
+
+    The value is what a fold starts from and ``use`` its end. An element taken out of an array made
+    for it would do as well, but taking one asks for its type, which goes through all of ``use`` for each row.
+    """
+    return F.aggregate(F.array(F.lit(0)), value, lambda own, _: own, use)
 
 
 def filled(text: Column) -> Column:

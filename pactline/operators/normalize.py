@@ -68,8 +68,13 @@ def is_missing(v: Column) -> Column:
     return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
 
 
+def fields(v: Column) -> Column:
+    """The fields of an object, null for anything else; a look-up by path costs an exception for each field that is not there."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def keys(v: Column) -> Column:
-    return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    return F.coalesce(F.map_keys(fields(v)), F.array().cast("array<string>"))
 
 
 def items(v: Column) -> Column:
@@ -235,7 +240,8 @@ def _object(v: Column, name: str, path: Column) -> Column:
     rules = RULES[name]
     names = [k for k in KEYS[name] if k != "alt_donemler"]
     ruled = lambda k: lambda e: rules[k](e, F.concat(path, F.lit(f".{k}")))
-    found = F.struct(*((let(part(v, k), ruled(k)) if k in rules else filled(part(v, k, "string"))).alias(k) for k in names))
+    field = lambda m, k: F.try_element_at(m, F.lit(k))
+    found = let(fields(v), lambda m: F.struct(*((let(field(m, k), ruled(k)) if k in rules else string(field(m, k))).alias(k) for k in names)))
     value = lambda b: F.struct(*((b[k]["value"] if k in rules else b[k]).alias(k) for k in names))
     return let(found, lambda b: F.struct(value(b).alias("value"), F.array_compact(F.array(*(b[k]["note"] for k in rules))).alias("notes")))
 
@@ -269,29 +275,30 @@ def normalized(df: DataFrame, text: str) -> DataFrame:
     """
     v = F.col("__v")
     df = df.withColumn("__v", F.try_parse_json(text))
-    roots = {f"__{k}": part(v, k) for k in ("donem", "release", "meta", "opsiyonel")}
-    df = df.withColumns(roots | {"__own": items(part(v, "stop_sale")), "__stop": part(v, "stop_sale").isNotNull()})
+    df = df.withColumn("__f", fields(v))
+    root = lambda k: F.try_element_at("__f", F.lit(k))
+    df = df.withColumns({f"__{k}": root(k) for k in ("donem", "release", "meta", "opsiyonel")} | {"__own": items(root("stop_sale")), "__stop": root("stop_sale").isNotNull()})
     kinds = {f"__is_{k}": is_kind(F.col(f"__{k}"), "OBJECT") for k in ("donem", "release", "meta")}
-    df = df.withColumns(kinds | {"__nested": part(F.col("__donem"), "stop_sale")})
+    df = df.withColumns(kinds | {"__period": fields(F.col("__donem"))}).withColumn("__nested", F.try_element_at("__period", F.lit("stop_sale")))
     donem, release, meta, nested, own, is_donem, is_release = (F.col(f"__{k}") for k in ("donem", "release", "meta", "nested", "own", "is_donem", "is_release"))
     lifted = nested.isNotNull()
     stops = F.when(lifted & is_kind(nested, "ARRAY"), F.when(own.isNotNull(), F.concat(own, items(nested))).otherwise(items(nested))).when(lifted & ~F.col("__stop"), F.array(nested)).otherwise(own)
     usable = F.get(F.filter(items(release), lambda e: is_kind(e, "OBJECT") & (F.size(keys(e)) > 0)), 0)
     df = df.withColumns({
-        "__rooms": items(part(v, "oda_kontenjanlari")), "__prices": items(part(v, "fiyatlar")), "__stops": stops, "__alts": items(part(donem, "alt_donemler")),
+        "__rooms": items(root("oda_kontenjanlari")), "__prices": items(root("fiyatlar")), "__stops": stops, "__alts": items(F.try_element_at("__period", F.lit("alt_donemler"))),
         "__rel": F.when(is_release, release).otherwise(usable), "__lifted": lifted,
     })
     rel = F.col("__rel")
     none = F.array().cast("array<string>")
     filled = lambda wrong, path: F.when(wrong, F.lit(f"zorunlu alan dolduruldu: {path}"))
-    lacks = lambda is_object, o, k: is_object & part(o, k).isNull()
+    lacks = lambda is_object, o, k: is_object & F.try_element_at(fields(o), F.lit(k)).isNull()
     required = F.array_compact(F.array(
         filled(~is_donem, "donem"), filled(lacks(is_donem, donem, "baslangic"), "donem.baslangic"), filled(lacks(is_donem, donem, "bitis"), "donem.bitis"),
         filled(F.col("__rooms").isNull(), "oda_kontenjanlari"), filled(F.col("__prices").isNull(), "fiyatlar"),
         F.when(~is_release & rel.isNotNull(), F.lit("release dizi yerine nesne yapıldı")),
         filled(rel.isNull(), "release"), filled(lacks(rel.isNotNull(), rel, "gun"), "release.gun"), filled(F.col("__stops").isNull(), "stop_sale"),
     ))
-    extras = cikarim_notes(part(v, "cikarim_meta"))
+    extras = cikarim_notes(root("cikarim_meta"))
     pruned = F.concat(
         _unknown(v, "", None), _unknown(meta, "meta", F.lit("meta")),
         F.filter(_unknown(donem, "donem", F.lit("donem")), lambda n: n != "bilinmeyen alan atıldı: donem.stop_sale"),

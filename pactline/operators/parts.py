@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactline.functions import grounding as g
+from pactline.functions.bind import let
 from pactline.operators import json_repair as j
 from pactline.operators import normalize as n
 from pactline.operators import rooms as r
@@ -42,16 +43,11 @@ def _filled(v: Column, *paths: str) -> Column:
     return F.coalesce(*(F.nullif(text_of(v, p), F.lit("")) for p in paths))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def sub_periods(v: Column) -> Column:
     """array<struct<ad, baslangic, bitis>> of an array whose elements all have the three; empty if one has not."""
     rows = F.transform(objects(v), lambda x: F.struct(_filled(x, "ad", "alt_donem_ad").alias("ad"), _filled(x, "baslangic").alias("baslangic"), _filled(x, "bitis").alias("bitis")))
     filled = lambda x: x["ad"].isNotNull() & x["baslangic"].isNotNull() & x["bitis"].isNotNull()
-    return _let(rows, lambda own: F.when((F.size(own) == F.size(n.items(v))) & F.forall(own, filled), own).otherwise(F.slice(own, 1, 0)))
+    return let(rows, lambda own: F.when((F.size(own) == F.size(n.items(v))) & F.forall(own, filled), own).otherwise(F.slice(own, 1, 0)))
 
 
 def period(tree: Column) -> Column:
@@ -75,12 +71,12 @@ def prices(v: Column, text: Column) -> Column:
     def rows(told: Column) -> Column:
         row = lambda x: F.struct(g.room_type(text_of(x, "oda_tipi")).alias("oda_tipi"), n.part(x, "tutar").alias("tutar"), told["unit"].alias("birim"), g.board(text_of(x, "pansiyon"), told["board"]).alias("pansiyon"), F.when(F.lower(season(x)) != "null", season(x)).alias("alt_donem_ad"))
         given = F.filter(F.transform(objects(v), row), lambda x: (x["oda_tipi"] != "") & ~n.is_missing(x["tutar"]))
-        once = _let(given, lambda own: _let(F.transform(own, key), lambda keys: F.filter(own, lambda _, k: F.array_position(keys, F.get(keys, k)) == k + 1)))
+        once = let(given, lambda own: let(F.transform(own, key), lambda keys: F.filter(own, lambda _, k: F.array_position(keys, F.get(keys, k)) == k + 1)))
         stated = F.coalesce(F.nullif(told["board"], F.lit("")), F.lit(g.UNKNOWN))
         lines = F.transform(g.priced_lines(text), lambda x: F.struct(x["room"].alias("oda_tipi"), x["amount"].cast("variant").alias("tutar"), told["unit"].alias("birim"), stated.alias("pansiyon"), F.lit(None).cast("string").alias("alt_donem_ad")))
-        return _let(once, lambda own: F.concat(own, F.coalesce(lines, F.slice(own, 1, 0))))
+        return let(once, lambda own: F.concat(own, F.coalesce(lines, F.slice(own, 1, 0))))
 
-    return _let(F.struct(g.stated_unit(text).alias("unit"), g.stated_board(text).alias("board")), rows)
+    return let(F.struct(g.stated_unit(text).alias("unit"), g.stated_board(text).alias("board")), rows)
 
 
 def release(v: Column) -> Column:
@@ -103,7 +99,7 @@ def particulars(tree: Column, text: Column) -> Column:
     def borne(x: Column) -> Column:
         own = g.meta({k: x[k] for k in META}, text)
         kept = F.struct(*(own[k].alias(k) for k in META))
-        return _let(kept, lambda own: F.when(F.coalesce(*(own[k] for k in META)).isNotNull(), own))
+        return let(kept, lambda own: F.when(F.coalesce(*(own[k] for k in META)).isNotNull(), own))
 
     # the second is looked at only where the first gives nothing
     return F.aggregate(F.array(given(n.part(tree, "meta")), given(tree)), none, lambda found, x: F.when(found.isNotNull(), found).otherwise(borne(x)))
@@ -127,9 +123,9 @@ def sanitised(contracts: DataFrame, answers: DataFrame) -> DataFrame:
     rows = rows.join(_allotments(rows), "key", "left")
     release_, amounts = n.part(tree, "release"), n.part(tree, "fiyatlar")
     a = F.when(F.size("rooms") > 0, F.to_json(F.struct(period(tree).alias("donem"), F.col("rooms").alias("oda_kontenjanlari"))))
-    b = F.when(n.is_kind(amounts, "ARRAY"), _let(prices(amounts, text), lambda p: F.when(F.size(p) > 0, F.to_json(F.struct(p.alias("fiyatlar"))))))
+    b = F.when(n.is_kind(amounts, "ARRAY"), let(prices(amounts, text), lambda p: F.when(F.size(p) > 0, F.to_json(F.struct(p.alias("fiyatlar"))))))
     c = F.when(n.is_kind(release_, "OBJECT") | (F.size(n.items(release_)) > 0), F.to_json(F.struct(release(release_).alias("release"), stop_sales(n.part(tree, "stop_sale"), text).alias("stop_sale"))))
-    d = _let(particulars(tree, text), lambda m: F.when(m.isNotNull(), F.to_json(F.struct(m.alias("meta")))))
+    d = let(particulars(tree, text), lambda m: F.when(m.isNotNull(), F.to_json(F.struct(m.alias("meta")))))
     own = F.when(tree.isNotNull(), F.when(part == "A", a).when(part == "B", b).when(part == "C", c).when(part == "D", d))
     return rows.select("doc_id", "part", "attempt", own.alias("tree"))
 

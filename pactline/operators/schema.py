@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactline.functions.bind import let
-from pactline.operators.normalize import DOMAINS, is_of, items, keys
+from pactline.operators.normalize import DOMAINS, fields, is_of, items
 
 _KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "null": ("VOID",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
 _NONE = "array<string>"
@@ -33,14 +33,16 @@ def _child(path: Column, name: Column) -> Column:
 
 
 def violations(v: Column, schema: dict, path: Column | None = None) -> Column:
-    """The messages of one value that is there; an array in the order of the schema's keys. The value, its kind and its keys are read once."""
+    """The messages of one value that is there; an array in the order of the schema's keys. The value, its kind and its fields are read once."""
     path = F.lit("") if path is None else path
-    read = {"v": v, "kind": F.schema_of_variant(v)} | ({"keys": keys(v)} if "required" in schema or schema.get("additionalProperties") is False else {})
+    read = {"v": v, "kind": F.schema_of_variant(v)} | ({"fields": fields(v)} if "required" in schema or "properties" in schema else {})
     return let(F.struct(*(c.alias(k) for k, c in read.items())), lambda b: _violations(b, schema, path))
 
 
 def _violations(b: Column, schema: dict, path: Column) -> Column:
     v, kind = b["v"], b["kind"]
+    none = F.array().cast(_NONE)
+    names_ = lambda: F.coalesce(F.map_keys(b["fields"]), none)
     text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     is_number, is_object, is_array = is_of(kind, *_KINDS["number"]), is_of(kind, "OBJECT"), is_of(kind, "ARRAY")
     broken: list[tuple[str, Column]] = []
@@ -58,15 +60,14 @@ def _violations(b: Column, schema: dict, path: Column) -> Column:
     if "minItems" in schema:
         broken.append(("minItems", is_array & (F.size(items(v)) < schema["minItems"])))
     if "required" in schema:
-        broken.append(("required", is_object & (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), b["keys"])) > 0)))
+        broken.append(("required", is_object & (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), names_())) > 0)))
     own = list(schema.get("properties", {}))
     if schema.get("additionalProperties") is False:
-        broken.append(("additionalProperties", is_object & (F.size(F.array_except(b["keys"], F.array(*map(F.lit, own)))) > 0)))
-    none = F.array().cast(_NONE)
+        broken.append(("additionalProperties", is_object & (F.size(F.array_except(names_(), F.array(*map(F.lit, own)))) > 0)))
     parts = [F.array_compact(F.array(*(F.when(wrong, _message(path, keyword)) for keyword, wrong in broken)))] if broken else []
     inner = lambda k: lambda x: F.when(x.isNotNull(), violations(x, schema["properties"][k], _child(path, F.lit(k)))).otherwise(none)
     for k in own:
-        parts.append(let(F.try_variant_get(v, f"$.{k}", "variant"), inner(k)))
+        parts.append(let(F.try_element_at(b["fields"], F.lit(k)), inner(k)))
     if "items" in schema:
         each = F.transform(items(v), lambda e, i: violations(e, schema["items"], _child(path, i.cast("string"))))
         parts.append(F.coalesce(F.flatten(each), none))
@@ -74,7 +75,7 @@ def _violations(b: Column, schema: dict, path: Column) -> Column:
         entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
         each = F.transform(entries, lambda e: violations(e["value"], schema["additionalProperties"], _child(path, e["key"])))
         parts.append(F.coalesce(F.flatten(each), none))
-    return F.concat(*parts) if parts else none
+    return F.flatten(F.array(*parts)) if parts else none
 
 
 def conforms(v: Column, schema: dict) -> Column:
