@@ -13,7 +13,7 @@ segment, and the pairs that meet are verified.
 
 For the verdict a line needs one earlier partner: in each posting list lines first meet
 the line that stands for it (a star); only lines that are still unmatched meet the others
-of their lists. Pairs that lack too many of a finer set of segments are dropped, common
+of their lists, and lists that one line stands for are one list then. Pairs that lack too many of a finer set of segments are dropped, common
 starts and ends are cut, and what differs is verified by a bit-parallel edit distance over a
 band of ``2 * EDITS + 1`` diagonals, one step for each character.
 
@@ -208,7 +208,8 @@ def _near_in_lists(lists: DataFrame, edits: int) -> DataFrame:
     """
     sizes = lists.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1").select("key", "n")
     lists = lists.join(sizes, "key")
-    fine = lists.withColumn("key", F.explode(F.when(F.col("n") > SHORT, _letter_keys(F.col("key"), F.col("text"), edits)).otherwise(F.array("key")))).drop("n")
+    # saved, as it is read for the sizes and for the blocks
+    fine = saved(lists.withColumn("key", F.explode(F.when(F.col("n") > SHORT, _letter_keys(F.col("key"), F.col("text"), edits)).otherwise(F.array("key")))).drop("n"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_CHARS)).cast("int")
     sizes = fine.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("m"), F.max("open").alias("any")).where("any and n > 1").select("key", parts.alias("parts"))
     placed = fine.join(sizes, "key").withColumn("own", F.pmod(F.hash("id"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -240,9 +241,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     stars = hits.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     done = saved(_near_stars(stars, known, edits))
     # lists of several lines: those without a partner yet look for one among the others
-    several = hits.where("many").groupBy("key", "id").agg(F.max("posted").alias("posted"), F.min("head").alias("head"))
+    # lists of one head are one list: lines that share several lists would meet in each of them
+    several = hits.where("many").groupBy("head", "id").agg(F.max("posted").alias("posted"))
     members = several.join(known, "id").join(done.withColumn("done", F.lit(True)), ["id", "check"], "left")
-    members = members.select("key", "id", "check", "text", "first", "posted", (F.col("done").isNull() & (F.col("id") != F.col("head"))).alias("open"))
+    members = members.select(F.col("head").alias("key"), "id", "check", "text", "first", "posted", (F.col("done").isNull() & (F.col("id") != F.col("head"))).alias("open"))
     gone = done.unionByName(_near_in_lists(members, edits)).distinct()
     flagged = firsts.join(gone.withColumn("near", F.lit(True)), ["id", "check"], "left").where("n > 1 or near").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("doc_id", "line", "id", "check").join(flagged, ["id", "check"]).where(F.col("near") | (at != F.col("first"))).select("doc_id", "line")

@@ -32,3 +32,15 @@ def test_token_ids_keep_the_columns_of_documents(spark):
     docs = spark.createDataFrame([(1, "plain words", "mine"), (2, None, None)], "doc_id long, text string, Token_Ids string")
     got = {r.doc_id: r for r in sentencepiece_codec.with_token_counts(spark, docs, "").collect()}
     assert got[1].Token_Ids == "mine" and len(got[1]["_token_ids"]) >= 2 and got[2].Token_Ids is None and not got[2]["_token_ids"]
+
+
+def test_lines_meet_once_for_each_line_that_stands_for_their_lists(spark, monkeypatch):
+    """Lines that share two segments share several lists; all of these have the same head."""
+    seen = []
+    near = line_dedup._near_in_lists
+    monkeypatch.setattr(line_dedup, "_near_in_lists", lambda lists, edits: seen.append(lists.select("key", "id").collect()) or near(lists, edits))
+    tails = [chr(97 + k % 26) * 5 + chr(97 + k // 26) * 5 + chr(97 + k * 7 % 26) * 5 for k in range(60)]
+    docs = spark.createDataFrame([(k, f"the quick brown fox jumps over the lazy dog {t}") for k, t in enumerate(tails)], "doc_id long, text string")
+    assert line_dedup.repeated_lines(docs).count() == 0
+    rows = seen[0]
+    assert len({r.id for r in rows}) == 60 and len(rows) == len(set(rows)) == 60
