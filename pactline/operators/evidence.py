@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactline.functions.bind import let
 from pactline.operators.normalize import is_kind, items
 
 LEAST = 3  # characters of a needle without white space
@@ -16,15 +17,25 @@ def _children(v: Column) -> Column:
 
 
 def scalars(trees: DataFrame, value: str) -> DataFrame:
-    """``trees`` with a row for each scalar below the VARIANT in a column, level by level, however deep; nulls give none."""
-    level, out = trees, None
-    while True:
-        level = level.withColumn("__c", _children(F.col(value)))
-        leaves = level.where(F.col("__c").isNull() & F.col(value).isNotNull() & ~F.is_variant_null(value)).drop("__c")
-        out = leaves if out is None else out.unionByName(leaves)
-        level = level.where("__c is not null").withColumn(value, F.explode("__c")).drop("__c")
-        if level.isEmpty():
-            return out
+    """``trees`` with a row for each scalar below the VARIANT in a column, however deep; nulls give none.
+
+    A tree is taken apart within its row, level by level, so that the rows below are computed once.
+    """
+    none = F.array().cast("array<variant>")
+    # each level opens at least one bracket
+    levels = F.length(F.regexp_replace(F.to_json(F.col(value)), r"[^\[{]", ""))
+
+    def step(state: Column, _: Column) -> Column:
+        parts = F.transform(state["level"], lambda v: F.struct(v.alias("v"), _children(v).alias("below")))
+        return let(parts, lambda own: F.struct(
+            F.flatten(F.transform(F.filter(own, lambda b: b["below"].isNotNull()), lambda b: b["below"])).alias("level"),
+            F.concat(state["leaves"], F.transform(F.filter(own, lambda b: b["below"].isNull()), lambda b: b["v"])).alias("leaves"),
+        ))
+
+    start = F.struct(F.array(F.col(value)).alias("level"), none.alias("leaves"))
+    found = F.aggregate(F.sequence(F.lit(0), levels), start, lambda state, k: F.when(F.size(state["level"]) == 0, state).otherwise(step(state, k)), lambda state: state["leaves"])
+    each = trees.where(F.col(value).isNotNull()).withColumn(value, F.explode(found))
+    return each.where(F.col(value).isNotNull() & ~F.is_variant_null(value))
 
 
 def needle(v: Column) -> Column:

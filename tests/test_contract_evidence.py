@@ -143,3 +143,22 @@ def test_source_page_finds_needles_of_any_length(spark):
     assert find("ÜÇ dört beş", "a b", None) == {1: 1, 5: 3}
     assert find("abc", "ab", " tı") == {1: 2} and find("ltı") == {2: 1, 5: 3}
     assert find(" üç dört") == {1: 1} and find() == {}
+
+
+def test_scalars_of_a_deep_tree_come_without_a_job_for_each_level(spark):
+    deep = '{"a":[' * 12 + '{"x":"leaf","y":[1,null,{}]}' + "]}" * 12
+    trees = spark.createDataFrame([(1, deep), (2, "7"), (3, None), (4, "null")], "k long, j string").select("k", F.expr("parse_json(j)").alias("v"))
+    spark.sparkContext.setJobGroup("scalars", "")
+    out = evidence.scalars(trees, "v")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("scalars")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) == 0
+    assert sorted(tuple(r) for r in out.select("k", F.expr("v::string")).collect()) == [(1, "1"), (1, "leaf"), (2, "7")]
+
+
+def test_allotments_are_grouped_by_hashing(spark):
+    contracts = spark.createDataFrame([(1, "Madde 2 oda kontenjanları\nsuit: 5\nsuite: 4")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "aile", 3)], "doc_id long, room string, quantity long")
+    out = rooms.grounded_rooms(contracts, rows)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.room, r.quantity) for r in out.collect()] == [("suit", 4)]
