@@ -41,8 +41,8 @@ DOMAINS = {
 }
 #: fixed values: other spellings of them, folded
 ALIASES = {"summer": "yaz", "winter": "kis", "oda/gece": "oda_gecelik", "kisi/gece": "kisi_gecelik", "oda gece": "oda_gecelik", "kisi gece": "kisi_gecelik", "e_posta": "eposta", "email": "eposta"}
-#: fixed values: date patterns, day first but for years of four digits in front
-LAYOUTS = (r"(\d{4})-(\d{2})-(\d{2})", r"(\d{4})\.(\d{2})\.(\d{2})", r"(\d{4})/(\d{2})/(\d{2})", r"(\d{1,2})\.(\d{1,2})\.(\d{4})", r"(\d{1,2})/(\d{1,2})/(\d{4})", r"(\d{1,2})-(\d{1,2})-(\d{4})")
+#: fixed values: date patterns and the order of their parts, day first but for years of four digits in front
+LAYOUTS = {r"^\d{4}([-./])\d{2}\1\d{2}$": "yyyy-MM-dd", r"^\d{1,2}([-./])\d{1,2}\1\d{4}$": "d-M-yyyy"}
 MONTHS = x.MONTHS | {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12}
 UNSET = "belirtilmemis"
 
@@ -73,10 +73,6 @@ def fields(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def keys(v: Column) -> Column:
-    return F.coalesce(F.map_keys(fields(v)), F.array().cast("array<string>"))
-
-
 def items(v: Column) -> Column:
     """The elements of an array, null for anything else."""
     return F.try_variant_get(v, "$", "array<variant>")
@@ -94,11 +90,8 @@ def iso_date(raw: Column) -> Column:
 
 def _iso_date(s: Column) -> Column:
     out = F.when(s.isNull(), F.lit(None).cast("date"))
-    for layout in LAYOUTS:
-        own = f"^{layout}$"
-        order = (1, 2, 3) if layout.startswith(r"(\d{4})") else (3, 2, 1)
-        text = F.concat_ws("-", *(F.lpad(F.regexp_extract(s, own, k), 4 if k == order[0] else 2, "0") for k in order))
-        out = out.when(s.rlike(own), F.try_to_date(text, "yyyy-MM-dd"))
+    for layout, order in LAYOUTS.items():
+        out = out.when(s.rlike(layout), F.try_to_date(F.translate(s, "./", "--"), order))
     named = r"(?i)^(\d{1,2})\s+([A-Za-zÇĞİÖŞÜçğıöşü]+)\s+(\d{4})$"
     table = F.create_map(*(F.lit(y) for kv in MONTHS.items() for y in kv))
     spelled = lambda month: F.concat_ws("-", F.regexp_extract(s, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(s, named, 1), 2, "0"))
@@ -235,33 +228,34 @@ RULES: dict[str, dict[str, Rule]] = {
 }
 
 
-def _object(v: Column, name: str, path: Column) -> Column:
-    """struct<value: struct of the object's known fields, notes: array<string>> of one object."""
+def _object(m: Column, name: str, path: Column) -> Column:
+    """struct<value: struct of the object's known fields, notes: array<string>> of the fields of one object."""
     rules = RULES[name]
     names = [k for k in KEYS[name] if k != "alt_donemler"]
     ruled = lambda k: lambda e: rules[k](e, F.concat(path, F.lit(f".{k}")))
-    field = lambda m, k: F.try_element_at(m, F.lit(k))
-    found = let(fields(v), lambda m: F.struct(*((let(field(m, k), ruled(k)) if k in rules else string(field(m, k))).alias(k) for k in names)))
+    field = lambda k: F.try_element_at(m, F.lit(k))
+    found = F.struct(*((let(field(k), ruled(k)) if k in rules else string(field(k))).alias(k) for k in names))
     value = lambda b: F.struct(*((b[k]["value"] if k in rules else b[k]).alias(k) for k in names))
     return let(found, lambda b: F.struct(value(b).alias("value"), F.array_compact(F.array(*(b[k]["note"] for k in rules))).alias("notes")))
 
 
-def _objects(v: Column, name: str, path: str) -> Column:
-    """``_object`` of each element; elements that are no objects are null."""
+def _objects(rows: Column, name: str, path: str) -> Column:
+    """``_object`` of each element's fields; elements that are no objects are null."""
     at = lambda i: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
-    return F.transform(F.coalesce(v, F.array().cast("array<variant>")), lambda e, i: F.when(is_kind(e, "OBJECT"), _object(e, name, at(i))))
+    return F.transform(F.coalesce(rows, F.array().cast("array<map<string,variant>>")), lambda m, i: F.when(m.isNotNull(), _object(m, name, at(i))))
 
 
-def _unknown(v: Column, name: str, path: Column | None) -> Column:
-    """Notes of the keys that an object may not have; none for anything else."""
+def _unknown(m: Column, name: str, path: Column | None) -> Column:
+    """Notes of the keys that an object may not have, given its fields; none for anything else."""
     prefix = F.lit("") if path is None else F.concat(path, F.lit("."))
-    extra = F.sort_array(F.array_except(keys(v), F.array(*map(F.lit, KEYS[name]))))
-    return F.transform(extra, lambda k: F.concat(F.lit("bilinmeyen alan atıldı: "), prefix, k))
+    none = F.array().cast("array<string>")
+    noted = lambda extra: F.when(F.size(extra) > 0, F.transform(F.sort_array(extra), lambda k: F.concat(F.lit("bilinmeyen alan atıldı: "), prefix, k))).otherwise(none)
+    return let(F.coalesce(F.array_except(F.map_keys(m), F.array(*map(F.lit, KEYS[name]))), none), noted)
 
 
-def _unknown_each(v: Column, name: str, path: str) -> Column:
+def _unknown_each(rows: Column, name: str, path: str) -> Column:
     at = lambda i: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
-    return F.coalesce(F.flatten(F.transform(v, lambda e, i: _unknown(e, name, at(i)))), F.array().cast("array<string>"))
+    return F.coalesce(F.flatten(F.transform(rows, lambda m, i: _unknown(m, name, at(i)))), F.array().cast("array<string>"))
 
 
 def normalized(df: DataFrame, text: str) -> DataFrame:
@@ -273,65 +267,73 @@ def normalized(df: DataFrame, text: str) -> DataFrame:
     without a type or number, prices without type, amount or unit, and sub-periods without
     name or dates are left out of ``doc``.
     """
-    v = F.col("__v")
-    df = df.withColumn("__v", F.try_parse_json(text))
-    df = df.withColumn("__f", fields(v))
+    df = df.withColumn("__f", fields(F.try_parse_json(text)))
     root = lambda k: F.try_element_at("__f", F.lit(k))
-    df = df.withColumns({f"__{k}": root(k) for k in ("donem", "release", "meta", "opsiyonel")} | {"__own": items(root("stop_sale")), "__stop": root("stop_sale").isNotNull()})
-    kinds = {f"__is_{k}": is_kind(F.col(f"__{k}"), "OBJECT") for k in ("donem", "release", "meta")}
-    df = df.withColumns(kinds | {"__period": fields(F.col("__donem"))}).withColumn("__nested", F.try_element_at("__period", F.lit("stop_sale")))
-    donem, release, meta, nested, own, is_donem, is_release = (F.col(f"__{k}") for k in ("donem", "release", "meta", "nested", "own", "is_donem", "is_release"))
-    lifted = nested.isNotNull()
-    stops = F.when(lifted & is_kind(nested, "ARRAY"), F.when(own.isNotNull(), F.concat(own, items(nested))).otherwise(items(nested))).when(lifted & ~F.col("__stop"), F.array(nested)).otherwise(own)
-    usable = F.get(F.filter(items(release), lambda e: is_kind(e, "OBJECT") & (F.size(keys(e)) > 0)), 0)
+    df = df.withColumns({f"__{k}": fields(root(k)) for k in ("donem", "meta")} | {f"__{k}": root(k) for k in ("release", "opsiyonel", "cikarim_meta")} | {"__own": items(root("stop_sale")), "__stop": root("stop_sale").isNotNull()})
+    donem, meta, release, own = (F.col(f"__{k}") for k in ("donem", "meta", "release", "own"))
+    df = df.withColumns({"__nested": F.try_element_at(donem, F.lit("stop_sale")), "__release_fields": fields(release)})
+    nested, lifted, is_donem, is_release = F.col("__nested"), F.col("__nested").isNotNull(), donem.isNotNull(), F.col("__release_fields").isNotNull()
+    both = let(items(nested), lambda more: F.when(more.isNotNull(), F.when(own.isNotNull(), F.concat(own, more)).otherwise(more)).when(~F.col("__stop"), F.array(nested)).otherwise(own))
+    usable = F.get(F.filter(_each(items(release)), lambda m: m.isNotNull() & (F.size(m) > 0)), 0)
+    # arrays as those of their elements' fields, which are read once
     df = df.withColumns({
-        "__rooms": items(root("oda_kontenjanlari")), "__prices": items(root("fiyatlar")), "__stops": stops, "__alts": items(F.try_element_at("__period", F.lit("alt_donemler"))),
-        "__rel": F.when(is_release, release).otherwise(usable), "__lifted": lifted,
+        "__rooms": _each(items(root("oda_kontenjanlari"))), "__prices": _each(items(root("fiyatlar"))), "__stops": _each(F.when(lifted, both).otherwise(own)), "__alts": _each(items(F.try_element_at(donem, F.lit("alt_donemler")))),
+        "__rel": F.when(is_release, F.col("__release_fields")).otherwise(usable),
     })
     rel = F.col("__rel")
     none = F.array().cast("array<string>")
     filled = lambda wrong, path: F.when(wrong, F.lit(f"zorunlu alan dolduruldu: {path}"))
-    lacks = lambda is_object, o, k: is_object & F.try_element_at(fields(o), F.lit(k)).isNull()
+    lacks = lambda m, k: m.isNotNull() & F.try_element_at(m, F.lit(k)).isNull()
     required = F.array_compact(F.array(
-        filled(~is_donem, "donem"), filled(lacks(is_donem, donem, "baslangic"), "donem.baslangic"), filled(lacks(is_donem, donem, "bitis"), "donem.bitis"),
+        filled(~is_donem, "donem"), filled(lacks(donem, "baslangic"), "donem.baslangic"), filled(lacks(donem, "bitis"), "donem.bitis"),
         filled(F.col("__rooms").isNull(), "oda_kontenjanlari"), filled(F.col("__prices").isNull(), "fiyatlar"),
         F.when(~is_release & rel.isNotNull(), F.lit("release dizi yerine nesne yapıldı")),
-        filled(rel.isNull(), "release"), filled(lacks(rel.isNotNull(), rel, "gun"), "release.gun"), filled(F.col("__stops").isNull(), "stop_sale"),
+        filled(rel.isNull(), "release"), filled(lacks(rel, "gun"), "release.gun"), filled(F.col("__stops").isNull(), "stop_sale"),
     ))
-    extras = cikarim_notes(root("cikarim_meta"))
     pruned = F.concat(
-        _unknown(v, "", None), _unknown(meta, "meta", F.lit("meta")),
+        _unknown(F.col("__f"), "", None), _unknown(meta, "meta", F.lit("meta")),
         F.filter(_unknown(donem, "donem", F.lit("donem")), lambda n: n != "bilinmeyen alan atıldı: donem.stop_sale"),
-        _unknown_each(F.when(is_donem, F.col("__alts")), "alt_donemler", "donem.alt_donemler"),
+        _unknown_each(F.col("__alts"), "alt_donemler", "donem.alt_donemler"),
         _unknown_each(F.col("__rooms"), "oda_kontenjanlari", "oda_kontenjanlari"), _unknown_each(F.col("__prices"), "fiyatlar", "fiyatlar"),
-        F.when(is_release, _unknown(release, "release", F.lit("release"))).otherwise(none),
-        _unknown_each(F.col("__stops"), "stop_sale", "stop_sale"), _unknown(F.col("__opsiyonel"), "opsiyonel", F.lit("opsiyonel")), extras,
+        _unknown(F.col("__release_fields"), "release", F.lit("release")),
+        _unknown_each(F.col("__stops"), "stop_sale", "stop_sale"), F.when(F.col("__opsiyonel").isNull(), none).otherwise(_unknown(fields(F.col("__opsiyonel")), "opsiyonel", F.lit("opsiyonel"))),
+        F.when(F.col("__cikarim_meta").isNull(), none).otherwise(cikarim_notes(F.col("__cikarim_meta"))),
     )
     df = df.withColumns({
-        "__m": F.when(F.col("__is_meta"), _object(meta, "meta", F.lit("meta"))), "__d": F.when(is_donem, _object(donem, "donem", F.lit("donem"))),
-        "__a": _objects(F.when(is_donem, F.col("__alts")), "alt_donemler", "donem.alt_donemler"), "__r": _objects(F.col("__rooms"), "oda_kontenjanlari", "oda_kontenjanlari"),
+        "__m": F.when(meta.isNotNull(), _object(meta, "meta", F.lit("meta"))), "__d": F.when(is_donem, _object(donem, "donem", F.lit("donem"))),
+        "__a": _objects(F.col("__alts"), "alt_donemler", "donem.alt_donemler"), "__r": _objects(F.col("__rooms"), "oda_kontenjanlari", "oda_kontenjanlari"),
         "__p": _objects(F.col("__prices"), "fiyatlar", "fiyatlar"), "__l": F.when(rel.isNotNull(), _object(rel, "release", F.lit("release"))), "__s": _objects(F.col("__stops"), "stop_sale", "stop_sale"),
-        "__fixed": F.concat(F.when(F.col("__lifted"), F.array(F.lit("stop_sale donem içinden üst düzeye taşındı"))).otherwise(none), pruned, required), "__o": optional_blocks(F.col("__opsiyonel")),
+        "__fixed": F.concat(F.when(lifted, F.array(F.lit("stop_sale donem içinden üst düzeye taşındı"))).otherwise(none), pruned, required),
+        "__o": F.when(F.col("__opsiyonel").isNotNull(), optional_blocks(F.col("__opsiyonel"))),
     })
     one = lambda c: F.coalesce(F.col(f"{c}.notes"), none)
-    each = lambda c: F.coalesce(F.flatten(F.transform(c, lambda e: F.coalesce(e["notes"], none))), none)
-    rows = lambda c, whole: F.filter(F.transform(c, lambda e: e["value"]), lambda e: e.isNotNull() & whole(e))
-    notes = F.concat(F.col("__fixed"), one("__m"), one("__d"), each("__a"), each("__r"), each("__p"), one("__l"), each("__s"), F.col("__o.notes"))
-    period = F.struct(F.col("__d.value.baslangic").alias("baslangic"), F.col("__d.value.bitis").alias("bitis"), rows("__a", lambda e: e["ad"].isNotNull() & e["baslangic"].isNotNull() & e["bitis"].isNotNull()).alias("alt_donemler"))
+    each = lambda c: F.coalesce(F.flatten(F.array_compact(F.col(f"{c}.notes"))), none)
+    rows = lambda c, *there: F.filter(F.col(f"{c}.value"), lambda e: _all(e.isNotNull(), *(e[k].isNotNull() for k in there)))
+    notes = F.concat(F.col("__fixed"), one("__m"), one("__d"), each("__a"), each("__r"), each("__p"), one("__l"), each("__s"), one("__o"))
+    period = F.struct(F.col("__d.value.baslangic").alias("baslangic"), F.col("__d.value.bitis").alias("bitis"), rows("__a", "ad", "baslangic", "bitis").alias("alt_donemler"))
     doc = F.struct(
-        F.col("__m.value").alias("meta"), period.alias("donem"),
-        rows("__r", lambda e: e["oda_tipi"].isNotNull() & e["adet"].isNotNull()).alias("oda_kontenjanlari"),
-        rows("__p", lambda e: e["oda_tipi"].isNotNull() & e["tutar"].isNotNull() & e["birim"].isNotNull()).alias("fiyatlar"),
-        F.when(F.col("__l.value.gun").isNotNull(), F.col("__l.value")).alias("release"), rows("__s", lambda e: F.lit(True)).alias("stop_sale"), F.col("__o.value").alias("opsiyonel"),
+        F.col("__m.value").alias("meta"), period.alias("donem"), rows("__r", "oda_tipi", "adet").alias("oda_kontenjanlari"), rows("__p", "oda_tipi", "tutar", "birim").alias("fiyatlar"),
+        F.when(F.col("__l.value.gun").isNotNull(), F.col("__l.value")).alias("release"), rows("__s").alias("stop_sale"), F.col("__o.value").alias("opsiyonel"),
     )
     out = df.withColumns({"doc": doc, "notes": notes})
     return out.drop(*(c for c in out.columns if c.startswith("__")))
 
 
+def _each(rows: Column) -> Column:
+    """The fields of each element, null for elements that are no objects."""
+    return F.transform(rows, fields)
+
+
+def _all(first: Column, *more: Column) -> Column:
+    for c in more:
+        first = first & c
+    return first
+
+
 def cikarim_notes(v: Column) -> Column:
     """Notes of unknown keys in each entry of the extraction's own metadata."""
-    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    return F.coalesce(F.flatten(F.transform(F.array_sort(F.transform(entries, lambda e: e["key"])), lambda k: F.coalesce(F.get(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: _unknown(e["value"], "cikarim_meta", F.concat(F.lit("cikarim_meta."), k))), 0), F.array().cast("array<string>")))), F.array().cast("array<string>"))
+    noted = lambda own: F.transform(F.sort_array(F.map_keys(own)), lambda k: _unknown(fields(F.try_element_at(own, k)), "cikarim_meta", F.concat(F.lit("cikarim_meta."), k)))
+    return F.coalesce(F.flatten(let(fields(v), noted)), F.array().cast("array<string>"))
 
 
 def optional_blocks(v: Column) -> Column:

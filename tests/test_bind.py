@@ -35,3 +35,9 @@ def test_schema_reads_each_value_once(spark):
 def test_spread(spark):
     got = spread(spark.range(0, 1000, 1, 1), "id")
     assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and got.count() == 1000
+
+
+def test_kinds_of_objects_are_seen_from_their_fields(spark):
+    df = n.normalized(spark.createDataFrame([("{}",)], "t string"), "t")
+    assert times(df, "schema_of_variant(__") == 0
+    assert times(df, "try_parse_json(") == 1
