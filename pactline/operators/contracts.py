@@ -13,6 +13,7 @@ FILLED, TOUCHED, UNTOUCHED = 0.2, 0.6, 0.9
 DEFAULT_THRESHOLD = 0.75
 #: fixed values: severities in their order
 SEVERITIES = ("KRITIK", "UYARI", "BILGI")
+_FILLED_NOTE = "zorunlu alan dolduruldu"
 
 
 def _finding(df: DataFrame, code: str, severity: str, path: Column) -> DataFrame:
@@ -79,10 +80,22 @@ def note_mentions(note: Column, field: str) -> Column:
 
 def confidence(notes: Column, field: str) -> Column:
     """0.2 if a note says that the field was filled in, 0.6 if one mentions it, else 0.9."""
-    filled = F.exists(notes, lambda n: note_mentions(n, field) & n.startswith("zorunlu alan dolduruldu"))
+    filled = F.exists(notes, lambda n: note_mentions(n, field) & n.startswith(_FILLED_NOTE))
     return F.when(filled, FILLED).when(F.exists(notes, lambda n: note_mentions(n, field)), TOUCHED).otherwise(UNTOUCHED)
 
 
+def note_roots(notes: Column) -> Column:
+    """struct<filled, all>: the core fields that notes of filling, and all notes, are about, read once for every field."""
+    about = F.filter(notes, lambda n: n.contains(": "))
+    root = lambda n: F.substring_index(F.substring_index(F.substring_index(n, ": ", -1), ".", 1), "[", 1)
+    return F.struct(F.transform(F.filter(about, lambda n: n.startswith(_FILLED_NOTE)), root).alias("filled"), F.transform(about, root).alias("all"))
+
+
+def root_confidence(roots: Column, field: str) -> Column:
+    """``confidence`` of a core field from ``note_roots``."""
+    return F.when(F.array_contains(roots["filled"], field), FILLED).when(F.array_contains(roots["all"], field), TOUCHED).otherwise(UNTOUCHED)
+
+
 def source_page(pages: DataFrame, needles: DataFrame) -> DataFrame:
     """(doc_id, page): the first page (from 1) that holds a needle, for each document with one.
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pactline.functions.bind import let, spread
+from pactline.operators import contracts as c
 from pactline.operators import normalize as n
 from pactline.operators import schema as v
 
@@ -41,3 +42,12 @@ def test_kinds_of_objects_are_seen_from_their_fields(spark):
     df = n.normalized(spark.createDataFrame([("{}",)], "t string"), "t")
     assert times(df, "schema_of_variant(__") == 0
     assert times(df, "try_parse_json(") == 1
+
+
+def test_confidence_from_the_roots_of_notes(spark):
+    notes = [["zorunlu alan dolduruldu: donem.bitis", "tarih ISO-8601 yapıldı: release"], ["sayı temizlendi: fiyatlar[0].tutar", "zorunlu alan dolduruldu"], ["fiyatlar[2].tutar metinden çıkarıldı", "x: donemler.a"], []]
+    df = spark.createDataFrame([(k,) for k in notes], "notes array<string>").withColumn("roots", c.note_roots(F.col("notes")))
+    names = ("donem", "fiyatlar", "release")
+    got = df.select(*(c.root_confidence(F.col("roots"), k).alias(k) for k in names)).collect()
+    assert [tuple(r) for r in got] == [(0.2, 0.9, 0.6), (0.9, 0.6, 0.9), (0.9, 0.9, 0.9), (0.9, 0.9, 0.9)]
+    assert got == df.select(*(c.confidence(F.col("notes"), k).alias(k) for k in names)).collect()
