@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactline.operators.normalize import UNSET, is_kind, is_missing, items, part
+from pactline.functions.bind import let
+from pactline.operators.normalize import UNSET, fields, is_kind, is_of, items
 from pactline.operators.schema import CONTRACT, conforms
 
 CORE = ("donem", "oda_kontenjanlari", "fiyatlar", "release", "stop_sale")
@@ -23,32 +24,42 @@ COMPARED = {
 def _value(v: Column) -> Column:
     """A JSON value as text; null for nothing."""
     number = F.try_variant_get(v, "$", "double")
-    return F.when(is_missing(v), "null").when(is_kind(v, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), number.cast("string")).otherwise(F.to_json(v))
+    text = lambda kind: F.when(kind.isNull() | (kind == "VOID"), "null").when(is_of(kind, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), number.cast("string")).otherwise(F.to_json(v))
+    return let(F.schema_of_variant(v), text)
 
 
-def _record(v: Column, name: str) -> Column:
-    """What is compared of one object. The parts are JSON texts, so that the commas between them are clear."""
-    parts = []
-    for key in COMPARED[name]:
-        value = _value(part(v, key.rstrip("?")))
-        nothing = value.isin("null", '""', "0.0", "false", "[]", "{}")
-        parts.append(F.when(nothing, F.lit(f'"{UNSET}"')).otherwise(value) if key.endswith("?") else value)
-    return F.concat_ws(",", *parts)
+def _compared(own: Column, key: str) -> Column:
+    value = let(F.try_element_at(own, F.lit(key.rstrip("?"))), _value)
+    if not key.endswith("?"):
+        return value
+    return let(value, lambda text: F.when(text.isin("null", '""', "0.0", "false", "[]", "{}"), F.lit(f'"{UNSET}"')).otherwise(text))
 
 
-def _records(v: Column, name: str) -> Column:
-    rows = F.transform(F.filter(F.coalesce(items(v), F.array().cast("array<variant>")), lambda e: is_kind(e, "OBJECT")), lambda e: _record(e, name))
-    return F.array_join(F.array_sort(rows), ";")
+def _record(own: Column, name: str) -> Column:
+    """What is compared of one object, given its fields. The parts are JSON texts, so that the commas between them are clear."""
+    return F.concat_ws(",", *(_compared(own, key) for key in COMPARED[name]))
 
 
-def canonical(tree: Column, name: str) -> Column:
-    """The canonical text of a core field of a contract (VARIANT); null where it has none. A value of a wrong kind stays as it is."""
-    v = part(tree, name)
+def _records(rows: Column, name: str) -> Column:
+    """The records of an array's objects, sorted; null for no array."""
+    each = F.transform(rows, lambda e: let(fields(e), lambda own: F.when(own.isNotNull(), _record(own, name))))
+    return F.array_join(F.array_sort(F.array_compact(each)), ";")
+
+
+def canonical(value: Column, name: str) -> Column:
+    """The canonical text of a core field's value (VARIANT) in a contract; null where it has none. A value of a wrong kind stays as it is."""
+    return let(value, lambda v: _canonical(v, name))
+
+
+def _canonical(v: Column, name: str) -> Column:
+    listed = lambda rows: F.coalesce(_records(rows, name), F.lit(""))
     if name == "donem":
-        whole = F.concat_ws("|", _record(v, name), _records(part(v, "alt_donemler"), "alt_donemler"))
+        whole = lambda own: F.concat_ws("|", _record(own, name), F.coalesce(_records(items(F.try_element_at(own, F.lit("alt_donemler"))), "alt_donemler"), F.lit("")))
     else:
-        whole = _record(v, name) if name == "release" else _records(v, name)
-    return F.when(is_missing(v), F.lit(None)).when(is_kind(v, "OBJECT" if name in ("donem", "release") else "ARRAY"), F.concat(F.lit("="), whole)).otherwise(F.concat(F.lit("?"), _value(v)))
+        whole = (lambda own: _record(own, name)) if name == "release" else listed
+    read = fields if name in ("donem", "release") else items
+    other = F.when(v.isNull() | F.is_variant_null(v), F.lit(None)).otherwise(F.concat(F.lit("?"), _value(v)))
+    return let(read(v), lambda own: F.when(own.isNotNull(), F.concat(F.lit("="), whole(own))).otherwise(other))
 
 
 def answered(text: Column) -> Column:
@@ -68,8 +79,10 @@ def scored(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     own = gold.select("doc_id", F.try_parse_json("contract").alias("gold"))
     pred = predictions.select("doc_id", answered(F.col("answer")).alias("pred"), F.coalesce("error", F.lit("")).alias("error"))
     both = own.join(pred, "doc_id", "left").withColumn("error", F.when(F.col("error").isNull(), "yanıt yok").otherwise(F.nullif("error", F.lit(""))))
+    both = both.withColumns({"__gold": fields(F.col("gold")), "__pred": fields(F.col("pred"))})
     fine = F.col("error").isNull()
-    same = {name: fine & canonical(F.col("gold"), name).eqNullSafe(canonical(F.col("pred"), name)) for name in CORE}
+    field = lambda side, name: canonical(F.try_element_at(f"__{side}", F.lit(name)), name)
+    same = {name: fine & field("gold", name).eqNullSafe(field("pred", name)) for name in CORE}
     valid = fine & F.col("pred").isNotNull()
     return both.select("doc_id", valid.alias("valid_json"), (valid & conforms(F.col("pred"), CONTRACT)).alias("schema_ok"), *(c.alias(name) for name, c in same.items()), "error")
 

@@ -6,6 +6,7 @@ from pactline.functions.bind import let, spread
 from pactline.operators import contracts as c
 from pactline.operators import normalize as n
 from pactline.operators import schema as v
+from pactline.operators import scoring
 
 
 def test_let(spark):
@@ -51,3 +52,10 @@ def test_confidence_from_the_roots_of_notes(spark):
     got = df.select(*(c.root_confidence(F.col("roots"), k).alias(k) for k in names)).collect()
     assert [tuple(r) for r in got] == [(0.2, 0.9, 0.6), (0.9, 0.6, 0.9), (0.9, 0.9, 0.9), (0.9, 0.9, 0.9)]
     assert got == df.select(*(c.confidence(F.col("notes"), k).alias(k) for k in names)).collect()
+
+
+def test_canonical_texts_read_each_value_once(spark):
+    df = spark.createDataFrame([('{"baslangic": "a", "alt_donemler": [{"ad": 1.0}, 2]}', '[{"oda_tipi": "x", "tutar": 2}]')], "d string, f string")
+    out = df.select(scoring.canonical(F.try_parse_json(F.trim("d")), "donem").alias("d"), scoring.canonical(F.try_parse_json(F.trim("f")), "fiyatlar").alias("f"))
+    assert times(out, "try_parse_json(") <= 4
+    assert out.first().d == '="a",null|1.0,null,null' and out.first().f == '="x",2.0,null,"belirtilmemis",null'
