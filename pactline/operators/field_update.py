@@ -151,16 +151,17 @@ def applied(contracts: DataFrame, judgements: DataFrame) -> DataFrame:
     any_meta = doc["meta"].isNotNull()
     for k in META.values():
         any_meta = any_meta | F.col(f"__meta_{k}").isNotNull()
-    edited = doc
-    for name, value in {"meta": F.when(any_meta, meta), "oda_kontenjanlari": new("oda_kontenjanlari", doc["oda_kontenjanlari"]), "fiyatlar": new("fiyatlar", doc["fiyatlar"]), "release": new("release", doc["release"]), "stop_sale": new("stop_sale", doc["stop_sale"])}.items():
-        edited = edited.withField(name, value)
-    edited = edited.withField("donem", F.coalesce(doc["donem"], F.lit(None)).withField("baslangic", new("begins", doc["donem"]["baslangic"])).withField("bitis", new("ends", doc["donem"]["bitis"])))
+    period = doc["donem"].withField("baslangic", new("begins", doc["donem"]["baslangic"])).withField("bitis", new("ends", doc["donem"]["bitis"]))
+    edited = {"meta": F.when(any_meta, meta), "donem": period} | {k: new(k, doc[k]) for k in ("oda_kontenjanlari", "fiyatlar", "release", "stop_sale")}
     named = F.array_distinct(F.transform("__paths", lambda x: x["path"]))
     kept = F.transform(F.coalesce("provenance", F.array().cast("array<struct<path:string,confidence:double,manual:boolean>>")), lambda m: F.when(F.array_contains(named, m["path"]), F.struct(m["path"].alias("path"), F.lit(1.0).alias("confidence"), F.lit(True).alias("manual"))).otherwise(m))
     more = F.transform(F.filter(named, lambda p: ~F.exists(kept, lambda m: m["path"] == p)), lambda p: F.struct(p.alias("path"), F.lit(1.0).alias("confidence"), F.lit(True).alias("manual")))
     changed = F.col("__paths").isNotNull()
     rest = [c for c in contracts.columns if c not in ("doc", "provenance")]
-    return both.select(*rest, F.when(changed, edited).otherwise(doc).alias("doc"), F.when(changed, F.concat(kept, more)).otherwise(F.col("provenance")).alias("provenance"), changed.alias("changed"))
+    # field by field, so that what is read of few fields does not make the others be computed
+    names = contracts.schema["doc"].dataType.names
+    own = F.struct(*((F.when(changed, edited[k]).otherwise(doc[k]) if k in edited else doc[k]).alias(k) for k in names))
+    return both.select(*rest, F.when(doc.isNotNull(), own).alias("doc"), F.when(changed, F.concat(kept, more)).otherwise(F.col("provenance")).alias("provenance"), changed.alias("changed"))
 
 
 def audited_again(findings: DataFrame, contracts: DataFrame, audit) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pactline.functions.bind import let, spread
 from pactline.operators import contracts as c
+from pactline.operators import field_update as u
 from pactline.operators import normalize as n
 from pactline.operators import schema as v
 from pactline.operators import scoring
@@ -59,3 +60,20 @@ def test_canonical_texts_read_each_value_once(spark):
     out = df.select(scoring.canonical(F.try_parse_json(F.trim("d")), "donem").alias("d"), scoring.canonical(F.try_parse_json(F.trim("f")), "fiyatlar").alias("f"))
     assert times(out, "try_parse_json(") <= 4
     assert out.first().d == '="a",null|1.0,null,null' and out.first().f == '="x",2.0,null,"belirtilmemis",null'
+
+
+def test_edited_fields_are_read_without_the_others(spark):
+    room = "array<struct<oda_tipi:string,adet:int,aciklama:string>>"
+    price = "array<struct<oda_tipi:string,tutar:double,birim:string,pansiyon:string,alt_donem_ad:string>>"
+    meta = ",".join(f"{k}:string" for k in n.KEYS["meta"])
+    stop = "array<struct<" + ",".join(f"{k}:string" for k in n.KEYS["stop_sale"]) + ">>"
+    doc = f"struct<meta:struct<{meta}>,donem:struct<baslangic:string,bitis:string>,oda_kontenjanlari:{room},fiyatlar:{price},release:struct<gun:int,kapsam:string,kaynak_ifade:string>,stop_sale:{stop}>"
+    stored = spark.createDataFrame([(1, "HATA", None), (2, "HATA", None)], f"doc_id long, status string, doc {doc}").withColumn("provenance", F.lit(None).cast("array<struct<path:string,confidence:double,manual:boolean>>"))
+    made = stored.withColumn("doc", F.struct(*(F.col(f"doc.{k}").alias(k) for k in ("meta", "donem", "oda_kontenjanlari")), F.transform(F.array(F.col("status")), lambda s: F.struct(s.alias("oda_tipi"), F.lit(1.0).alias("tutar"), s.alias("birim"), s.alias("pansiyon"), F.lit("isaret").alias("alt_donem_ad"))).alias("fiyatlar"), F.col("doc.release").alias("release"), F.col("doc.stop_sale").alias("stop_sale")))
+    edits = spark.createDataFrame([(1, 1, "release", '{"gun": 3}')], "doc_id long, seq long, path string, v string").select("doc_id", "seq", "path", F.try_parse_json("v").alias("value"))
+    out = u.applied(made, u.judged(made, edits))
+    days = out.select("doc_id", "doc.release.gun")
+    assert {tuple(r) for r in days.collect()} == {(1, 3), (2, None)}
+    assert "isaret" not in days._jdf.queryExecution().optimizedPlan().toString()
+    none = u.applied(stored, u.judged(stored, edits))
+    assert [r.doc for r in none.collect()] == [None, None]
