@@ -13,7 +13,8 @@ segment, and the pairs that meet are verified.
 
 For the verdict a line needs one earlier partner: in each posting list lines first meet
 the line that stands for it (a star); only lines that are still unmatched meet the others
-of their lists, and lists that one line stands for are one list then. Pairs that lack too many of a finer set of segments are dropped, common
+of their lists, and lists that one line stands for are one list then. Pairs whose letters differ in number too often, or that lack too many
+of a finer set of segments, are dropped, common
 starts and ends are cut, and what differs is verified by a bit-parallel edit distance over a
 band of ``2 * EDITS + 1`` diagonals, one step for each character.
 
@@ -167,20 +168,34 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _keys(lines: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """(id, key, posted) of each line and each of the probes (length difference, segment, shift) that fits in it."""
+    """(id, key, posted) of each line and each of the probes (length difference, segment, shift); all fit in a line of at least 2 * edits + 1 characters."""
     # a list of constants is exploded and one expression computes all keys, so that it stays compiled
     places = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in probes))).alias("p")
     placed = lines.select("id", "chars", "text", places).select("id", "chars", "text", (F.col("chars") - F.col("p.d")).alias("size"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
     start, n = _segment("size", "i", edits + 1)
-    cut = placed.select("id", "chars", "text", "size", "i", "shift", (start + F.col("shift")).alias("at"), n.alias("n")).where("at >= 1 and at + n - 1 <= chars")
+    cut = placed.select("id", "chars", "text", "size", "i", "shift", (start + F.col("shift")).alias("at"), n.alias("n"))
+    # where every character is one byte, places are counted in bytes: characters are found by a walk from the start
+    part = F.when(F.octet_length("text") == F.col("chars"), F.substr(F.col("text").cast("binary"), F.col("at"), F.col("n"))).otherwise(F.substr("text", F.col("at"), F.col("n")).cast("binary"))
     posted = (F.col("size") == F.col("chars")) & (F.col("shift") == 0)
-    return cut.select("id", F.xxhash64("size", "i", F.substr("text", F.col("at"), F.col("n"))).alias("key"), posted.alias("posted"))
+    return cut.select("id", F.xxhash64("size", "i", part).alias("key"), posted.alias("posted"))
+
+
+def _letter_counts(text: Column) -> Column:
+    """How often each letter of LETTERS occurs, modulo 4, in two bits for each."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    return F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), lambda bits, c: F.shiftleft(bits, 2).bitwiseOR(count(c).bitwiseAND(3)))
+
+
+def _counts_allow(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines of these letter counts can be within ``edits`` edits: each changes how often at most two letters occur."""
+    differ = a.bitwiseXOR(b)
+    return F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= 2 * edits
 
 
 def _near_stars(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     """(id, check) of the later lines of the pairs (a, b) that are within ``edits`` edits."""
-    a, b = (known.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("check", "text", "first"))) for x in "ab")
-    close = pairs.join(a, "a").join(b, "b").where(_within_pair(F.col("text_a"), F.col("text_b"), edits))
+    a, b = (known.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("check", "text", "letters", "first"))) for x in "ab")
+    close = pairs.join(a, "a").join(b, "b").where(_counts_allow(F.col("letters_a"), F.col("letters_b"), edits)).where(_within_pair(F.col("text_a"), F.col("text_b"), edits))
     later = F.col("first_a") > F.col("first_b")
     return close.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(later, F.col("check_a")).otherwise(F.col("check_b")).alias("check")).distinct()
 
@@ -200,7 +215,7 @@ def _letter_keys(key: Column, text: Column, edits: int) -> Column:
 def _near_in_lists(lists: DataFrame, edits: int) -> DataFrame:
     """(id, check) of the open lines that are within ``edits`` edits of an earlier line of one of their lists.
 
-    ``lists``: (key, id, check, text, first, posted, open). Lists of more than ``SHORT`` lines are
+    ``lists``: (key, id, check, text, letters, first, posted, open). Lists of more than ``SHORT`` lines are
     dealt out again by the counts of letters. What stands in one list then meets in blocks of
     at most about ``BLOCK`` lines or ``BLOCK_CHARS`` characters, a row for each pair of blocks;
     lines that have no earlier partner yet look for one in the rows' arrays, and pairs of lines
@@ -213,10 +228,10 @@ def _near_in_lists(lists: DataFrame, edits: int) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_CHARS)).cast("int")
     sizes = fine.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("m"), F.max("open").alias("any")).where("any and n > 1").select("key", parts.alias("parts"))
     placed = fine.join(sizes, "key").withColumn("own", F.pmod(F.hash("id"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = placed.groupBy("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y")).agg(F.collect_list(F.struct("id", "check", "text", "first", "posted", "open", "own")).alias("own"))
+    blocks = placed.groupBy("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y")).agg(F.collect_list(F.struct("id", "check", "text", F.length("text").alias("chars"), "letters", "first", "posted", "open", "own")).alias("own"))
 
     def partner(x: Column) -> Column:
-        near = lambda y: (y["first"] < x["first"]) & (x["posted"] | y["posted"]) & (F.abs(F.length(x["text"]) - F.length(y["text"])) <= edits) & within(x["text"], y["text"], edits)
+        near = lambda y: (y["first"] < x["first"]) & (x["posted"] | y["posted"]) & (F.abs(x["chars"] - y["chars"]) <= edits) & _counts_allow(x["letters"], y["letters"], edits) & within(x["text"], y["text"], edits)
         return F.exists("own", near)
 
     return blocks.select(F.explode(F.filter("own", lambda x: x["open"] & partner(x))).alias("x")).select("x.id", "x.check").distinct()
@@ -232,19 +247,20 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     probes = posts + [p for p in _probes(edits) if p not in posts]
     # the least and the greatest id stand for a list: a list of one line has no other use
     heads = _keys(lines, posts, edits).groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    met = _keys(lines, probes, edits).join(heads, "key").where("id <> head or head <> last")
+    # a row for each list is held while lines stream past: neither side is sorted
+    met = _keys(lines, probes, edits).join(heads.hint("shuffle_hash"), "key").where("id <> head or head <> last")
     hits = saved(met.select("key", "id", "head", "posted", (F.col("head") != F.col("last")).alias("many")).distinct())
     ids = saved(hits.select(F.explode(F.array("id", "head")).alias("id")).distinct())
     ids = F.broadcast(ids) if ids.count() <= FEW else ids  # only so many ids are sent to every task; more are joined by a shuffle
     texts = lines.join(ids, "id", "left_semi").groupBy("id", "check").agg(F.min("text").alias("text"))
-    known = saved(texts.join(firsts, ["id", "check"]).select("id", "check", "text", "first"))
+    known = saved(texts.join(firsts, ["id", "check"]).select("id", "check", "text", _letter_counts(F.col("text")).alias("letters"), "first"))
     stars = hits.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     done = saved(_near_stars(stars, known, edits))
     # lists of several lines: those without a partner yet look for one among the others
     # lists of one head are one list: lines that share several lists would meet in each of them
     several = hits.where("many").groupBy("head", "id").agg(F.max("posted").alias("posted"))
     members = several.join(known, "id").join(done.withColumn("done", F.lit(True)), ["id", "check"], "left")
-    members = members.select(F.col("head").alias("key"), "id", "check", "text", "first", "posted", (F.col("done").isNull() & (F.col("id") != F.col("head"))).alias("open"))
+    members = members.select(F.col("head").alias("key"), "id", "check", "text", "letters", "first", "posted", (F.col("done").isNull() & (F.col("id") != F.col("head"))).alias("open"))
     gone = done.unionByName(_near_in_lists(members, edits)).distinct()
     flagged = firsts.join(gone.withColumn("near", F.lit(True)), ["id", "check"], "left").where("n > 1 or near").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("doc_id", "line", "id", "check").join(flagged, ["id", "check"]).where(F.col("near") | (at != F.col("first"))).select("doc_id", "line")

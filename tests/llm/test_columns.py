@@ -1,5 +1,7 @@
 """Columns of the input that are named like the columns an operator adds."""
 
+from pyspark.sql import functions as F
+
 from pactline.llm import line_dedup, pii_surrogates, sentencepiece_codec
 
 LINE = "a line that is long enough to be compared with others"
@@ -44,3 +46,19 @@ def test_lines_meet_once_for_each_line_that_stands_for_their_lists(spark, monkey
     assert line_dedup.repeated_lines(docs).count() == 0
     rows = seen[0]
     assert len({r.id for r in rows}) == 60 and len(rows) == len(set(rows)) == 60
+
+
+def test_lines_of_other_letters_meet_no_edit_distance(spark, monkeypatch):
+    half = "one half of all these lines is the same text "
+    lines = [half + letters * 5 for letters in ("eta", "oin", "srh", "ldc", "umf", "pgb")]
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, edits: F.raise_error(F.lit("compared")).cast("boolean"))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.repeated_lines(docs).count() == 0
+
+
+def test_lines_share_keys_whatever_the_width_of_their_characters(spark):
+    plain = "a resume of what is written in the first of these lines"
+    other = "строка из многих букв, которые занимают по два байта"
+    lines = [plain, plain.replace("resume", "résumé"), other, "x" + other, other[:-1] + "ё", plain.replace("resume", "résümé")[:-1]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.repeated_lines(docs).collect()} == {1, 3, 4, 5}
