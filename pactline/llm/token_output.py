@@ -42,9 +42,10 @@ SHARD_IDS = 1 << 20
 LEAST = 4
 BINS = 1 << 20
 EXACT = 200_000  # places from which on all pairs are counted exactly
+MOST_RULE_IDS = 1 << 22  # ids of all rules that are held written out; longer rules are expanded level by level
 END = 0
 #: other white space before a space: there the vocabulary's word pattern may run over the start of a segment
-_OTHER_SPACE = re.compile(r"[^\S ] ")
+_OTHER_SPACE = [chr(c) + " " for c in range(0x3001) if c != 0x20 and chr(c).isspace()]
 
 
 def _byte_letters() -> list[str]:
@@ -68,7 +69,7 @@ class _Encoder:
 
         self.library = Tokenizer.from_str(model.decode())
         self.model = self.library.model
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.apart = ["\0", *_OTHER_SPACE, *(t.content for t in self.library.get_added_tokens_decoder().values())]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.kind = "H" if self.dtype == np.uint16 else "I"
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -82,19 +83,22 @@ class _Encoder:
 
     def _piece(self, word: str) -> bytes:
         letters = self.letters
-        return array(self.kind, [t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))]).tobytes()
+        return self._ids("".join([letters[b] for b in word.encode()]))
+
+    def _ids(self, letters: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _segment(self, key: str) -> bytes:
-        if key.isalpha():
-            return self._piece(" " + key)
+        if key.isalpha():  # ASCII letters stand for themselves
+            return self._ids(self.letters[0x20] + key) if key.isascii() else self._piece(" " + key)
         text = key[1:] if key[:1] == "\0" else " " + key
         if self.plain(text) is None:
             return self._whole(text)
-        pieces = self.pieces
-        return b"".join([pieces[w] for w in self.words(text)])
+        pieces, own = self.pieces, self.segments
+        return b"".join([own[w[1:]] if w[0] == " " and w[1:].isalpha() else pieces[w] for w in self.words(text)])
 
     def __call__(self, text: str) -> np.ndarray:
-        if "\0" in text or _OTHER_SPACE.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.apart):
             raw = self._whole(text)
         else:
             own = self.segments
@@ -125,6 +129,23 @@ def _pairs(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
 
 
+def _numbered(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values in order, number of each pair's value, counts), as of np.unique: where they fit in 64 bits, pairs are sorted with their places."""
+    low = np.uint64(0xFFFFFFFF)
+    left, right = pairs >> np.uint64(32), pairs & low
+    symbol, place = int(max(left.max(initial=0), right.max(initial=0))).bit_length(), len(pairs).bit_length()
+    if 2 * symbol + place > 64 or len(pairs) == 0:
+        return np.unique(pairs, return_inverse=True, return_counts=True)
+    in_order = np.sort((((left << np.uint64(symbol)) | right) << np.uint64(place)) | np.arange(len(pairs), dtype=np.uint64))
+    value = in_order >> np.uint64(place)
+    starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    count = np.diff(np.append(starts, len(pairs)))
+    number = np.empty(len(pairs), np.int64)
+    number[(in_order & np.uint64((1 << place) - 1)).astype(np.int64)] = np.repeat(np.arange(len(starts)), count)
+    value = value[starts]
+    return ((value >> np.uint64(symbol)) << np.uint64(32)) | (value & np.uint64((1 << symbol) - 1)), number, count
+
+
 def compress(docs: list[np.ndarray], vocabulary_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules) of a shard; rule k is nonterminal vocabulary_size + k.
 
@@ -144,24 +165,28 @@ def compress(docs: list[np.ndarray], vocabulary_size: int) -> tuple[np.ndarray,
         pairs = _pairs(seq, at)
         exact = exact or len(at) < EXACT
         if exact:
-            _, rule, count = np.unique(pairs, return_inverse=True, return_counts=True)
+            value, rule, count = _numbered(pairs)
         else:  # counts of hashed bins choose the places while there are very many
             rule = _bins(pairs)
             count = np.bincount(rule, minlength=BINS)
         count = count[rule].astype(np.int32)
         often = count >= LEAST
-        at, pairs, count = at[often], pairs[often], count[often]
+        at, pairs, rule, count = at[often], pairs[often], rule[often], count[often]
         live[:] = False
         live[at] = True
         n = np.zeros(len(seq) + 2, np.int32)
         n[at + 1] = count
         best = (count >= n[at]) & (count >= n[at + 2])  # no neighbour is more frequent
-        at, pairs = at[best], pairs[best]
+        at, pairs, rule = at[best], pairs[best], rule[best]
         begins = np.concatenate([[True], np.diff(at) > 1])[: len(at)]
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0  # of a run of equals, every other place
         at = at[take]
-        value, rule, count = np.unique(pairs[take], return_inverse=True, return_counts=True)
+        if exact:  # the pairs are numbered already
+            rule = rule[take]
+            count = np.bincount(rule, minlength=len(value))
+        else:
+            value, rule, count = _numbered(pairs[take])
         kept = count >= (LEAST - 1 if exact else LEAST)
         at, rule = at[kept[rule]], (np.cumsum(kept) - 1)[rule[kept[rule]]]
         if len(at) == 0 and not exact:
@@ -246,8 +271,27 @@ class Block:
         self.rules, self.symbols = rules[:].reshape(-1, 2), _Packed(raw, rules.end, n_symbols, bits)
         self.starts = np.concatenate([[0], np.cumsum(own)])
         self.size = vocabulary_size
+        self.written: np.ndarray | None = None
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of a row of symbols: those of the rules are written out once and copied to where they stand."""
+        if len(self.rules) == 0 or self.lengths.sum() > MOST_RULE_IDS:
+            return self._levels(symbols)
+        if self.written is None:
+            self.written = self._levels(np.arange(self.size, self.size + len(self.rules), dtype=np.uint32))
+            self.begins = np.cumsum(self.lengths) - self.lengths
+        rule = np.flatnonzero(symbols >= self.size)
+        which = symbols[rule].astype(np.int64) - self.size
+        n = np.ones(len(symbols), np.int64)
+        n[rule] = self.lengths[which]
+        out = np.repeat(symbols.astype(np.uint32), n)
+        to = (np.cumsum(n) - n)[rule]
+        own = self.lengths[which]
+        inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        out[np.repeat(to, own) + inside] = self.written[np.repeat(self.begins[which], own) + inside]
+        return out
+
+    def _levels(self, symbols: np.ndarray) -> np.ndarray:
         """Nonterminals are replaced by their two symbols, all at once, until ids alone are left."""
         wanted = int(np.where(symbols >= self.size, self.lengths[np.maximum(symbols.astype(np.int64) - self.size, 0)], 1).sum()) if len(self.rules) else len(symbols)
         out = symbols.astype(np.uint32)

@@ -117,6 +117,29 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
     assert block.doc_ids.to_pylist() == [None, *range(41)] and all(np.array_equal(block.ids(k), d) for k, d in enumerate(docs))
 
 
+def test_shards_write_each_rule_out_once(monkeypatch):
+    g = np.random.default_rng(2)
+    copy = g.integers(0, 50_000, 500)
+    docs = [np.append(copy, 0) for _ in range(30)] + [np.append(g.integers(0, 30, 3000), 0), np.zeros(200, np.int64)]
+    raw = token_output.write_block(list(range(32)), docs, 50257)
+    calls = []
+    levels = token_output.Block._levels
+    monkeypatch.setattr(token_output.Block, "_levels", lambda self, symbols: calls.append(len(symbols)) or levels(self, symbols))
+    block = token_output.Block(raw, 50257)
+    assert np.array_equal(block.all(), np.concatenate(docs)) and all(np.array_equal(block.ids(k), d) for k, d in enumerate(docs))
+    assert calls == [len(block.rules)]
+    monkeypatch.setattr(token_output, "MOST_RULE_IDS", 0)
+    assert np.array_equal(token_output.Block(raw, 50257).all(), np.concatenate(docs)) and len(calls) == 2
+
+
+def test_pairs_are_numbered_as_in_order():
+    g = np.random.default_rng(3)
+    for top, n in ((40, 5000), (90_000, 5000), (1 << 32, 50), (5, 0)):
+        pairs = (g.integers(0, top, n).astype(np.uint64) << np.uint64(32)) | g.integers(0, top, n).astype(np.uint64)
+        want = np.unique(pairs, return_inverse=True, return_counts=True)
+        assert all(np.array_equal(x, y) for x, y in zip(token_output._numbered(pairs), want))
+
+
 def test_token_files_of_repeated_and_null_ids(spark, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
