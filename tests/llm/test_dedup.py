@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pactline.llm import embedding_dedup, line_dedup, minhash_dedup, substring_dedup
+from pactline.llm import _spark, embedding_dedup, line_dedup, minhash_dedup, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, id long, key string, n long"  # with names that the operators use inside
 
@@ -282,3 +283,54 @@ def test_substring_rows_that_share_an_id_or_have_none(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     # one copy of every passage is left
     assert sum(n for _, n, _, _ in got) - sum(g for _, _, g, _ in got) >= 60
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Rows are taken out by ids that are sent to them, a slice at a time, without a shuffle of the rows."""
+    monkeypatch.setattr(_spark, "IDS", 3)
+    docs = frame(spark, [(i, f"text {i}") for i in range(40)])
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8, 13, 21, 21, 99)], "doc_id long")
+    out = _spark.rows_of(docs, ids, "doc_id")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 5, 8, 13, 21]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = minhash_dedup._item_sets(docs, ids, 2)
+        assert "hashpartitioning" not in sets._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())) if f.getName().startswith("shuffle")}
+    old, setting = files(), spark.conf.get(_spark.FREED)
+    assert len(_spark.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+    for _ in range(100):  # files are removed in the background
+        left = [f for f in files() - old if f.endswith(".data")]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(_spark.FREED) == setting
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_minhash_long_lists_meet_as_sketches(spark, monkeypatch, few):
+    for name, value in {"SHORT": 2, "BLOCK": 8, "WIDER": 2, "FEW": few}.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rows = near_copies(90, seed=8)
+    sets = {i: set(zip((t or "").lower().split(), (t or "").lower().split()[1:])) or set((t or "").lower().split()) for i, t in rows}
+    want = components(sets, lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == want
+
+
+def test_agreeing_sketches(spark):
+    g = np.random.default_rng(2)
+    a = g.integers(0, 256, (300, 32), dtype=np.uint8)
+    b = np.where(g.random((300, 32)) < 0.5, a, g.integers(0, 256, (300, 32), dtype=np.uint8)).astype(np.uint8)
+    rows = [(*map(int, x.view(np.int64)), *map(int, y.view(np.int64)), int((x == y).sum())) for x, y in zip(a, b)]
+    names = [f"{s}{x}" for x in "ab" for s in minhash_dedup.SKETCH]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names) + ", want long")
+    assert df.where(minhash_dedup._agreeing(names[:4], names[4:]) != F.col("want")).count() == 0
