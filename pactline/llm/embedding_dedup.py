@@ -10,9 +10,12 @@ the nearest centre of the lowest level. Their number grows with that of the poin
 the distance of their centres is at most the sum of their radii and the threshold. Nodes of
 many points are cut into blocks of bounded size.
 
-Below, each pair of blocks is a task: both blocks get a tree of their own, with nested levels
+Below, blocks that follow each other form groups, and each pair of groups is a task. The tasks
+are run in rounds that move ``ROUND`` copies of the points at most, and the shuffle files of a
+round are freed when it ends, so that disk grows with the input however many pairs of groups
+there are. In a task each block gets a tree of its own, with nested levels
 of halving radii, each node's parent the nearest centre of the level above, and a covering
-radius over all points below it. The two trees are walked together from their roots: a pair
+radius over all points below it. The trees of each two blocks are walked together from their roots: a pair
 of nodes beyond the bound is pruned with all that lies below it, the others are replaced by
 the pairs of their children, and points of the leaf pairs that are left are compared exactly.
 A task returns how many partners each point has and a spanning forest of the links, never the
@@ -30,13 +33,16 @@ vec_id is that name); an empty table gives an empty result; extra columns are ig
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from pactline.llm._spark import components, grouped_by_row, in_batches, saved, table
 
@@ -45,26 +51,37 @@ SAMPLE_BYTES = 64 << 20  # of them together, at most
 CENTRES = 4_096  # at most so many nodes above the blocks
 FEWEST = 256
 BLOCK = 2_048
+GROUP = 8  # blocks of a group, at most
+GROUP_BYTES = 16 << 20  # of its points, at most
+ROUND = 3  # copies of the points that move at once
+FOLD = 16  # rounds whose links are put together at once
 _SLACK = 1e-7  # of distances: near 0 they are known to the root of the precision only
 
 
+def _unit(v: pa.Scalar) -> tuple[np.ndarray, np.ndarray] | None:
+    """A vector's components and its unit vector; None for one that links with nothing."""
+    if v.is_valid and v.values.null_count == 0 and len(v.values):
+        raw = v.values.to_numpy(zero_copy_only=False)
+        x = raw.astype(np.float64)
+        if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
+            x = x / top
+            return raw, x / math.sqrt(float(x @ x))
+    return None
+
+
 def _units(batches):
+    """The digest of each unit vector, and the components it is made of; nothing in either for a vector without."""
     for batch in batches:
-        ids, units = [], []
-        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding")):
-            unit = b""
-            if v.is_valid and v.values.null_count == 0 and len(v.values):
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                    x = x / top
-                    unit = (x / math.sqrt(float(x @ x))).tobytes()
-            ids.append(i)
-            units.append(unit)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "unit"])
+        found = [_unit(v) for v in batch.column("embedding")]
+        marks = [hashlib.sha256(x[1].tobytes()).digest() if x else b"" for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(marks, pa.binary()), pa.array([x[0].tobytes() if x else b"" for x in found], pa.binary())], ["vec_id", "mark", "raw"])
 
 
-def _matrix(units) -> np.ndarray:
-    return np.frombuffer(b"".join(u.as_py() for u in units), np.float64).reshape(len(units), -1)
+def _matrix(raw, kind: type) -> np.ndarray:
+    """The unit vectors of components of one length, as they are stored (float or double)."""
+    x = np.frombuffer(b"".join(u.as_py() for u in raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, initial=0)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _levels(x: np.ndarray, first: float, last: float) -> list[np.ndarray]:
@@ -155,45 +172,102 @@ def _links(a: _Tree, b: _Tree, reach: float):
             yield left, right
 
 
-def _compared(cosine: float):
+def _compared(cosine: float, kind: type):
     reach = math.sqrt(2 - 2 * cosine)
 
     def run(group: pa.Table) -> pa.Table:
         ids, counts = group["rep"].to_numpy(), group["n"].to_numpy()
-        side, x = group["side"].to_numpy(), _matrix(group["unit"])
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = len(right) == 0  # a block with itself
-        right = left if alone else right
-        if len(left) == 0 or x.shape[1] == 0:
-            return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        a = _Tree(x[left], reach)
-        b = a if alone else _Tree(x[right], reach)
+        side, block, x = group["side"].to_numpy(), group["block"].to_numpy(), _matrix(group["raw"], kind)
+        alone = group["x"][0] == group["y"][0]  # a group with itself
+        parts = [[(p, _Tree(x[p], reach)) for p in (np.flatnonzero((side == k) & (block == b)) for b in np.unique(block[side == k]))] for k in (0, 1)]
+        met = [(p, q) for i, p in enumerate(parts[0]) for q in (parts[0][i:] if alone else parts[1])]
         partners = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))  # the component of each point, always by its least member
         edges: list[tuple[int, int]] = []
-        for own, other in _links(a, b, reach):
-            for lo in range(0, len(own), 512):
-                i, j = left[own[lo : lo + 512]], right[other]
-                hit = x[i] @ x[j].T >= cosine
-                if alone:
-                    hit &= i[:, None] != j[None, :]
-                partners[i] += hit @ counts[j]
-                if not alone:
-                    np.add.at(partners, j, counts[i] @ hit)
-                for r in np.flatnonzero(hit.any(axis=1)).tolist():
-                    with_ = j[hit[r]]
-                    roots, at = np.unique(label[with_], return_index=True)
-                    for root, k in zip(roots.tolist(), with_[at].tolist()):
-                        p = int(label[i[r]])
-                        if root != p:
-                            label[label == max(root, p)] = min(root, p)
-                            edges.append((int(ids[i[r]]), int(ids[k])))
+        for (left, a), (right, b) in met:
+            for own, other in _links(a, b, reach):
+                for lo in range(0, len(own), 512):
+                    i, j = left[own[lo : lo + 512]], right[other]
+                    hit = x[i] @ x[j].T >= cosine
+                    if a is b:
+                        hit &= i[:, None] != j[None, :]
+                    partners[i] += hit @ counts[j]
+                    if a is not b:
+                        np.add.at(partners, j, counts[i] @ hit)
+                    for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                        with_ = j[hit[r]]
+                        roots, at = np.unique(label[with_], return_index=True)
+                        for root, k in zip(roots.tolist(), with_[at].tolist()):
+                            p = int(label[i[r]])
+                            if root != p:
+                                label[label == max(root, p)] = min(root, p)
+                                edges.append((int(ids[i[r]]), int(ids[k])))
         rows = [(int(ids[k]), int(partners[k]), None) for k in np.flatnonzero(partners)] + [(p, 0, q) for p, q in edges]
         return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "other": pa.array([r[2] for r in rows], pa.int64())})
 
     return run
 
 
+def _grouped(nodes: list[dict], centres: dict[int, np.ndarray], reach: float) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Where the points of each node go, the numbers of points of the groups, and the pairs of groups that must be compared.
+
+    Small nodes that follow each other share a block; a node of many points has several. A row
+    is (size, node, first block, blocks, first group, blocks of a group).
+    """
+    homes, weights, pairs = [], [], []
+    for size in sorted({x["size"] for x in nodes}):
+        own = [x for x in nodes if x["size"] == size]
+        radius, node, points = (np.array([x[k] for x in own]) for k in ("radius", "node", "points"))
+        home, room = np.zeros(len(own), np.int64), [0]  # the nodes' places, and the points of each
+        for k, n in enumerate(points.tolist()):
+            if room[-1] and room[-1] + n > BLOCK:
+                room.append(0)
+            home[k] = len(room) - 1
+            room[-1] += n
+        parts = np.maximum(1, -(-np.array(room) // BLOCK))
+        first = np.cumsum(parts) - parts
+        wide = int(max(1, min(GROUP, parts.sum() // GROUP, GROUP_BYTES // (8 * BLOCK * size))))
+        base, lo, hi = len(weights), first // wide, (first + parts - 1) // wide
+        homes += [(size, int(n), int(first[h]), int(parts[h]), base, wide) for n, h in zip(node, home)]
+        of = np.repeat(np.arange(len(parts)), parts)
+        weights += np.bincount(np.arange(len(of)) // wide, (np.array(room) / parts)[of]).tolist()
+        near = np.zeros((len(parts), len(parts)), bool)
+        for k in range(len(own)):
+            far = np.zeros(0, int) if size not in centres else np.flatnonzero(_distance(centres[size][node] @ centres[size][node[k]]) > radius + radius[k] + reach + _SLACK)
+            close = np.ones(len(own), bool)
+            close[far] = False
+            near[home[k], home[close]] = True
+        groups = np.zeros((hi[-1] + 1, hi[-1] + 1), bool)
+        for k in range(len(parts)):
+            c = near[k] | (np.arange(len(parts)) == k)
+            spans = np.bincount(lo[c], minlength=hi[-1] + 2) - np.bincount(hi[c] + 1, minlength=hi[-1] + 2)
+            groups[lo[k] : hi[k] + 1] |= (np.cumsum(spans) > 0)[:-1]
+        pairs.append(np.argwhere(np.triu(groups | groups.T)) + base)
+    return homes, np.array(weights), np.concatenate(pairs)
+
+
+def _rounds(pairs: np.ndarray, weights: np.ndarray, most: float):
+    """The pairs of groups in turns that move at most so many points, or a single pair."""
+    moved = np.where(pairs[:, 0] == pairs[:, 1], weights[pairs[:, 0]], weights[pairs[:, 0]] + weights[pairs[:, 1]])
+    start, total = 0, 0.0
+    for k, n in enumerate(moved.tolist()):
+        if k > start and total + n > most:
+            yield pairs[start:k]
+            start, total = k, 0.0
+        total += n
+    yield pairs[start:]
+
+
+def _folded(found: list[DataFrame]) -> DataFrame:
+    """The links of several rounds: a row for each point, and a forest."""
+    rows = reduce(DataFrame.unionByName, found)
+    if len(found) < FOLD:
+        return rows
+    links = rows.where("other is null").groupBy("rep").agg(F.sum("links").alias("links")).withColumn("other", F.lit(None).cast("long"))
+    forest = components(rows.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).where("node <> component")
+    return saved(links.unionByName(forest.select(F.col("node").alias("rep"), F.lit(0).cast("long").alias("links"), F.col("component").alias("other"))))
+
+
 def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
     return grouped_by_row(vectors.select("vec_id", "embedding"), "vec_id", "component_id", lambda v: _near_embeddings(v, cosine))
@@ -201,17 +275,20 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
 def _near_embeddings(vectors: DataFrame, cosine: float) -> DataFrame:
     """The same where each row has a vec_id of its own."""
-    units = saved(in_batches(vectors.select("vec_id", "embedding"), _units, "vec_id long, unit binary"))
-    points = saved(units.where(F.length("unit") > 0).groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    spark = vectors.sparkSession
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else np.float64
+    width, reach = np.dtype(kind).itemsize, math.sqrt(2 - 2 * cosine)
+    units = in_batches(vectors.select("vec_id", "embedding" if kind is np.float32 else F.col("embedding").cast("array<double>")), _units, "vec_id long, mark binary, raw binary")
     # a bounded sample chooses the centres; which points they are changes the work, never the result
-    spread = points.agg(F.count("*").alias("n"), F.max(F.length("unit")).alias("size")).first()
+    spread = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
     most = min(CENTRES, max(FEWEST, spread.n // 1024))
-    sample = min(SAMPLE * most, SAMPLE_BYTES // max(8, spread.size or 8))
-    seen = points.select("rep", "unit", F.length("unit").alias("size")).orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
+    sample = min(SAMPLE * most, SAMPLE_BYTES // (8 * max(1, spread.size or 1)))
+    every = max(1, -(-spread.n // max(1, sample)))
+    seen = units.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).where(F.length("raw") > 0).select("raw", (F.length("raw") / width).cast("int").alias("size")).limit(2 * sample).distinct().toArrow()
     centres: dict[int, np.ndarray] = {}
     for size in set(seen["size"].to_pylist()):
-        x = _matrix(seen.filter(pc.equal(seen["size"], size))["unit"])
-        found = _levels(x, 1.0, math.sqrt(2 - 2 * cosine))
+        x = _matrix(seen.filter(pc.equal(seen["size"], size))["raw"], kind)
+        found = _levels(x, 1.0, reach)
         chosen = found[-1] if found else np.arange(len(x))
         centres[size] = x[chosen[:: math.ceil(len(chosen) / most)]]
 
@@ -222,58 +299,38 @@ def _near_embeddings(vectors: DataFrame, cosine: float) -> DataFrame:
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 if int(size) in centres:
-                    x = _matrix(batch.column("unit").take(pa.array(own)))
+                    x = _matrix(batch.column("raw").take(pa.array(own)), kind)
                     d = np.sqrt(np.maximum(2 - 2 * (x @ centres[int(size)].T), 0))
                     node[own] = d.argmin(axis=1)
                     distance[own] = d.min(axis=1)
                 else:  # a length that the sample missed: one node, never pruned
                     distance[own] = 2.0
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("unit"), batch.column("size"), pa.array(node), pa.array(distance)], ["rep", "n", "unit", "size", "node", "distance"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "mark", "raw", "size")), pa.array(node), pa.array(distance)], ["rep", "n", "mark", "raw", "size", "node", "distance"])
 
-    at = saved(in_batches(points.select("rep", "n", "unit", F.length("unit").alias("size")), placed, "rep long, n long, unit binary, size int, node long, distance double"))
+    # vectors of one direction are one point, whatever their lengths
+    points = units.where(F.length("raw") > 0).groupBy("mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.max("raw").alias("raw"))
+    at = saved(in_batches(points.select("rep", "n", "mark", "raw", (F.length("raw") / width).cast("int").alias("size")), placed, "rep long, n long, mark binary, raw binary, size int, node long, distance double"))
     # at most CENTRES rows for each vector length
     nodes = at.groupBy("size", "node").agg(F.max("distance").alias("radius"), F.count("*").alias("points")).orderBy("size", "node").toArrow().to_pylist()
-    reach = math.sqrt(2 - 2 * cosine)
-    pairs = []
-    for size in sorted({x["size"] for x in nodes}):
-        own = [x for x in nodes if x["size"] == size]
-        radius, node = np.array([x["radius"] for x in own]), np.array([x["node"] for x in own])
-        near = np.ones((len(own), len(own)), bool)
-        if size in centres:
-            near = _distance(centres[size][node] @ centres[size][node].T) <= radius[:, None] + radius[None, :] + reach + _SLACK
-        np.fill_diagonal(near, True)
-        pairs += [(size, int(node[i]), int(node[j])) for i, j in np.argwhere(np.triu(near))]
-    spark = vectors.sparkSession
     if not nodes:
-        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # small nodes that follow each other share a block; a node of many points has several
-    block_of, blocks, room = {}, {}, {}
-    for x in sorted(nodes, key=lambda x: (x["size"], x["node"])):
-        last = room.get(x["size"])
-        if last is None or last[1] + x["points"] > BLOCK:
-            last = room[x["size"]] = [len(blocks), 0]
-            blocks[last[0]] = 0
-        block_of[x["size"], x["node"]] = last[0]
-        last[1] += x["points"]
-        blocks[last[0]] = last[1]
-    parts = {b: max(1, math.ceil(n / BLOCK)) for b, n in blocks.items()}
-    wanted = sorted({(min(block_of[s, p], block_of[s, q]), max(block_of[s, p], block_of[s, q])) for s, p, q in pairs})
-    homes = spark.createDataFrame([(s, n, b, parts[b]) for (s, n), b in block_of.items()], "size int, node long, block int, parts int")
-    meets = spark.createDataFrame([x for a, b in wanted for x in {(a, a, b, parts[b]), (b, a, b, parts[a])}], "block int, x int, y int, others int")
-    # both are tables of at most CENTRES nodes and their pairs
-    housed = at.join(F.broadcast(homes), ["size", "node"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    met = housed.join(F.broadcast(meets), "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    same = F.col("x") == F.col("y")
-    first = F.when(same, F.least("part", "other")).when(F.col("block") == F.col("x"), F.col("part")).otherwise(F.col("other"))
-    second = F.when(same, F.greatest("part", "other")).when(F.col("block") == F.col("x"), F.col("other")).otherwise(F.col("part"))
-    side = F.when(same, (F.col("part") != F.least("part", "other")).cast("int")).otherwise((F.col("block") != F.col("x")).cast("int"))
-    tasks = met.select("x", "y", first.alias("i"), second.alias("j"), side.alias("side"), "rep", "n", "unit")
-    found = saved(tasks.groupBy("x", "y", "i", "j").applyInArrow(_compared(cosine), "rep long, links long, other long"))
-    partners = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    named = points.join(partners, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left").select("unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows, weights, pairs = _grouped(nodes, centres, reach)
+    homes = spark.createDataFrame(rows, "size int, node long, first long, blocks long, base long, wide long")
+    # tables of at most CENTRES nodes, and of the pairs of a round
+    housed = at.join(F.broadcast(homes), ["size", "node"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("group", F.col("base") + F.floor(F.col("block") / F.col("wide")))
+    housed = housed.select("rep", "n", "raw", "block", "group")
+    found: list[DataFrame] = []
+    for own in _rounds(pairs, weights, ROUND * weights.sum()):
+        meets = spark.createDataFrame([z for x, y in own.tolist() for z in {(x, x, y), (y, x, y)}], "group long, x long, y long")
+        tasks = housed.join(F.broadcast(meets), "group").withColumn("side", (F.col("group") != F.col("x")).cast("int")).drop("group")
+        found.append(saved(tasks.groupBy("x", "y").applyInArrow(_compared(cosine, kind), "rep long, links long, other long")))
+        found = found if len(found) < FOLD else [_folded(found)]
+    links = _folded(found)
+    partners = links.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = components(links.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    named = at.select("rep", "n", "mark").join(partners, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("m"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     # a vector without direction links with nothing
-    out = units.join(named.withColumnRenamed("unit", "u"), (F.col("unit") == F.col("u")) & (F.length("unit") > 0), "left")
+    out = units.select("vec_id", "mark").join(named, (F.col("mark") == F.col("m")) & (F.length("mark") > 0), "left")
     least = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), least.alias("component_id"), (F.col("vec_id") == least).alias("kept"))
 

@@ -334,3 +334,23 @@ def test_agreeing_sketches(spark):
     names = [f"{s}{x}" for x in "ab" for s in minhash_dedup.SKETCH]
     df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names) + ", want long")
     assert df.where(minhash_dedup._agreeing(names[:4], names[4:]) != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_in_many_rounds(spark, monkeypatch, kind):
+    """However many pairs of groups there are, a round moves a bounded number of copies of the points."""
+    for name, value in {"BLOCK": 20, "GROUP": 3, "ROUND": 1, "FOLD": 2, "FEWEST": 4}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    g = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(g.normal(size=(5, 6)), 30, 0) + g.normal(size=(150, 6)) * 0.25, g.normal(size=(100, 6))])
+    x = np.concatenate([x, x[:9] * 2]).astype(np.float32).astype(float)
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    link = unit @ unit.T >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").repartition(3)
+    moved = []
+    rounds = embedding_dedup._rounds
+    monkeypatch.setattr(embedding_dedup, "_rounds", lambda pairs, weights, most: (moved.append((len(p), weights[np.unique(p)].sum(), most)) or p for p in rounds(pairs, weights, most)))
+    got = {r.vec_id: r for r in embedding_dedup.near_embeddings(df).collect()}
+    assert {i: r.component_id for i, r in got.items()} == components(range(len(x)), lambda a, b: link[a, b])
+    assert all(got[i].n_links == link[i].sum() - 1 for i in range(len(x)))
+    assert len(moved) > 3 and all(n == 1 or w <= most for n, w, most in moved)
