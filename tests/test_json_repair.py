@@ -82,3 +82,11 @@ def test_a_break_in_an_inner_container_is_taken_up_by_the_outer_one():
     assert j._container('{"a": {"b": 1, x, "c": 2}', 0, "{") == ({"a": {"b": 1}}, 15)
     assert j._container('{"a": [1, }, "c": 2}', 0, "{") == ({"a": [1]}, 11)
     assert j._container('[[1, {"a": 2 ], 3]', 0, "[") == ([[1, {"a": 2}], 3], 18)
+
+
+def test_orphans_that_can_be_read_as_they_are():
+    from pactline.operators import json_repair as j
+
+    whole = '{"release": {"gun": 7}}, "stop_sale": [{"b": "}]"}, null], "meta": {"x": 123456789012345678901234567890}'
+    assert j.orphans(whole) == {"release": {"gun": 7}, "stop_sale": [{"b": "}]"}, None], "meta": {"x": 1.2345678901234568e29}}
+    assert j.orphans('"release": {"gun": 1e999}') == {"release": {"gun": "1e999"}}

@@ -84,3 +84,17 @@ def test_slug(spark):
     cases = [("  Tarih: çelişki! ", "TARIH_ÇELIŞKI"), ("--", ""), ("a-" * 60, "_".join("A" * 40)), ("x" * 50, "X" * 40), (None, None)]
     got = spark.createDataFrame(cases, "t string, want string").select("want", text.slug(F.col("t")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_answers_are_dealt_to_all_cores_and_texts_lowered_once(spark):
+    from pactline.functions import bind
+    from pactline.plans import parts as plans
+
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert plans._answers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= least
+    assert bind.spread(spark.range(1000), "id").rdd.getNumPartitions() == least  # few rows need no more tasks
+    df = spark.createDataFrame([("x",)], "text string").select(F.col("text"), F.try_parse_json(F.lit("{}")).alias("tree"))
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("lower(text")
+    assert plan(parts.particulars(F.col("tree"), F.col("text"))) == 1
+    stops = F.array(F.struct(F.lit("2026-07-05").alias("start"), F.lit("").alias("end"), F.lit("x").alias("scope")))
+    assert plan(grounding.stop_sales(stops, F.col("text"))) == 1
