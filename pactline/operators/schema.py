@@ -78,9 +78,59 @@ def _violations(b: Column, schema: dict, path: Column) -> Column:
     return F.flatten(F.array(*parts)) if parts else none
 
 
+#: keywords that ``_fits`` understands, by type
+_PLAIN = {"object": {"type", "properties", "required", "additionalProperties"}, "array": {"type", "items", "minItems"}, "": {"type", "enum", "format", "minimum", "maximum"}}
+
+
+def _fits(v: Column, schema: dict) -> Column:
+    """Whether a value that is there breaks nothing: stops at the first fault, looks only at fields that are there, and makes no messages."""
+    name = schema.get("type")
+    names = name if isinstance(name, list) else [name]
+    plain = "" if all(n in _KINDS and n not in ("object", "array") or n == "integer" for n in names) else name
+    if not isinstance(plain, str) or not set(schema) <= _PLAIN.get(plain, set()):
+        return F.size(violations(v, schema)) == 0
+    if plain == "object":
+        more, own = schema.get("additionalProperties", True), schema.get("properties", {})
+
+        def field(e: Column) -> Column:
+            others, out = F.lit(more is not False), None
+            for k, inner in own.items():
+                out = (F if out is None else out).when(e["key"] == k, _fits(e["value"], inner))
+            known = others if out is None else out.otherwise(others)
+            return known & _fits(e["value"], more) if isinstance(more, dict) else known
+
+        def whole(m: Column) -> Column:
+            out = m.isNotNull()
+            if schema.get("required"):
+                out = out & (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), F.map_keys(m))) == 0)
+            return out & F.forall(F.map_entries(m), field)
+
+        return let(fields(v), whole)
+    if plain == "array":
+        each = lambda rows: F.forall(rows, lambda e: _fits(e, schema["items"])) if "items" in schema else F.lit(True)
+        return let(items(v), lambda rows: rows.isNotNull() & (F.size(rows) >= schema.get("minItems", 0)) & each(rows))
+    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+
+    def scalar(kind: Column) -> Column:
+        is_text, is_number = is_of(kind, "STRING"), is_of(kind, *_KINDS["number"])
+        out = F.lit(False)
+        for n in names:
+            out = out | _is_type(v, kind, n)
+        if "enum" in schema:
+            out = out & is_text & text.isin(*schema["enum"])
+        if schema.get("format") == "date":
+            out = out & (~is_text | let(text, lambda t: t.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(t, "yyyy-MM-dd").isNotNull()))
+        for keyword, apart in (("minimum", lambda limit: number < limit), ("maximum", lambda limit: number > limit)):
+            if keyword in schema:
+                out = out & ~(is_number & F.coalesce(apart(schema[keyword]), F.lit(False)))
+        return F.coalesce(out, F.lit(False))
+
+    return let(F.schema_of_variant(v), scalar)
+
+
 def conforms(v: Column, schema: dict) -> Column:
     """A value that is there and breaks nothing."""
-    return let(v, lambda x: x.isNotNull() & (F.size(violations(x, schema)) == 0))
+    return let(v, lambda x: x.isNotNull() & _fits(x, schema))
 
 
 def _record(required: tuple[str, ...] = (), **properties: dict) -> dict:
